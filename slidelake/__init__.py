@@ -5,3 +5,11 @@ once.  See ``operators`` for the algebra, ``sources`` for readers and writers,
 ``functions`` for scalar column helpers, ``streaming`` for continuous forms and
 ``plans`` for multi-operator pipelines.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers travel by value, so that executors need no
+# copy of this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

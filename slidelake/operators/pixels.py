@@ -99,7 +99,7 @@ def downsample_level(tiles: DataFrame, slides: DataFrame, levels: DataFrame) ->
         F.ceil(F.col("_h") / F.col("downsample")).cast("int").alias("level_height"),
     )
 
-    def compose(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         head = pdf.iloc[0]
         size = int(head.tile_size)
         if size % 2:
@@ -264,7 +264,7 @@ def resample(
         f"slide_id {sid}, tc int, tr int, col int, row int, tw int, th int, dx int, dy int, pw int, ph int, sums binary",
     )
 
-    def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         width, height = int(pdf.tw.iloc[0]), int(pdf.th.iloc[0])
         canvas = np.full((height, width, 3), 255.0)
         for p in pdf.sort_values(["row", "col"]).itertuples(index=False):
@@ -325,7 +325,7 @@ def thumbnails(tiles: DataFrame, slides: DataFrame, levels: DataFrame,
     parts = resample(used, sizes.drop("level"), "box", block)
     framed = sizes.select("slide_id", "out_width", "out_height").join(parts, "slide_id", "left")
 
-    def assemble(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def assemble(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         width, height = int(pdf.out_width.iloc[0]), int(pdf.out_height.iloc[0])
         canvas = np.full((height, width, 3), S.BACKGROUND, np.uint8)
         for p in pdf.itertuples(index=False):

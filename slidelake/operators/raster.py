@@ -170,7 +170,7 @@ def rasterize_tiles(
         )
     )
 
-    def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         merged = _Layer(int(pdf["size"].iloc[0]))
         for layer in pdf.itertuples(index=False):
             merged.merge(layer.rgba, layer.top)

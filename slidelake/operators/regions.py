@@ -115,7 +115,7 @@ def assemble_regions(
     ).mapInPandas(crop, piece_schema)
     frames = blocks.select("request_id", "block", "y_offset", "bw", "bh")
 
-    def paste(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def paste(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         head = pdf.iloc[0]
         canvas = np.full((int(head.bh), int(head.bw), 3), 255, np.uint8)
         for r in pdf.itertuples(index=False):
