@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from slidelake.plans import catalog_planning, catalog_viewports  # noqa: F401
+from slidelake.plans import catalog_annotations, catalog_planning, catalog_viewports  # noqa: F401
 from slidelake.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
