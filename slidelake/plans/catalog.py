@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from slidelake.plans import catalog_annotations, catalog_planning, catalog_viewports  # noqa: F401
+from slidelake.plans import (  # noqa: F401
+    catalog_analysis,
+    catalog_annotations,
+    catalog_planning,
+    catalog_status,
+    catalog_viewports,
+)
 from slidelake.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -50,7 +50,9 @@ def status_counts(state: DataFrame) -> DataFrame:
 def listing_stream(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
     """Slide files arriving in a folder; contents are not read."""
     files = (
-        spark.readStream.format("binaryFile").option("maxFilesPerTrigger", per_trigger).load(path)
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
+        .option("maxFilesPerTrigger", per_trigger).load(path)
         .select("path", "modificationTime", "length")
     )
     return slide_files(files)
