@@ -136,7 +136,7 @@ def _split_schema(text: str) -> list[str]:
 
 # --- pixel moments --------------------------------------------------------
 
-def _pixel_sums(df: DataFrame, keys: list[str]) -> DataFrame:
+def image_moments(df: DataFrame, keys: list[str]) -> DataFrame:
     """Exact integer sums per image row: n, per channel sum and square sum, gray sums."""
     names = [*keys, "n"]
     for c in ("r", "g", "b", "gray"):
@@ -169,7 +169,7 @@ def tissue_scores(tiles: DataFrame, levels: DataFrame, mpp: float = TISSUE_MPP)
     chosen = _chosen_levels(levels, mpp)
     keys = ["slide_id", "level", "col", "row"]
     used = keep_wanted(tiles, chosen, ["slide_id", "level"])
-    s = _pixel_sums(used, keys)
+    s = image_moments(used, keys)
     return s.select(
         *keys,
         F.greatest(F.lit(0.0), 1 - F.col("s_gray") / (F.col("n") * 3) / 255.0).alias("score"),
@@ -254,7 +254,7 @@ def classify_regions(regions: DataFrame) -> DataFrame:
 
 
 def _merged_sums(regions: DataFrame) -> DataFrame:
-    sums = _pixel_sums(regions, ["request_id"])
+    sums = image_moments(regions, ["request_id"])
     return sums.groupBy("request_id").agg(*[F.sum(c).alias(c) for c in sums.columns if c != "request_id"])
 
 

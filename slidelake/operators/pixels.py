@@ -7,7 +7,7 @@ at a target tile just add.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slidelake import schema as S
+from slidelake.operators.grouping import map_sorted_groups
 from slidelake.operators.skew import attach_small, keep_wanted
 from slidelake.session import cut_lineage
 
@@ -99,25 +100,24 @@ def downsample_level(tiles: DataFrame, slides: DataFrame, levels: DataFrame) ->
         F.ceil(F.col("_h") / F.col("downsample")).cast("int").alias("level_height"),
     )
 
-    def compose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[0]
-        size = int(head.tile_size)
-        if size % 2:
-            raise ValueError("2 x 2 shrinking needs an even tile size")
-        width = min(size, int(head.level_width) - key[2] * size)
-        height = min(size, int(head.level_height) - key[3] * size)
-        canvas = np.full((height, width, 3), S.BACKGROUND, np.uint8)
-        half = size // 2
-        for t in pdf.itertuples(index=False):
+    def compose(key: tuple, rows: Iterable) -> Iterable[tuple]:
+        canvas = None
+        for t in rows:
+            if canvas is None:
+                size = int(t.tile_size)
+                if size % 2:
+                    raise ValueError("2 x 2 shrinking needs an even tile size")
+                width = min(size, int(t.level_width) - key[2] * size)
+                height = min(size, int(t.level_height) - key[3] * size)
+                canvas = np.full((height, width, 3), S.BACKGROUND, np.uint8)
             part = np.frombuffer(t.rgb, np.uint8).reshape(t.height, t.width, 3)
-            x, y = t.dx * half, t.dy * half
+            x, y = t.dx * size // 2, t.dy * size // 2
             canvas[y:y + t.height, x:x + t.width] = part
-        return pd.DataFrame([(*key, width, height, canvas.tobytes())], columns=[*TILE, "width", "height", "rgb"])
+        yield (*key, width, height, canvas.tobytes())
 
-    return (
-        attach_small(halves, sizes, ["slide_id", "level"])
-        .groupBy(*TILE)
-        .applyInPandas(compose, _tile_schema(tiles))
+    return map_sorted_groups(
+        attach_small(halves, sizes, ["slide_id", "level"]), TILE, [], compose,
+        _tile_schema(tiles), [*TILE, "width", "height", "rgb"],
     )
 
 
@@ -264,18 +264,20 @@ def resample(
         f"slide_id {sid}, tc int, tr int, col int, row int, tw int, th int, dx int, dy int, pw int, ph int, sums binary",
     )
 
-    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        width, height = int(pdf.tw.iloc[0]), int(pdf.th.iloc[0])
-        canvas = np.full((height, width, 3), 255.0)
-        for p in pdf.sort_values(["row", "col"]).itertuples(index=False):
+    def add(key: tuple, rows: Iterable) -> Iterable[tuple]:
+        canvas = None
+        for p in rows:  # sorted by source tile, so sums are the same in every run
+            if canvas is None:
+                canvas = np.full((int(p.th), int(p.tw), 3), 255.0)
             canvas[p.dy:p.dy + p.ph, p.dx:p.dx + p.pw] += np.frombuffer(p.sums).reshape(p.ph, p.pw, 3)
         # The guard keeps values that are exact halves but for float noise on one side.
         image = np.clip(np.floor(canvas + 0.5 + 1e-9), 0, 255).astype(np.uint8)
-        return pd.DataFrame([(*key, width, height, image.tobytes())],
-                            columns=["slide_id", "col", "row", "width", "height", "rgb"])
+        yield (*key, image.shape[1], image.shape[0], image.tobytes())
 
-    return parts.groupBy("slide_id", "tc", "tr").applyInPandas(
-        add, f"slide_id {sid}, col int, row int, width int, height int, rgb binary"
+    return map_sorted_groups(
+        parts, ["slide_id", "tc", "tr"], ["row", "col"], add,
+        f"slide_id {sid}, col int, row int, width int, height int, rgb binary",
+        ["slide_id", "col", "row", "width", "height", "rgb"],
     )
 
 
@@ -325,18 +327,19 @@ def thumbnails(tiles: DataFrame, slides: DataFrame, levels: DataFrame,
     parts = resample(used, sizes.drop("level"), "box", block)
     framed = sizes.select("slide_id", "out_width", "out_height").join(parts, "slide_id", "left")
 
-    def assemble(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        width, height = int(pdf.out_width.iloc[0]), int(pdf.out_height.iloc[0])
-        canvas = np.full((height, width, 3), S.BACKGROUND, np.uint8)
-        for p in pdf.itertuples(index=False):
+    def assemble(key: tuple, rows: Iterable) -> Iterable[tuple]:
+        canvas = None
+        for p in rows:
+            if canvas is None:
+                canvas = np.full((int(p.out_height), int(p.out_width), 3), S.BACKGROUND, np.uint8)
             if p.rgb is None:
                 continue
             w, h = int(p.width), int(p.height)
             x, y = int(p.col) * block, int(p.row) * block
             canvas[y:y + h, x:x + w] = np.frombuffer(p.rgb, np.uint8).reshape(h, w, 3)
-        return pd.DataFrame([(*key, width, height, canvas.tobytes())],
-                            columns=["slide_id", "width", "height", "rgb"])
+        yield (*key, canvas.shape[1], canvas.shape[0], canvas.tobytes())
 
-    return framed.groupBy("slide_id").applyInPandas(
-        assemble, f"slide_id {_sid(tiles)}, width int, height int, rgb binary"
+    return map_sorted_groups(
+        framed, ["slide_id"], [], assemble,
+        f"slide_id {_sid(tiles)}, width int, height int, rgb binary", ["slide_id", "width", "height", "rgb"],
     )

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slidelake.functions import parse_hex_color
 from slidelake.operators.annotations import annotations_by_tile
+from slidelake.operators.grouping import map_sorted_groups
 
 # Fixed values of the drawing style.
 FILL_ALPHA = 102
@@ -21,46 +21,53 @@ POINT_RADIUS = 6
 TILE = ["slide_id", "level", "col", "row"]
 
 
-def _disc(shape: tuple[int, int], x: float, y: float) -> tuple[np.ndarray, np.ndarray]:
-    yy, xx = np.ogrid[:shape[0], :shape[1]]
+def _window(low: np.ndarray, high: np.ndarray, size: int) -> tuple[int, int, int, int] | None:
+    """Integer part of the canvas a shape can touch: x0, y0, x1, y1 (ends exclusive)."""
+    x0, y0 = np.maximum(np.floor(low) - 1, 0).astype(int)
+    x1, y1 = np.minimum(np.ceil(high) + 2, size).astype(int)
+    return (x0, y0, x1, y1) if x0 < x1 and y0 < y1 else None
+
+
+def _disc(box: tuple, x: float, y: float) -> tuple[np.ndarray, np.ndarray]:
+    yy, xx = np.ogrid[box[1]:box[3], box[0]:box[2]]
     dist = (xx - x) ** 2 + (yy - y) ** 2
     inside = dist <= POINT_RADIUS**2
     return inside, inside & (dist > (POINT_RADIUS - OUTLINE_WIDTH) ** 2)
 
 
-def _rectangle(shape: tuple[int, int], pts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    (x1, y1), (x2, y2) = pts[:2].min(axis=0), pts[:2].max(axis=0)
-    yy, xx = np.ogrid[:shape[0], :shape[1]]
-    inside = (xx >= x1) & (xx <= x2) & (yy >= y1) & (yy <= y2)
-    edge = (xx < x1 + OUTLINE_WIDTH) | (xx > x2 - OUTLINE_WIDTH) | (yy < y1 + OUTLINE_WIDTH) | (yy > y2 - OUTLINE_WIDTH)
-    return inside, inside & edge
+def _rectangle(box: tuple, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    yy, xx = np.ogrid[box[1]:box[3], box[0]:box[2]]
+    inside = (xx >= low[0]) & (xx <= high[0]) & (yy >= low[1]) & (yy <= high[1])
+    core = (
+        (xx >= low[0] + OUTLINE_WIDTH) & (xx <= high[0] - OUTLINE_WIDTH)
+        & (yy >= low[1] + OUTLINE_WIDTH) & (yy <= high[1] - OUTLINE_WIDTH)
+    )
+    return inside, inside & ~core
 
 
-def _polygon(shape: tuple[int, int], pts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _polygon(box: tuple, pts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Even-odd fill by scanline crossings, and a one-pixel outline."""
-    height, width = shape
-    inside = np.zeros(shape, bool)
-    edge = np.zeros(shape, bool)
+    x0, y0, x1, y1 = box
+    inside = np.zeros((y1 - y0, x1 - x0), bool)
+    edge = np.zeros_like(inside)
     nxt = np.roll(pts, -1, axis=0)
-    xs = np.arange(width)
-    low = max(0, int(np.floor(pts[:, 1].min())))
-    high = min(height - 1, int(np.ceil(pts[:, 1].max())))
-    for y in range(low, high + 1):
+    xs = np.arange(x0, x1)
+    for y in range(y0, y1):
         crosses = (pts[:, 1] <= y) != (nxt[:, 1] <= y)
         if crosses.any():
             p, q = pts[crosses], nxt[crosses]
             at = np.sort(p[:, 0] + (y - p[:, 1]) * (q[:, 0] - p[:, 0]) / (q[:, 1] - p[:, 1]))
-            inside[y] = np.searchsorted(at, xs, side="right") % 2 == 1
+            inside[y - y0] = np.searchsorted(at, xs, side="right") % 2 == 1
     for p, q in zip(pts, nxt):
-        window = _clip(p, q, width, height)
-        if window is None:
+        part = _clip(p, q, size, size)
+        if part is None:
             continue
-        p, q = window
+        p, q = part
         n = int(np.ceil(np.abs(q - p).max())) + 1
         cx = np.rint(np.linspace(p[0], q[0], n)).astype(int)
         cy = np.rint(np.linspace(p[1], q[1], n)).astype(int)
-        ok = (cx >= 0) & (cx < width) & (cy >= 0) & (cy < height)
-        edge[cy[ok], cx[ok]] = True
+        ok = (cx >= x0) & (cx < x1) & (cy >= y0) & (cy < y1)
+        edge[cy[ok] - y0, cx[ok] - x0] = True
     return inside | edge, edge
 
 
@@ -87,18 +94,26 @@ class _Layer:
         self.top = np.full((size, size), np.iinfo(np.int64).min, np.int64)
 
     def paint(self, kind: str, pts: np.ndarray, rgb: tuple[int, int, int], seq: int) -> None:
-        shape = (self.size, self.size)
-        if kind == "point" and len(pts):
-            area, edge = _disc(shape, *pts[0])
-        elif kind == "rectangle" and len(pts) >= 2:
-            area, edge = _rectangle(shape, pts)
-        elif kind not in ("point", "rectangle") and len(pts) >= 3:
-            area, edge = _polygon(shape, pts)
-        else:
+        needed = {"point": 1, "rectangle": 2}.get(kind, 3)
+        if len(pts) < needed:
+            return
+        used = pts[:needed] if kind in ("point", "rectangle") else pts
+        low, high = used.min(axis=0), used.max(axis=0)
+        pad = POINT_RADIUS if kind == "point" else 0
+        box = _window(low - pad, high + pad, self.size)
+        if box is None:
             return
-        self.image[area] = (*rgb, FILL_ALPHA)
-        self.image[edge] = (*rgb, OUTLINE_ALPHA)
-        self.top[area] = seq
+        if kind == "point":
+            area, edge = _disc(box, *pts[0])
+        elif kind == "rectangle":
+            area, edge = _rectangle(box, low, high)
+        else:
+            area, edge = _polygon(box, pts, self.size)
+        x0, y0, x1, y1 = box
+        image = self.image[y0:y1, x0:x1]
+        image[area] = (*rgb, FILL_ALPHA)
+        image[edge] = (*rgb, OUTLINE_ALPHA)
+        self.top[y0:y1, x0:x1][area] = seq
 
     def merge(self, rgba: bytes, top: bytes) -> None:
         seq = np.frombuffer(top, np.int64).reshape(self.size, self.size)
@@ -132,53 +147,49 @@ def rasterize_tiles(
     shapes = hits.join(sizes, TILE).select(
         *TILE,
         F.pmod(F.xxhash64("draw_seq"), F.col("_chunks")).cast("int").alias("chunk"),
+        "_chunks",
         "draw_seq", "type", "downsample", "tile_size",
         F.transform("coordinates", lambda p: p["x"]).alias("xs"),
         F.transform("coordinates", lambda p: p["y"]).alias("ys"),
         "_rgb.r", "_rgb.g", "_rgb.b",
     )
-    names = [*TILE, "chunk", "size", "rgba", "top"]
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, layer = None, None
-        done: list[tuple] = []
-        for pdf in batches:
-            for s in pdf.itertuples(index=False):
-                this = (s.slide_id, s.level, s.col, s.row, s.chunk)
-                if this != key:
-                    if layer is not None:
-                        done.append((*key, layer.size, layer.image.tobytes(), layer.top.tobytes()))
-                    key, layer = this, _Layer(int(s.tile_size))
+    def canvas_of(key: tuple, rows: Iterable) -> _Layer:
+        layer = None
+        for s in rows:
+            if layer is None:
+                layer = _Layer(int(s.tile_size))
                 side = s.tile_size * s.downsample
-                pts = np.column_stack([s.xs, s.ys]).astype(float).reshape(-1, 2)
-                pts = (pts - (s.col * side, s.row * side)) / s.downsample
-                layer.paint(s.type, pts, (s.r, s.g, s.b), s.draw_seq)
-                if len(done) >= 16:
-                    yield pd.DataFrame(done, columns=names)
-                    done = []
-        if layer is not None:
-            done.append((*key, layer.size, layer.image.tobytes(), layer.top.tobytes()))
-        if done:
-            yield pd.DataFrame(done, columns=names)
+            pts = np.column_stack([s.xs, s.ys]).astype(float).reshape(-1, 2)
+            pts = (pts - (key[2] * side, key[3] * side)) / s.downsample
+            layer.paint(s.type, pts, (s.r, s.g, s.b), s.draw_seq)
+        return layer
+
+    def draw(key: tuple, rows: Iterable) -> Iterable[tuple]:
+        yield (*key, canvas_of(key, rows).image.tobytes())
+
+    def draw_chunk(key: tuple, rows: Iterable) -> Iterable[tuple]:
+        layer = canvas_of(key, rows)
+        yield (*key, layer.size, layer.image.tobytes(), layer.top.tobytes())
+
+    def merge(key: tuple, rows: Iterable) -> Iterable[tuple]:
+        merged = None
+        for layer in rows:
+            merged = merged or _Layer(int(layer.size))
+            merged.merge(layer.rgba, layer.top)
+        yield (*key, merged.image.tobytes())
 
     sid = annotations.schema["slide_id"].dataType.simpleString()
-    layers = (
-        shapes.repartition(*TILE, "chunk")
-        .sortWithinPartitions(*TILE, "chunk", "draw_seq")
-        .mapInPandas(
-            draw, f"slide_id {sid}, level int, col int, row int, chunk int, size int, rgba binary, top binary"
-        )
+    tile_schema = f"slide_id {sid}, level int, col int, row int"
+    # Most tiles are one chunk and are drawn directly.
+    single = map_sorted_groups(
+        shapes.filter("_chunks = 1"), TILE, ["draw_seq"], draw, f"{tile_schema}, rgba binary", [*TILE, "rgba"]
     )
-
-    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        merged = _Layer(int(pdf["size"].iloc[0]))
-        for layer in pdf.itertuples(index=False):
-            merged.merge(layer.rgba, layer.top)
-        return pd.DataFrame([(*key, merged.image.tobytes())], columns=[*TILE, "rgba"])
-
-    drawn = layers.groupBy(*TILE).applyInPandas(
-        merge, f"slide_id {sid}, level int, col int, row int, rgba binary"
+    layers = map_sorted_groups(
+        shapes.filter("_chunks > 1"), [*TILE, "chunk"], ["draw_seq"], draw_chunk,
+        f"{tile_schema}, chunk int, size int, rgba binary, top binary", [*TILE, "chunk", "size", "rgba", "top"],
     )
+    merged = map_sorted_groups(layers, TILE, ["chunk"], merge, f"{tile_schema}, rgba binary", [*TILE, "rgba"])
+    drawn = single.unionByName(merged)
     side = levels.select("slide_id", "level", "tile_size").distinct()
     blank = F.unhex(F.repeat(F.lit("00000000"), (F.col("tile_size") * F.col("tile_size")).cast("int")))
     return wanted.join(side, ["slide_id", "level"]).join(drawn, TILE, "left").select(

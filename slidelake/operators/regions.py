@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slidelake.operators.grouping import map_sorted_groups
 from slidelake.operators.ordering import explode_range
 from slidelake.operators.skew import keep_wanted, salted_join
 
@@ -115,24 +116,20 @@ def assemble_regions(
     ).mapInPandas(crop, piece_schema)
     frames = blocks.select("request_id", "block", "y_offset", "bw", "bh")
 
-    def paste(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[0]
-        canvas = np.full((int(head.bh), int(head.bw), 3), 255, np.uint8)
-        for r in pdf.itertuples(index=False):
+    def paste(key: tuple, rows: Iterable) -> Iterable[tuple]:
+        canvas = None
+        for r in rows:
+            if canvas is None:
+                canvas = np.full((int(r.bh), int(r.bw), 3), 255, np.uint8)
+                y_offset = int(r.y_offset)
             if r.part is None:
                 continue
             dx, dy, pw, ph = int(r.dx), int(r.dy), int(r.pw), int(r.ph)
             canvas[dy:dy + ph, dx:dx + pw] = np.frombuffer(r.part, np.uint8).reshape(ph, pw, 3)
-        return pd.DataFrame(
-            [(key[0], key[1], int(head.y_offset), int(head.bw), int(head.bh), canvas.tobytes())],
-            columns=["request_id", "block", "y_offset", "width", "height", "rgb"],
-        )
-
-    return (
-        frames.unionByName(pieces, allowMissingColumns=True)
-        .groupBy("request_id", "block")
-        .applyInPandas(
-            paste,
-            f"request_id {id_type}, block int, y_offset bigint, width int, height int, rgb binary",
-        )
+        yield (*key, y_offset, canvas.shape[1], canvas.shape[0], canvas.tobytes())
+
+    return map_sorted_groups(
+        frames.unionByName(pieces, allowMissingColumns=True), ["request_id", "block"], [], paste,
+        f"request_id {id_type}, block int, y_offset bigint, width int, height int, rgb binary",
+        ["request_id", "block", "y_offset", "width", "height", "rgb"],
     )

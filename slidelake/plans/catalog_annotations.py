@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slidelake.operators import annotations as A
+from slidelake.operators.pyramid import plan_levels
 from slidelake.operators.raster import rasterize_tiles
 from slidelake.plans.bridge import Bridge, oracle
 from slidelake.plans.registry import query
@@ -67,14 +70,46 @@ def _(b: Bridge) -> DataFrame:
     )
 
 
-@query("a05_rasterize_tiles")
+# One 16 px tile covers a whole slide at its coarsest level.  The check paints
+# by pixel: all shapes are axis-aligned, so tests on x and y decide.
+_DS = "CAST(pow(2, ceil(log2(greatest(width, height) / 16.0))) AS BIGINT)"
+_RASTER = f"""
+    slide AS (SELECT slide_id, {_DS} AS ds FROM b_slides),
+    shape AS (SELECT a.slide_id, a.seq, a.type, coalesce(a.color, '#ff6b6b') AS color, a.min_x / ds AS x1, a.max_x / ds AS x2, a.min_y / ds AS y1, a.max_y / ds AS y2
+              FROM b_boxes a JOIN slide USING (slide_id) WHERE a.min_x <= 16 * ds AND a.min_y <= 16 * ds),
+    px AS (SELECT x, y FROM (SELECT unnest(range(16)) AS x), (SELECT unnest(range(16)) AS y)),
+    hit AS (SELECT *,
+        CASE type WHEN 'point' THEN (x - x1) ** 2 + (y - y1) ** 2 <= 36 WHEN 'rectangle' THEN x >= x1 AND x <= x2 AND y >= y1 AND y <= y2
+             ELSE x >= x1 AND x < x2 AND y >= y1 AND y < y2 END AS inside,
+        CASE type WHEN 'point' THEN (x - x1) ** 2 + (y - y1) ** 2 BETWEEN 16.000000001 AND 36
+             WHEN 'rectangle' THEN x >= x1 AND x <= x2 AND y >= y1 AND y <= y2 AND NOT (x >= x1 + 2 AND x <= x2 - 2 AND y >= y1 + 2 AND y <= y2 - 2)
+             ELSE (y IN (round_even(y1, 0), round_even(y2, 0)) AND x BETWEEN round_even(x1, 0) AND round_even(x2, 0))
+               OR (x IN (round_even(x1, 0), round_even(x2, 0)) AND y BETWEEN round_even(y1, 0) AND round_even(y2, 0)) END AS edge
+        FROM shape, px),
+    top AS (SELECT slide_id, x, y, arg_max(edge, seq) AS edge, arg_max(color, seq) AS color FROM hit WHERE inside OR edge GROUP BY ALL)"""
+
+
+@query("a05_rasterize_tiles", oracle("SELECT 0", "b_boxes", "b_slides").rsplit("\nSELECT 0", 1)[0] + f""",
+    {_RASTER}
+    SELECT s.slide_id, count(t.x) AS painted, count(*) FILTER (WHERE t.edge) AS outlined,
+           coalesce(sum(CASE t.color WHEN '#12ab9f' THEN 18 ELSE 255 END) FILTER (WHERE t.x IS NOT NULL), 0)::BIGINT AS sum_r
+    FROM slide s LEFT JOIN top t USING (slide_id) GROUP BY s.slide_id""")
 def _(b: Bridge) -> DataFrame:
     drawn = _normal(b).withColumn("draw_order", F.col("seq"))
-    coarsest = b.levels.filter("level = 0")
+    coarsest = plan_levels(b.slides.withColumn("tile_size", F.lit(16))).filter("level = 0")
     wanted = coarsest.selectExpr("slide_id", "level", "0 AS col", "0 AS row")
-    return rasterize_tiles(drawn, coarsest, wanted).select(
-        "slide_id", "level", "col", "row", "has_annotations", F.sha2("rgba", 256).alias("digest")
-    )
+    # Small chunks, so that the merging of chunk layers takes part as well.
+    images = rasterize_tiles(drawn, coarsest, wanted, chunk_rows=5)
+
+    def count(batches):
+        for pdf in batches:
+            out = []
+            for t in pdf.itertuples(index=False):
+                px = np.frombuffer(t.rgba, np.uint8).reshape(-1, 4).astype(np.int64)
+                out.append((t.slide_id, int((px[:, 3] > 0).sum()), int((px[:, 3] == 255).sum()), int(px[:, 0].sum())))
+            yield pd.DataFrame(out, columns=["slide_id", "painted", "outlined", "sum_r"])
+
+    return images.select("slide_id", "rgba").mapInPandas(count, "slide_id bigint, painted bigint, outlined bigint, sum_r bigint")
 
 
 @query("a06_annotation_groups", oracle('SELECT slide_id, grp AS "group", count(*) AS n FROM b_shapes GROUP BY ALL', "b_shapes"))

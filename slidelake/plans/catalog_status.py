@@ -56,11 +56,11 @@ def _(b: Bridge) -> DataFrame:
 
 @query("b04_running_timing", """
     SELECT source, seq, round(s / seq, 6) AS avg_decode FROM (
-        SELECT event_id % 2 AS source, event_id // 2 + 1 AS seq, sum(value) OVER (PARTITION BY event_id % 2 ORDER BY event_id) AS s FROM events)
+        SELECT event_id % 2 AS source, event_id // 2 + 1 AS seq, sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY event_id % 2 ORDER BY event_id) AS s FROM events)
     WHERE seq % 100 = 0""")
 def _(b: Bridge) -> DataFrame:
     log = b.table("events").selectExpr(
-        "event_id % 2 AS source", "CAST(floor(event_id / 2) AS BIGINT) + 1 AS seq", "value AS decode"
+        "event_id % 2 AS source", "CAST(floor(event_id / 2) AS BIGINT) + 1 AS seq", "CAST(round(value * 100) AS BIGINT) AS decode"
     )
     return B.running_timing(log, ["decode"], bucket_rows=128).withColumn("avg_decode", F.round("avg_decode", 6))
 

@@ -9,6 +9,7 @@ from slidelake.functions import to_level, to_slide, to_wsi
 from slidelake.operators import levels as L
 from slidelake.operators import regions as R
 from slidelake.operators import viewport as V
+from slidelake.operators.analysis import image_moments
 from slidelake.plans.bridge import PIXEL_TILE, Bridge, oracle
 from slidelake.plans.pipelines import serve_viewports
 from slidelake.plans.registry import query
@@ -139,14 +140,9 @@ def _(b: Bridge) -> DataFrame:
 
 def pixel_sums(images: DataFrame) -> DataFrame:
     """Channel sums of raw RGB rows, to compare pixels without comparing blobs."""
-    h = F.hex("rgb")
-    byte = lambda k: F.expr(
-        f"CAST(aggregate(sequence(0, CAST(length(rgb) / 3 AS INT) - 1), 0L, (s, i) -> s + CAST(conv(substring(_hex, i * 6 + {1 + 2 * k}, 2), 16, 10) AS BIGINT)) AS BIGINT)"
-    )
     keys = [c for c in images.columns if c not in ("rgb", "block", "y_offset")]
-    return images.withColumn("_hex", h).select(
-        *keys, byte(0).alias("sum_r"), byte(1).alias("sum_g"), byte(2).alias("sum_b")
-    )
+    sums = image_moments(images, keys)
+    return sums.select(*keys, *[F.col(f"s_{c}").alias(f"sum_{c}") for c in "rgb"])
 
 
 @query("v11_resolve_regions", oracle("""
