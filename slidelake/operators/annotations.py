@@ -42,22 +42,20 @@ def with_bounds(df: DataFrame) -> DataFrame:
     )
 
 
-# Cell sides of the spatial grid: 64 px times powers of 4.  A box lives on the
-# smallest scale whose cell is at least as long as the box, so it touches at
-# most 2 x 2 cells; boxes beyond the last scale simply cover more of its cells.
-_SCALES = 9
+# Cell sides of the spatial grid: 64 px times powers of 2.  A box lives on the
+# smallest scale where it is at most 3 cells long, so it touches at most 4 x 4
+# cells; boxes beyond the last scale simply cover more of its cells.
+_SCALES = 17
 
 
 def _cell(scale: Column) -> Column:
-    return F.lit(64.0) * F.pow(F.lit(4.0), scale)
+    return F.lit(64.0) * F.pow(F.lit(2.0), scale)
 
 
 def _own_scale(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     side = F.greatest(x1 - x0, y1 - y0)
-    scale = F.lit(_SCALES - 1)
-    for step in range(_SCALES - 2, -1, -1):
-        scale = F.when(side <= 64.0 * 4.0**step, F.lit(step)).otherwise(scale)
-    return scale
+    fitting = F.ceil(F.log2(F.greatest(side, F.lit(192.0)) / F.lit(192.0)))
+    return F.least(fitting, F.lit(_SCALES - 1)).cast("int")
 
 
 def _cells(df: DataFrame, x0: str, y0: str, x1: str, y1: str) -> DataFrame:
@@ -76,7 +74,8 @@ def query_viewports(annotations: DataFrame, viewports: DataFrame) -> DataFrame:
 
     Both sides are laid on grids of several cell sizes and each pair meets on
     the coarser scale of the two, where neither side covers more than a few
-    cells.  A pair is kept only in the cell holding the low corner of its
+    cells.  A side is repeated only on scales the other side really uses; that
+    list is broadcast and cannot exceed the number of scales.  A pair is kept only in the cell holding the low corner of its
     overlap, which makes it unique without a distinct.
     """
     boxes = annotations if set(BOX) <= set(annotations.columns) else with_bounds(annotations)
@@ -89,8 +88,11 @@ def query_viewports(annotations: DataFrame, viewports: DataFrame) -> DataFrame:
     ).filter((F.col("_vx1") >= F.col("_vx0")) & (F.col("_vy1") >= F.col("_vy0")))
     views = views.withColumn("_own", _own_scale(*[F.col(c) for c in ("_vx0", "_vy0", "_vx1", "_vy1")]))
     at_own = lambda df: df.withColumn("_scale", F.col("_own"))
-    from_own = lambda df: df.withColumn("_scale", F.explode(F.sequence(F.col("_own"), F.lit(_SCALES - 1))))
-    above_own = lambda df: explode_range(df, F.col("_own") + 1, F.lit(_SCALES), "_scale")
+    used = lambda df: F.broadcast(df.select(F.col("_own").alias("_scale")).distinct())
+    from_own = lambda df, other: explode_range(df, F.col("_own"), F.lit(_SCALES), "_scale").join(
+        used(other), "_scale", "left_semi"
+    )
+    above_own = lambda df, other: from_own(df, other).filter(F.col("_scale") > F.col("_own"))
     view_box = ("_vx0", "_vy0", "_vx1", "_vy1")
     keys = ["slide_id", "_scale", "_cx", "_cy"]
 
@@ -104,7 +106,9 @@ def query_viewports(annotations: DataFrame, viewports: DataFrame) -> DataFrame:
             & (F.floor(F.greatest("min_y", "_vy0") / side) == F.col("_cy"))
         ).drop("_scale", "_cx", "_cy", *view_box)
 
-    return meet(at_own(boxes), from_own(views)).unionByName(meet(above_own(boxes), at_own(views)))
+    return meet(at_own(boxes), from_own(views, boxes)).unionByName(
+        meet(above_own(boxes, views), at_own(views))
+    )
 
 
 def annotations_by_tile(annotations: DataFrame, levels: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ at a target tile just add.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -173,24 +174,23 @@ def _reach(kernel: str, factor: Column) -> Column:
     return step + 1 if kernel == "box" else F.greatest(step, F.lit(1.0)) * 3 + 1
 
 
-def _contribution(tile: np.ndarray, x0: int, y0: int, target: tuple, dims: tuple, factors: tuple, kernel: str):
+def _axis_matrix(start: int, count: int, origin: int, length: int, source: int, factor: float, kernel: str):
+    """Weights of the source px ``origin..`` for the target px ``start..``, one row per target px."""
+    rows = np.zeros((count, length))
+    for i in range(count):
+        first, weights = axis_weights(start + i, source, factor, kernel)
+        a, b = max(first, origin), min(first + len(weights), origin + length)
+        if a < b:
+            rows[i, a - origin:b - origin] = weights[a - first:b - first]
+    return rows
+
+
+def _contribution(tile: np.ndarray, x0: int, y0: int, target: tuple, dims: tuple, factors: tuple, matrix):
     """Weighted sums of one source tile for the px of one target tile it reaches.
 
     Values are taken relative to the white background, so absent tiles add 0.
     """
     h, w = tile.shape[:2]
-
-    def matrix(start: int, count: int, origin: int, length: int, source: int, factor: float):
-        rows = []
-        for t in range(start, start + count):
-            first, weights = axis_weights(t, source, factor, kernel)
-            line = np.zeros(length)
-            a, b = max(first, origin), min(first + len(weights), origin + length)
-            if a < b:
-                line[a - origin:b - origin] = weights[a - first:b - first]
-            rows.append(line)
-        return np.array(rows)
-
     tx, ty, tw, th = target
     mx = matrix(tx, tw, x0, w, dims[0], factors[0])
     my = matrix(ty, th, y0, h, dims[1], factors[1])
@@ -237,6 +237,10 @@ def resample(
     names = ["slide_id", "tc", "tr", "col", "row", "tw", "th", "dx", "dy", "pw", "ph", "sums"]
 
     def contribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Tiles of one grid column or row share their weights.
+        matrix = functools.lru_cache(maxsize=256)(
+            lambda *args: _axis_matrix(*args, kernel)
+        )
         for pdf in batches:
             out = []
             for t in pdf.itertuples(index=False):
@@ -247,7 +251,7 @@ def resample(
                         tw, th = min(out_tile_size, t.out_width - tx), min(out_tile_size, t.out_height - ty)
                         part = _contribution(
                             image, t.col * t.tile_size, t.row * t.tile_size, (tx, ty, tw, th),
-                            (t.src_width, t.src_height), (t.factor_x, t.factor_y), kernel,
+                            (t.src_width, t.src_height), (t.factor_x, t.factor_y), matrix,
                         )
                         if part is not None:
                             dx, dy, sums = part
