@@ -13,6 +13,10 @@ from slidelake.operators.skew import split_hot_join
 from slidelake.session import cut_lineage
 
 
+# Nodes with more links than this are joined by broadcast.
+HOT_ROWS = 1_000_000
+
+
 def _label_tile(mask: np.ndarray) -> np.ndarray:
     """Smallest member index of each pixel's 4-connected component, -1 off the mask.
 
@@ -40,15 +44,18 @@ def merge_labels(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     Alternates the large-star and small-star steps, which need a number of
     rounds that grows with the logarithm of the longest chain.  Each step is a
     grouped minimum (combined before the shuffle) and a join; every round is
-    checkpointed.  Stops when a round changes nothing and fails loudly if it
+    written out.  Stops when a round changes nothing and fails loudly if it
     never does.
     """
-    def star(links: DataFrame, large: bool) -> DataFrame:
+    def star(links: DataFrame, large: bool, rows: int) -> DataFrame:
         # links are (node, peer), one direction per step
         low = links.groupBy("node").agg(
             F.min(F.least("node", "peer")).alias("low"), F.count(F.lit(1)).alias("_n")
         )
-        joined = split_hot_join(links, low, ["node"], "_n")
+        if rows > HOT_ROWS:
+            joined = split_hot_join(links, low, ["node"], "_n", HOT_ROWS)
+        else:  # no node can have more links than there are
+            joined = links.join(low.drop("_n"), "node")
         if large:
             return joined.filter(F.col("peer") > F.col("node")).select(
                 F.col("peer").alias("a"), F.col("low").alias("b")
@@ -76,8 +83,10 @@ def merge_labels(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     current = cut_lineage(clean(edges))
     mark = _fingerprint(current)
     for _ in range(max_rounds):
-        large = clean(star(both_ways(current), large=True))
-        current = cut_lineage(clean(star(downward(large), large=False)))
+        # Either step works on at most two links per pair.
+        rows = 2 * mark[0]
+        large = clean(star(both_ways(current), True, rows))
+        current = cut_lineage(clean(star(downward(large), False, rows)))
         now = _fingerprint(current)
         if now == mark:
             return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -93,52 +102,106 @@ def _fingerprint(pairs: DataFrame) -> tuple:
     )
 
 
-def label_components(mask_tiles: DataFrame, tile_size: int) -> DataFrame:
-    """Label the 4-connected components of tiled masks.
+def _local_labels(mask_tiles: DataFrame, tile_size: int) -> DataFrame:
+    """Label each tile on its own; keep the labels along its borders beside them.
 
-    ``mask_tiles(slide_id, col, row, width, height, mask BINARY)`` holds one byte
-    per pixel.  A component's label is the smallest packed pixel position
-    ``y << 32 | x`` in it.  Tiles are labelled on their own first; only labels
-    that touch across a tile border take part in the merging.
+    A label is the packed position ``y << 32 | x`` of the component's first
+    pixel, so it also tells which tile it belongs to.
     """
     sid = mask_tiles.schema["slide_id"].dataType.simpleString()
+    names = ["slide_id", "col", "row", "width", "height", "labels", "left", "right", "top", "bottom"]
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parts = []
+            out = []
             for t in pdf.itertuples(index=False):
                 mask = np.frombuffer(t.mask, np.uint8).reshape(t.height, t.width) > 0
-                labels = _label_tile(mask)
-                ys, xs = np.nonzero(mask)
-                low = labels[ys, xs]
-                gx, gy = xs + t.col * tile_size, ys + t.row * tile_size
-                packed = ((low // t.width + t.row * tile_size).astype(np.int64) << 32) | (
-                    low % t.width + t.col * tile_size
-                )
-                parts.append(pd.DataFrame({"slide_id": t.slide_id, "x": gx, "y": gy, "local": packed}))
-            yield pd.concat(parts) if parts else pd.DataFrame(columns=["slide_id", "x", "y", "local"])
-
-    local = cut_lineage(
-        mask_tiles.select("slide_id", "col", "row", "width", "height", "mask").mapInPandas(
-            label, f"slide_id {sid}, x bigint, y bigint, local bigint"
-        )
+                low = _label_tile(mask).astype(np.int64)
+                y, x = low // t.width + t.row * tile_size, low % t.width + t.col * tile_size
+                labels = np.where(mask, (y << 32) | x, -1)
+                out.append((t.slide_id, t.col, t.row, t.width, t.height, labels.tobytes(),
+                            labels[:, 0], labels[:, -1], labels[0], labels[-1]))
+            yield pd.DataFrame(out, columns=names)
+
+    return mask_tiles.select("slide_id", "col", "row", "width", "height", "mask").mapInPandas(
+        label,
+        f"slide_id {sid}, col int, row int, width int, height int, labels binary, left array<bigint>, "
+        "right array<bigint>, top array<bigint>, bottom array<bigint>",
     )
-    right = local.filter(F.col("x") % tile_size == tile_size - 1).select(
-        "slide_id", (F.col("x") + 1).alias("x"), "y", F.col("local").alias("other")
-    )
-    below = local.filter(F.col("y") % tile_size == tile_size - 1).select(
-        "slide_id", "x", (F.col("y") + 1).alias("y"), F.col("local").alias("other")
-    )
-    borders = local.filter((F.col("x") % tile_size == 0) | (F.col("y") % tile_size == 0))
-    touching = borders.join(right.unionByName(below), ["slide_id", "x", "y"])
+
+
+def _touching(local: DataFrame) -> DataFrame:
+    """Pairs of labels that meet across a border of two neighbouring tiles."""
+    def side(name: str, turn: int, dx: int, dy: int) -> DataFrame:
+        return local.select(
+            "slide_id", F.lit(turn).alias("turn"), (F.col("col") + dx).alias("col"), (F.col("row") + dy).alias("row"),
+            F.posexplode(name).alias("at", "label"),
+        ).filter(F.col("label") >= 0)
+
+    ends = side("right", 0, 1, 0).unionByName(side("bottom", 1, 0, 1)).withColumnRenamed("label", "other")
+    starts = side("left", 0, 0, 0).unionByName(side("top", 1, 0, 0))
+    pairs = starts.join(ends, ["slide_id", "turn", "col", "row", "at"])
     # Labels are unique per slide only, so a node is the pair of slide and label.
     node = lambda label: F.struct(F.col("slide_id").alias("s"), F.col(label).alias("l"))
-    roots = merge_labels(touching.select(node("local").alias("a"), node("other").alias("b")))
-    merged = roots.select(
-        F.col("node.s").alias("slide_id"), F.col("node.l").alias("local"), F.col("root.l").alias("root")
+    return pairs.select(node("label").alias("a"), node("other").alias("b"))
+
+
+def label_tiles(mask_tiles: DataFrame, tile_size: int) -> DataFrame:
+    """Component labels of tiled masks, one array of BIGINT labels per tile (-1 off the mask).
+
+    ``mask_tiles(slide_id, col, row, width, height, mask BINARY)`` holds one byte
+    per pixel.  Tiles are labelled on their own; only labels along tile borders
+    take part in the merging, and a tile's pixels move at most once, to meet the
+    final names of its border labels.
+    """
+    sid = mask_tiles.schema["slide_id"].dataType.simpleString()
+    local = cut_lineage(_local_labels(mask_tiles, tile_size))
+    roots = merge_labels(_touching(local)).select(
+        F.col("node.s").alias("slide_id"), F.col("node.l").alias("label"), F.col("root.l").alias("root")
     )
-    # Pixels of a component many tiles wide still have many local labels, one
-    # set per tile, so this key is bounded by a tile's pixels.
-    return local.join(merged, ["slide_id", "local"], "left").select(
-        "slide_id", "x", "y", F.coalesce("root", "local").alias("label")
+    home = lambda part: F.floor(part / F.lit(tile_size)).cast("int")
+    # A tile has at most as many renamed labels as border pixels.
+    renames = roots.groupBy(
+        "slide_id",
+        home(F.col("label").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))).alias("col"),
+        home(F.shiftright("label", 32)).alias("row"),
+    ).agg(F.collect_list("label").alias("before"), F.collect_list("root").alias("after"))
+    names = ["slide_id", "col", "row", "width", "height", "labels"]
+
+    def rename(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for t in pdf.itertuples(index=False):
+                labels = t.labels
+                if t.before is not None and len(t.before):
+                    order = np.argsort(t.before)
+                    before, after = np.asarray(t.before)[order], np.asarray(t.after)[order]
+                    flat = np.frombuffer(labels, np.int64).copy()
+                    at = np.minimum(np.searchsorted(before, flat), len(before) - 1)
+                    known = before[at] == flat
+                    flat[known] = after[at[known]]
+                    labels = flat.tobytes()
+                out.append((t.slide_id, t.col, t.row, t.width, t.height, labels))
+            yield pd.DataFrame(out, columns=names)
+
+    joined = local.select(*names).join(renames, ["slide_id", "col", "row"], "left")
+    return joined.mapInPandas(rename, f"slide_id {sid}, col int, row int, width int, height int, labels binary")
+
+
+def label_components(mask_tiles: DataFrame, tile_size: int) -> DataFrame:
+    """Labels of the 4-connected components as a pixel table ``(slide_id, x, y, label)``."""
+    sid = mask_tiles.schema["slide_id"].dataType.simpleString()
+
+    def pixels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for t in pdf.itertuples(index=False):
+                labels = np.frombuffer(t.labels, np.int64).reshape(t.height, t.width)
+                ys, xs = np.nonzero(labels >= 0)
+                yield pd.DataFrame({
+                    "slide_id": t.slide_id, "x": xs + t.col * tile_size, "y": ys + t.row * tile_size,
+                    "label": labels[ys, xs],
+                })
+
+    return label_tiles(mask_tiles, tile_size).mapInPandas(
+        pixels, f"slide_id {sid}, x bigint, y bigint, label bigint"
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slidelake import schema as S
 from slidelake.functions import file_stem, level_tile_side
+from slidelake.operators.grouping import partitions_of
 from slidelake.operators.ordering import explode_range, previous_row
 
 
@@ -39,9 +40,15 @@ def plan_levels(slides: DataFrame) -> DataFrame:
 
 
 def grid(levels: DataFrame) -> DataFrame:
-    """Every cell of every level's tile grid."""
+    """Every cell of every level's tile grid.
+
+    Grid rows are spread over all tasks before their cells are generated, so
+    that one huge level is not expanded by a single task.  The number of
+    partitions is stated, since the rows are few bytes but many cells.
+    """
     rows = explode_range(levels, F.lit(0), F.col("rows"), "row")
-    return explode_range(rows, F.lit(0), F.col("cols"), "col")
+    spread = rows.repartition(partitions_of(rows), "slide_id", "level", "row")
+    return explode_range(spread, F.lit(0), F.col("cols"), "col")
 
 
 def resolve_mpp(slide_props: DataFrame, props: str = "props") -> DataFrame:

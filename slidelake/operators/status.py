@@ -39,26 +39,24 @@ def batch_state(events: DataFrame) -> DataFrame:
 
 def batch_overview(events: DataFrame, native: bool = False) -> DataFrame:
     """Completed share of all files and the pyramid of the first file that got done."""
-    state = batch_state(events)
+    per_file = events.groupBy("file").agg(
+        F.max_by("status", "seq").alias("status"),
+        F.min(F.when(F.col("status") == "done", F.col("seq"))).alias("done_seq"),
+    )
     finished = F.count_if(F.col("status").isin("done", "skipped", "error"))
-    totals = state.agg(
+    return per_file.agg(
         F.count(F.lit(1)).alias("files"),
         finished.alias("completed"),
         (finished / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("overall"),
-    )
-    first = events.agg(
-        F.min_by(
-            F.when(F.col("status") == "done", F.col("file")), F.when(F.col("status") == "done", F.col("seq"))
-        ).alias("first_file")
+        F.min_by("file", "done_seq").alias("first_file"),
     ).withColumn("first_result", pyramid_name(F.col("first_file"), native))
-    return totals.join(first)
 
 
 def bench_summary(timings: DataFrame) -> DataFrame:
     """Median time per configuration, the fastest flagged."""
     medians = timings.groupBy("config").agg(F.median("seconds").alias("median_seconds"))
-    best = medians.agg(F.min_by("config", F.struct("median_seconds", "config")).alias("best"))
-    return medians.join(best).select("config", "median_seconds", (F.col("config") == F.col("best")).alias("is_best"))
+    best = medians.agg(F.min_by("config", F.struct("median_seconds", "config")))
+    return medians.withColumn("is_best", F.col("config") == best.scalar())
 
 
 def running_timing(log: DataFrame, columns: list[str], every: int = 100, bucket_rows: int = 1 << 16) -> DataFrame:

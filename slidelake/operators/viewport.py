@@ -289,15 +289,16 @@ def tileset_changes(
 ) -> DataFrame:
     """Updates whose tile set differs from the viewer's previous update.
 
-    A set is compared by its size and two independent 64-bit fingerprints, which
-    combine before the shuffle; tiles are never collected.  The row names the
+    Repeated tiles are dropped first; then a set is compared by its size and two
+    independent 64-bit fingerprints, so tiles are never collected.  The row names the
     previous update as fallback when the level changed.  ``bucket`` splits a
     viewer's timeline (default: one hour), so a busy viewer spans many tasks.
     """
     tile = F.struct("level", "col", "row")
-    sets = viewport_tiles.groupBy("viewer_id", "ts", "seq").agg(
+    distinct = viewport_tiles.select("viewer_id", "ts", "seq", "level", "col", "row").distinct()
+    sets = distinct.groupBy("viewer_id", "ts", "seq").agg(
         F.max("level").alias("level"),
-        F.countDistinct("level", "col", "row").alias("n_tiles"),
+        F.count(F.lit(1)).alias("n_tiles"),
         F.bit_xor(F.xxhash64(F.lit(1), tile)).alias("_f1"),
         F.sum(F.xxhash64(F.lit(2), tile).cast("decimal(20,0)")).alias("_f2"),
     )
