@@ -50,16 +50,23 @@ def level_for_scale(requests: DataFrame, levels: DataFrame) -> DataFrame:
     seen = with_levels(requests.filter(F.col("scale") > 0), levels)
     reach = F.lit(1.0) / F.col("scale")
     fitting = _largest(F.col("levels"), "downsample", lambda l: l["downsample"] <= reach)
-    return seen.withColumn(
-        "level_info", F.coalesce(fitting, _smallest(F.col("levels"), "downsample"))
-    )
+    return _computed_once(seen, F.coalesce(fitting, _smallest(F.col("levels"), "downsample")))
 
 
 def level_for_mpp(requests: DataFrame, levels: DataFrame) -> DataFrame:
     """Add ``level_info``: coarsest level whose mpp stays within ``target_mpp``, else the finest."""
     seen = with_levels(requests, levels)
     fitting = _largest(F.col("levels"), "mpp", lambda l: l["mpp"] <= F.col("target_mpp"))
-    return seen.withColumn("level_info", F.coalesce(fitting, _smallest(F.col("levels"), "mpp")))
+    return _computed_once(seen, F.coalesce(fitting, _smallest(F.col("levels"), "mpp")))
+
+
+def _computed_once(df: DataFrame, info: Column) -> DataFrame:
+    """Add ``level_info`` by exploding a one-element array.
+
+    A plain column would be copied into every filter on the tile range that the
+    optimizer pushes below it, and the search would run several times per row.
+    """
+    return df.select("*", F.explode(F.array(info)).alias("level_info"))
 
 
 def level_info(requests: DataFrame, levels: DataFrame, on_missing: str = "error") -> DataFrame:
