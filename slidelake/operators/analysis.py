@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -15,8 +16,9 @@ from pyspark.sql.window import Window
 
 from slidelake import schema as S
 from slidelake.operators.annotations import append_batch
+from slidelake.operators.grouping import map_sorted_groups, partitions_of
 from slidelake.operators.levels import level_for_mpp
-from slidelake.operators.skew import keep_wanted
+from slidelake.operators.skew import HASHABLE, keep_wanted
 
 INPUT_KINDS = ("tile", "region", "whole_slide", "annotations")
 # Fixed values of the tissue rules.
@@ -38,14 +40,20 @@ class ModelSpec:
 class AnalysisSpec:
     """What an analysis needs and how it runs.
 
-    ``process`` gets one row's data frame (tile, region), or the rows of one
-    bounded group (whole_slide, annotations), and returns a dict of output
-    columns.  A ``model`` replaces ``process`` for model-backed analyses.
+    For tiles and regions ``process`` gets one row's data frame and returns a
+    dict of output columns; a ``model`` replaces it for model-backed analyses.
+
+    For whole slides and annotation sets ``process`` gets an iterator over the
+    group's rows, so a slide is read as a stream and never held.  With a
+    ``merge`` the group is split over many tasks: ``process`` then returns a
+    small partial state for its share, and ``merge`` turns the list of states
+    into the output dict.
     """
 
     name: str
     output_schema: str
-    process: Callable[[pd.DataFrame], dict] | None = None
+    process: Callable[[Any], Any] | None = None
+    merge: Callable[[list], dict] | None = None
     model: ModelSpec | None = None
     input_kind: str = "region"
     input_size: tuple[int, int] | None = None
@@ -71,7 +79,7 @@ def validate_inputs(df: DataFrame, spec: AnalysisSpec) -> DataFrame:
 
 
 def run_analysis(spec: AnalysisSpec, inputs: DataFrame) -> DataFrame:
-    """Run an analysis over all rows (or bounded groups) of the inputs.
+    """Run an analysis over all rows or groups of the inputs.
 
     Output: the key columns, ``success, message, processing_time`` and the
     columns of ``output_schema``.  An exception makes its own row fail and
@@ -104,23 +112,49 @@ def run_analysis(spec: AnalysisSpec, inputs: DataFrame) -> DataFrame:
             if spec.model and spec.model.unload:
                 spec.model.unload(model)
 
-    def over_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if spec.model:
-            return _with_model(spec.model, lambda call: pd.DataFrame([one(key, pdf, call)], columns=names))
-        return pd.DataFrame([one(key, pdf, spec.process)], columns=names)
-
     if spec.input_kind in ("tile", "region"):
         return inputs.mapInPandas(over_rows, schema)
-    return inputs.groupBy(*keys).applyInPandas(over_group, schema)
+    if spec.model:
+        raise ValueError("models run on tiles and regions; combine their results per slide")
+
+    def whole(key: tuple, rows: Iterator) -> Iterator[tuple]:
+        yield tuple(one(key, rows, spec.process))
+
+    if spec.merge is None:
+        return map_sorted_groups(inputs, keys, [], whole, schema, names)
 
+    shares = min(256, partitions_of(inputs))
+    spread = [f.name for f in inputs.schema.fields if f.name not in keys and isinstance(f.dataType, HASHABLE)]
+    share = F.pmod(F.xxhash64(*spread), F.lit(shares)).cast("int") if spread else F.lit(0)
 
-def _with_model(model: ModelSpec, use: Callable) -> pd.DataFrame:
-    loaded = model.load()
-    try:
-        return use(lambda rows: model.predict(loaded, rows))
-    finally:
-        if model.unload:
-            model.unload(loaded)
+    def partial(key: tuple, rows: Iterator) -> Iterator[tuple]:
+        started = time.perf_counter()
+        try:
+            state, message = pickle.dumps(spec.process(rows)), None
+        except Exception as error:
+            state, message = None, str(error)
+        yield (*key, state, message, time.perf_counter() - started)
+
+    def combine(key: tuple, rows: Iterator) -> Iterator[tuple]:
+        parts = list(rows)  # at most one small state per share
+        errors = [p.error for p in parts if p.error is not None]
+        spent = sum(p.seconds for p in parts)
+
+        def merged(states: list) -> dict:
+            if errors:
+                raise RuntimeError(errors[0])
+            return spec.merge(states)
+
+        made = one(key, [pickle.loads(p.state) for p in parts if p.state is not None], merged)
+        made[len(key) + 2] += spent
+        yield tuple(made)
+
+    states = map_sorted_groups(
+        inputs.withColumn("_share", share), [*keys, "_share"], [], partial,
+        f"{key_schema}, _share int, state binary, error string, seconds double",
+        [*keys, "_share", "state", "error", "seconds"],
+    )
+    return map_sorted_groups(states.drop("_share"), keys, [], combine, schema, names)
 
 
 def _split_schema(text: str) -> list[str]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_HASHABLE = (T.NumericType, T.StringType, T.BooleanType, T.TimestampType, T.TimestampNTZType)
+HASHABLE = (T.NumericType, T.StringType, T.BooleanType, T.TimestampType, T.TimestampNTZType)
 
 
 def default_salts(df: DataFrame) -> int:
@@ -28,7 +28,7 @@ def salted_join(
     """
     salts = salts or default_salts(left)
     spread = [
-        f.name for f in left.schema.fields if f.name not in keys and isinstance(f.dataType, _HASHABLE)
+        f.name for f in left.schema.fields if f.name not in keys and isinstance(f.dataType, HASHABLE)
     ]
     if salts == 1 or not spread:
         return left.join(right, list(keys), how)

@@ -203,6 +203,20 @@ def _(b: Bridge) -> DataFrame:
     )
 
 
+@query("g01_whole_slide_analysis", oracle("""
+    SELECT slide_id, sum(r)::BIGINT AS total, count(DISTINCT (col, "row")) AS tiles FROM b_pixels GROUP BY slide_id""", "b_pixels"))
+def _(b: Bridge) -> DataFrame:
+    def share(rows) -> tuple[int, int]:
+        sums = [int(np.frombuffer(t.rgb, np.uint8)[0::3].astype(np.int64).sum()) for t in rows]
+        return sum(sums), len(sums)
+
+    spec = G.AnalysisSpec(
+        name="red per slide", output_schema="total bigint, tiles bigint", process=share, input_kind="whole_slide",
+        merge=lambda states: {"total": sum(s[0] for s in states), "tiles": sum(s[1] for s in states)}, keys=("slide_id",),
+    )
+    return G.run_analysis(spec, b.pixel_tiles.select("slide_id", "col", "row", "rgb")).select("slide_id", "total", "tiles")
+
+
 @query("g03_validate_inputs", """
     SELECT vec_id, label NOT IN (3, 4, 5) AS valid, CASE WHEN label = 3 THEN 'Expected RGB image with 3 channels'
            WHEN label = 5 THEN 'Expected RGB image with 3 channels' WHEN label = 4 THEN 'Expected input size 8x8' ELSE '' END AS message FROM embeddings""")

@@ -133,17 +133,22 @@ def features(annotations: DataFrame) -> DataFrame:
     return annotations.withColumn("pairs", pairs).withColumn("feature", text).drop("pairs")
 
 
-def annotation_documents(annotations: DataFrame, order: str = "pos", max_features: int = 50_000) -> DataFrame:
+def annotation_documents(
+    annotations: DataFrame, order: str = "pos", max_features: int = 50_000, max_bytes: int = 64 << 20
+) -> DataFrame:
     """FeatureCollection text per slide, features in their order.
 
-    A slide with more than ``max_features`` annotations gets several documents
-    (``part``), so that no task has to hold all of a huge slide; the reader
-    unites the documents of a slide.
+    A slide with more than ``max_features`` annotations or about ``max_bytes``
+    of text gets several documents (``part``), so that no task has to hold all
+    of a huge slide; the reader unites the documents of a slide.
     """
-    sizes = annotations.groupBy("slide_id").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(max_features)).alias("_parts")
+    texts = features(annotations).select("slide_id", order, "annotation_id", "feature")
+    sizes = texts.groupBy("slide_id").agg(
+        F.greatest(
+            F.ceil(F.count(F.lit(1)) / F.lit(max_features)), F.ceil(F.sum(F.length("feature")) / F.lit(max_bytes))
+        ).alias("_parts")
     )
-    parted = salted_join(features(annotations).select("slide_id", order, "annotation_id", "feature"), sizes, ["slide_id"])
+    parted = salted_join(texts, sizes, ["slide_id"])
     return (
         parted.withColumn("part", F.pmod(F.xxhash64("annotation_id"), F.col("_parts")).cast("int"))
         .groupBy("slide_id", "part")

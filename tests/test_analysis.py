@@ -64,10 +64,25 @@ def test_failing_rows_do_not_fail_the_job(spark):
     df = spark.createDataFrame([(i, i % 3) for i in range(9)], "request_id int, v int")
     done = {r.request_id: r for r in G.run_analysis(G.AnalysisSpec("h", "half int", process=halves), df).collect()}
     assert [done[i].success for i in range(3)] == [False, True, True] and done[1].half == 6 and "zero" in done[0].message
-    grouped = G.AnalysisSpec("n", "n int", process=lambda rows: {"n": len(rows)}, input_kind="annotations", keys=("v",))
+    grouped = G.AnalysisSpec("n", "n int", process=lambda rows: {"n": sum(1 for _ in rows)}, input_kind="annotations", keys=("v",))
     assert rows(G.run_analysis(grouped, df), "v", "n") == [(0, 3), (1, 3), (2, 3)]
 
 
+def test_groups_can_be_split_over_tasks(spark):
+    def count(rows):
+        values = [r.v for r in rows]
+        if 6666 in values:
+            raise ValueError("bad value")
+        return len(values), sum(values)
+
+    spec = G.AnalysisSpec("mean", "n int, mean double, parts int", process=count, input_kind="whole_slide", keys=("slide_id",),
+                          merge=lambda states: {"n": sum(s[0] for s in states), "mean": sum(s[1] for s in states) / sum(s[0] for s in states), "parts": len(states)})
+    df = spark.range(1000).selectExpr("id % 2 AS slide_id", "CAST(id AS INT) AS v").union(spark.createDataFrame([(7, 6666), (7, 1)], "a bigint, b int"))
+    done = {r.slide_id: r for r in G.run_analysis(spec, df).collect()}
+    assert (done[0].n, done[0].mean) == (500, 499.0) and done[1].mean == 500.0 and done[0].parts > 1
+    assert not done[7].success and done[7].message == "bad value"
+
+
 def test_models_are_loaded_and_released(spark, folder):
     import os
 
