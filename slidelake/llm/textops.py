@@ -32,12 +32,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and document number of every word."""
+def words(
+    buf: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document number of every word; ``between`` marks the bytes that part words."""
     if not len(buf):
         empty = np.zeros(0, np.int64)
         return empty, empty, empty
-    solid = ~SPACE[buf]
+    solid = ~between[buf]
     first = np.zeros(len(buf) + 1, bool)
     first[offsets] = True
     starts = solid.copy()

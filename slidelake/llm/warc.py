@@ -1,7 +1,7 @@
 """WARC archives with a two-level capture index.
 
-Records are sorted by reversed-host URL keys and written to archives, one gzip
-member each.  Index lines are packed into compressed blocks that hold the place
+Records are written to archives, one gzip member each.  Index lines are sorted
+by reversed-host URL keys and packed into compressed blocks that hold the place
 of every record; a sparse directory holds the first key of each block, and the
 first key of each directory page is small enough to travel to every task.  A
 lookup searches page, block and line by bisection and reads only the bytes of
@@ -16,6 +16,7 @@ import uuid
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyarrow import fs as pafs
@@ -124,31 +125,21 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
 
     ``pages(page_id, url, html)``: null html is an empty payload, a null URL has
     the key ``)``, repeated rows give one record each, an empty table no archive;
-    further columns are ignored.  Blocks are ``(block, first_key, lines BINARY,
-    archive)``, the directory has no lines but page numbers.  A retried task
+    further columns are ignored.  Blocks are ``(block, first_key, lines BINARY)``,
+    the directory has no lines but page numbers.  A retried task
     writes archives of its own name; the index names those of committed tasks only.
     """
     spark = pages.sparkSession
     folder = (folder or scratch_path(spark, "warc")).rstrip("/")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    records = plan_records(pages, min_bytes).repartitionByRange(width, "key").sortWithinPartitions("key")
+    columns = ["page_id", "url", "key", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        context, out, place, lines, number = TaskContext.get(), None, 0, [], 0
+        context, out, place = TaskContext.get(), None, 0
         archive = f"{folder}/part-{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.gz"
-
-        def block() -> pd.DataFrame:
-            nonlocal lines, number
-            row = {
-                "block": [(context.partitionId() << 32) + number], "first_key": [lines[0].split("\t", 1)[0]],
-                "lines": [zlib.compress("\n".join(lines).encode("utf-8", "surrogatepass"))], "archive": [archive],
-            }
-            lines, number = [], number + 1
-            return pd.DataFrame(row)
-
-        last = None
         try:
             for frame in frames:
+                rows = []
                 for r in frame.itertuples(index=False):
                     if out is None:
                         store, path = open_store(archive)
@@ -158,20 +149,39 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
                     refers = None if pd.isna(r.refers_to) else int(r.refers_to)
                     data = gzip.compress(_record(page, r.url, r.payload, r.payload_bytes, r.payload_digest, r.record_type, refers), 1, mtime=0)
                     out.write(data)
-                    key = _escape(r.key)
-                    if len(lines) >= BLOCK_LINES and key != last:  # equal keys stay in one block
-                        yield block()
-                    lines.append(f"{key}\t{place}\t{len(data)}")
-                    place, last = place + len(data), key
+                    rows.append((_escape(r.key), archive, place, len(data)))
+                    place += len(data)
+                yield pd.DataFrame(rows, columns=["key", "archive", "place", "length"])
         finally:
             if out is not None:
                 out.close()
-        if lines:
+
+    # Payloads move once at most, to meet their first copy; the sort works on index lines alone.
+    lines = cut_lineage(
+        plan_records(pages, min_bytes).select(*columns).mapInPandas(write, "key string, archive string, place bigint, length bigint")
+    )
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base, number, held, last = TaskContext.get().partitionId() << 32, 0, [], None
+
+        def block() -> pd.DataFrame:
+            nonlocal held, number
+            packed = zlib.compress("\n".join("\t".join(x) for x in held).encode("utf-8", "surrogatepass"))
+            row = pd.DataFrame({"block": [base + number], "first_key": [held[0][0]], "lines": [packed]})
+            held, number = [], number + 1
+            return row
+
+        for frame in frames:
+            for key, archive, place, length in frame.itertuples(index=False):
+                if len(held) >= BLOCK_LINES and key != last:  # equal keys stay in one block
+                    yield block()
+                held.append((key, archive, str(place), str(length)))
+                last = key
+        if held:
             yield block()
 
-    columns = ["page_id", "url", "key", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     blocks = cut_lineage(
-        records.select(*columns).mapInPandas(write, "block bigint, first_key string, lines binary, archive string")
+        lines.repartitionByRange(width, "key").sortWithinPartitions("key").mapInPandas(fold, "block bigint, first_key string, lines binary")
     )
     # Range partitions follow key order, so block numbers rise with the keys.
     part = F.shiftright("block", 32)
@@ -207,21 +217,17 @@ def lookup(keys: DataFrame, blocks: DataFrame, directory: DataFrame) -> DataFram
     def to_block(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for key, entries in zip(frame["key"], frame["sheet"]):
-                at = bisect_right(entries, _escape(key), key=lambda e: e["first_key"]) - 1
-                out.append((key, entries[at]["block"]))
+            for asked_keys, numbers, firsts in zip(frame["keys"], frame["blocks"], frame["firsts"]):
+                firsts = list(firsts)
+                out += [(k, numbers[bisect_right(firsts, _escape(k)) - 1]) for k in asked_keys]
             yield pd.DataFrame(out, columns=["key", "block"])
 
-    grouped = asked.groupBy("page", F.pmod(F.xxhash64("key"), F.lit(1024)).alias("_share")).agg(F.collect_list("key").alias("keys"))
+    # A page holds PAGE_BLOCKS * BLOCK_LINES different keys at most.
+    grouped = asked.groupBy("page").agg(F.collect_list("key").alias("keys"))
     found = (
         grouped.join(sheet, "page")
-        .select("keys", "sheet")
-        .mapInPandas(
-            lambda frames: to_block(
-                pd.DataFrame({"key": list(k), "sheet": [s] * len(k)}) for f in frames for k, s in zip(f["keys"], f["sheet"])
-            ),
-            "key string, block bigint",
-        )
+        .select("keys", F.col("sheet.block").alias("blocks"), F.col("sheet.first_key").alias("firsts"))
+        .mapInPandas(to_block, "key string, block bigint")
     )
     # A block holds some hundred lines, so its asked keys fit one row.
     wanted = found.groupBy("block").agg(F.collect_list("key").alias("keys"))
@@ -229,20 +235,20 @@ def lookup(keys: DataFrame, blocks: DataFrame, directory: DataFrame) -> DataFram
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "key"]
         for frame in frames:
-            for lines, archive, asked_keys in zip(frame["lines"], frame["archive"], frame["keys"]):
-                store, path = open_store(archive)
+            for lines, asked_keys in zip(frame["lines"], frame["keys"]):
                 pending = {_escape(k): k for k in asked_keys}
+                entries = [x.split("\t") for x in zlib.decompress(lines).decode("utf-8", "surrogatepass").split("\n")]
                 out = []
-                with store.open_input_file(path) as source:
-                    for line in zlib.decompress(lines).decode("utf-8", "surrogatepass").split("\n"):
-                        key, place, length = line.split("\t")
-                        if key in pending:
-                            record = parse_record(gzip.decompress(source.read_at(int(length), int(place))))
-                            out.append(record | {"key": pending[key]})
+                # One archive is open at a time, its ranges in order.
+                for archive, part in groupby(sorted((e[1], int(e[2]), int(e[3]), e[0]) for e in entries if e[0] in pending), key=lambda e: e[0]):
+                    store, path = open_store(archive)
+                    with store.open_input_file(path) as source:
+                        for _, place, length, key in part:
+                            out.append(parse_record(gzip.decompress(source.read_at(length, place))) | {"key": pending[key]})
                 rows = pd.DataFrame(out, columns=names)
                 yield rows.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return blocks.join(wanted, "block").select("lines", "archive", "keys").mapInPandas(
+    return blocks.join(wanted, "block").select("lines", "keys").mapInPandas(
         read,
         "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, "
         "refers_to bigint, key string",
