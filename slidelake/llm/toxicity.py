@@ -20,7 +20,9 @@ from slidelake.llm.textops import LOWER, SPACE, hash_runs, hash_spans, words
 
 #: Fit on at most this many documents of either label.
 PER_CLASS = 2500
-MIN_DOCS = 3
+MIN_DOCS = 5
+#: Weight decay; it keeps words of a few documents from standing in for what many share.
+PENALTY = 1e-4
 FOLDS = 5
 SENTENCE_WORDS = 40
 #: Bytes of a word's beginning and ending that count as features.
@@ -82,7 +84,7 @@ class Model:
         return sigmoid(np.bincount(s.owner, self.weights[self.known.of(s.features)], s.count) + self.bias)
 
 
-def fit(table: pa.Table, label: str = "toxic", rounds: int = 150) -> Model:
+def fit(table: pa.Table, label: str = "toxic", rounds: int = 250) -> Model:
     """Learn from ``text``, ``label`` and ``_weight``; without either label, nothing is toxic."""
     buf, offsets = concat_texts(table)
     y = np.asarray(table[label].to_numpy(), float) if table.num_rows else np.zeros(0)
@@ -107,7 +109,7 @@ def fit(table: pa.Table, label: str = "toxic", rounds: int = 150) -> Model:
         slope = np.where(y > 0, (1 - whole) / whole, -1.0)[s.sentence_doc] * p * weight[s.sentence_doc]
         grad = -np.bincount(at, slope[owner], len(w))
         grad[-1] = -slope.sum()
-        grad[:-1] += 2e-6 * w[:-1]
+        grad[:-1] += PENALTY * w[:-1]
         adam.step(w, grad)
         w[-2] = 0.0
     return Model(known, w[:-1], float(w[-1]))
