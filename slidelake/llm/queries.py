@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slidelake.llm import mixing, quality, toxicity, warc
+from slidelake.llm import language, mixing, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,8 @@ def quality_rules(spark, sf_dir):
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"
     )
+
+
+@query("op6_language")
+def languages(spark, sf_dir):
+    return language.detect(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
