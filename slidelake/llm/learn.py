@@ -127,3 +127,11 @@ def concat_texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.chunk(0) if column.num_chunks else pa.array([], pa.string())
     return bytes_of(column)
+
+
+def pieces(table: pa.Table, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Slices of a sample's texts with the number of their first text, so that fitting needs little memory at once."""
+    buf, offsets = concat_texts(table)
+    for begin, end in splits(np.diff(offsets), limit):
+        part = offsets[begin : end + 1]
+        yield buf[part[0] : part[-1]], part - part[0], begin

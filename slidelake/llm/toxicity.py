@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slidelake.llm.learn import Adam, Vocabulary, concat_texts, fold, labelled_sample, map_texts, sigmoid
+from slidelake.llm.learn import Adam, Vocabulary, fold, labelled_sample, map_texts, pieces, sigmoid
 from slidelake.llm.textops import LOWER, SPACE, hash_runs, hash_spans, words
 
 #: Fit on at most this many documents of either label.
-PER_CLASS = 2500
+PER_CLASS = 2000
 MIN_DOCS = 5
 #: Weight decay; it keeps words of a few documents from standing in for what many share.
 PENALTY = 1e-4
@@ -86,27 +86,41 @@ class Model:
 
 def fit(table: pa.Table, label: str = "toxic", rounds: int = 250) -> Model:
     """Learn from ``text``, ``label`` and ``_weight``; without either label, nothing is toxic."""
-    buf, offsets = concat_texts(table)
     y = np.asarray(table[label].to_numpy(), float) if table.num_rows else np.zeros(0)
     if not len(y) or y.max() == 0:
         return Model(Vocabulary(np.zeros(0, np.uint64)), np.zeros(1), -30.0)
-    s = Sentences(buf, offsets)
     weight = table["_weight"].to_numpy()
     weight = weight / weight.sum()
-    pairs = np.unique(np.stack((s.features, s.sentence_doc[s.owner].astype(np.uint64))), axis=1)[0] if len(s.features) else s.features
-    keys, seen = np.unique(pairs, return_counts=True)
-    known = Vocabulary(keys[seen >= MIN_DOCS])
-    at = known.of(s.features)
-    used = at < known.size
-    at, owner = at[used], s.owner[used]
+    # First the features of enough documents, then their places.
+    distinct = []
+    for buf, offsets, _ in pieces(table):
+        s = Sentences(buf, offsets)
+        of = s.sentence_doc[s.owner]
+        order = np.lexsort((of, s.features))
+        new = np.concatenate(([True], (np.diff(s.features[order]) != 0) | (np.diff(of[order]) != 0))) if len(order) else order > 0
+        distinct.append(np.unique(s.features[order][new], return_counts=True))
+    keys, at = np.unique(np.concatenate([k for k, _ in distinct]), return_inverse=True)
+    known = Vocabulary(keys[np.bincount(at, np.concatenate([n for _, n in distinct])) >= MIN_DOCS])
+    del distinct, at, keys
+    places, owners, docs, sentences = [], [], [], 0
+    for buf, offsets, begin in pieces(table):
+        s = Sentences(buf, offsets)
+        found = known.of(s.features)
+        used = found < known.size
+        places.append(found[used].astype(np.int32))
+        owners.append((s.owner[used] + sentences).astype(np.int32))
+        docs.append(s.sentence_doc + begin)
+        sentences += s.count
+    at, owner, sentence_doc = np.concatenate(places), np.concatenate(owners), np.concatenate(docs)
+    del places, owners, docs
     w = np.zeros(known.size + 2)  # last: bias; before it: unknown features, which stay 0
     w[-1] = -5.0
     adam = Adam(len(w), 0.1)
     for _ in range(rounds):
-        p = sigmoid(np.bincount(owner, w[at], s.count) + w[-1])
-        whole = np.clip(noisy_or(p, s.sentence_doc, len(y)), 1e-9, 1 - 1e-12)
+        p = sigmoid(np.bincount(owner, w[at], sentences) + w[-1])
+        whole = np.clip(noisy_or(p, sentence_doc, len(y)), 1e-9, 1 - 1e-12)
         # Slope of the log likelihood by a sentence's logit.
-        slope = np.where(y > 0, (1 - whole) / whole, -1.0)[s.sentence_doc] * p * weight[s.sentence_doc]
+        slope = np.where(y > 0, (1 - whole) / whole, -1.0)[sentence_doc] * p * weight[sentence_doc]
         grad = -np.bincount(at, slope[owner], len(w))
         grad[-1] = -slope.sum()
         grad[:-1] += PENALTY * w[:-1]
