@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slidelake.llm.learn import Adam, concat_texts, labelled_sample, map_texts, sigmoid
+from slidelake.llm.learn import Adam, labelled_sample, map_texts, pieces, sigmoid
 from slidelake.llm.textops import hash_runs, hash_spans, mix, spread, words
 
 #: Fit on at most this many documents of either label.
-PER_CLASS = 2000
+PER_CLASS = 1500
 BITS = 17
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -116,12 +116,15 @@ def fit(table: pa.Table, rounds: int = 120) -> Model:
     y = np.asarray(table["quality"].to_numpy(), float) if table.num_rows else np.zeros(0)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros((_KINDS << BITS) + 1), 0.0, 30.0 if not len(y) or y.max() else -30.0)
-    buf, offsets = concat_texts(table)
-    ids, docs, shares = features(buf, offsets)
-    # Equal features of a document add up once.
-    key, where = np.unique(docs * np.int64(_KINDS << BITS) + ids, return_inverse=True)
-    value = np.bincount(where, shares)
-    docs, ids = key // (_KINDS << BITS), key % (_KINDS << BITS)
+    parts = []
+    for buf, offsets, begin in pieces(table):
+        ids, docs, shares = features(buf, offsets)
+        # Equal features of a document add up once.
+        key, where = np.unique(docs * np.int64(_KINDS << BITS) + ids, return_inverse=True)
+        value = np.bincount(where, shares).astype(np.float32)
+        parts.append(((key // (_KINDS << BITS) + begin).astype(np.int32), (key % (_KINDS << BITS)).astype(np.int32), value))
+    docs, ids, value = (np.concatenate(x) for x in zip(*parts))
+    del parts
     weight = table["_weight"].to_numpy()
     held = np.arange(len(y)) % 5 == 0
     seen = ~held[docs]
