@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slidelake.llm.learn import MAX_FIT_BYTES, concat_texts, fold, map_texts, sample_by_class
+from slidelake.llm.learn import MAX_FIT_BYTES, fold, map_texts, pieces, sample_by_class
 from slidelake.llm.textops import LOWER, hash_spans, mix, words
 
 PER_LANGUAGE = 1500
@@ -152,16 +152,17 @@ def viterbi(scores: np.ndarray, first: np.ndarray, count: np.ndarray, penalty: f
 def fit(table: pa.Table, label: str = "lang") -> Model:
     """Smoothed n-gram statistics of ``text`` by ``label``."""
     names = sorted(set(table[label].to_pylist()))
-    buf, offsets = concat_texts(table)
-    t = Texts(buf, offsets)
     number = {x: i for i, x in enumerate(names)}
     of_doc = np.array([number[x] for x in table[label].to_pylist()], np.int64)
     counts = np.zeros((len(_ORDERS) << BITS, len(names)))
     shares = np.zeros((len(SCRIPTS) + 1, len(names)))
-    for j in range(len(names)):
-        uses = np.bincount(t.form[of_doc[t.doc] == j], minlength=t.forms)
-        counts[:, j] = np.bincount(t.ids, uses[t.of], len(counts))
-        shares[:, j] = np.bincount(t.script, uses, len(shares))
+    for buf, offsets, begin in pieces(table):
+        t = Texts(buf, offsets)
+        speech = of_doc[t.doc + begin]
+        for j in np.unique(speech):
+            uses = np.bincount(t.form[speech == j], minlength=t.forms)
+            counts[:, j] += np.bincount(t.ids, uses[t.of], len(counts))
+            shares[:, j] += np.bincount(t.script, uses, len(shares))
     shares /= np.maximum(shares.sum(axis=0), 1)
     log = np.empty(counts.shape, np.float32)
     for k in range(len(_ORDERS)):
