@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slidelake.llm import language, mixing, quality, toxicity, warc
+from slidelake.llm import language, mixing, quality, superkmers, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +70,34 @@ def quality_rules(spark, sf_dir):
 @query("op6_language")
 def languages(spark, sf_dir):
     return language.detect(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query(
+    "op4_superkmer_dedup",
+    r"""
+WITH x AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p, len(w) AS n_words
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)
+  WHERE len(w) > 0
+), s AS (
+  SELECT doc_id, p, n_words,
+    string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS seq
+  FROM x
+), k AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY seq ORDER BY doc_id, p) AS n FROM s WHERE p + 19 <= n_words
+), m AS (
+  SELECT x.doc_id, x.p, x.word, x.n_words,
+    max(CASE WHEN k.n > 1 THEN x.p END) OVER (PARTITION BY x.doc_id ORDER BY x.p) AS last
+  FROM x LEFT JOIN k USING (doc_id, p)
+), r AS (
+  SELECT doc_id, n_words, count(*) FILTER (p - last < 20) AS n_removed,
+    string_agg(word, ' ' ORDER BY p) FILTER (last IS NULL OR p - last >= 20) AS kept
+  FROM m GROUP BY doc_id, n_words
+)
+SELECT d.doc_id, coalesce(r.n_words, 0) AS n_words, coalesce(r.n_removed, 0) AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN r USING (doc_id)
+""",
+)
+def repeated_words(spark, sf_dir):
+    found = superkmers.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
