@@ -22,7 +22,6 @@ from slidelake.session import cut_lineage
 
 BATCH_BYTES = 6 << 20
 MAX_ROWS = 1 << 16  # a place holds 16 bits of index
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.large_binary())])
 
 
 class Batch:
@@ -32,6 +31,7 @@ class Batch:
         table = pa.ipc.open_stream(payload).read_all().combine_chunks()
         self.number = int(number)
         self.rows = table.num_rows
+        self.table = table
         self.ids = table["doc_id"].combine_chunks() if self.rows else pa.array([], pa.int64())
         if isinstance(self.ids, pa.ChunkedArray):
             self.ids = self.ids.chunk(0)
@@ -44,6 +44,16 @@ class Batch:
     def places(self) -> np.ndarray:
         return (self.number << 16) + np.arange(self.rows, dtype=np.int64)
 
+    @property
+    def nulls(self) -> np.ndarray:
+        """Which texts are null; only known where all columns were packed."""
+        return self.table["null_text"].to_numpy(zero_copy_only=False) if "null_text" in self.table.column_names else np.zeros(self.rows, bool)
+
+    def rest(self) -> pa.Table:
+        """The other columns, where they were packed."""
+        kept = [c for c in self.table.column_names if c.startswith("carry_")]
+        return self.table.select(kept).rename_columns([c[len("carry_"):] for c in kept])
+
     def text(self, i: int) -> bytes:
         return self.buf[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
@@ -63,13 +73,18 @@ def bytes_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _write(parts: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, _SCHEMA, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(pa.Table.from_batches(parts, _SCHEMA).combine_chunks())
+    table = pa.Table.from_batches(parts).combine_chunks()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
     return sink.getvalue().to_pybytes()
 
 
-def pack(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """Written table ``(batch BIGINT, rows BIGINT, payload BINARY)`` of all documents; other columns are left out."""
+def pack(docs: DataFrame, batch_bytes: int = BATCH_BYTES, carry: bool = False) -> DataFrame:
+    """Written table ``(batch BIGINT, rows BIGINT, payload BINARY)`` of all documents.
+
+    Other columns are left out, or travel along under ``carry_`` names.
+    """
+    others = docs.columns if carry else []
 
     def fold(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 20
@@ -87,9 +102,12 @@ def pack(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
 
         for piece in arrow:
             lengths = np.diff(bytes_of(piece.column(1))[1])
-            data = pa.RecordBatch.from_arrays(
-                [piece.column(0), piece.column(1).cast(pa.large_binary()).fill_null(b"")], schema=_SCHEMA
-            )
+            arrays = [piece.column(0), piece.column(1).cast(pa.large_binary()).fill_null(b"")]
+            fields = ["doc_id", "text"]
+            if others:
+                arrays += [piece.column(1).is_null(), *piece.columns[2:]]
+                fields += ["null_text", *(f"carry_{c}" for c in others if c != "text")]
+            data = pa.RecordBatch.from_arrays(arrays, fields)
             begin = 0
             for i, n in enumerate(lengths.tolist()):
                 many = rows + i - begin
@@ -104,7 +122,10 @@ def pack(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
         if rows:
             yield flush()
 
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        *[F.col(c).alias(f"carry_{c}") for c in others if c != "text"],
+    )
     return cut_lineage(narrow.mapInArrow(fold, "batch bigint, rows bigint, payload binary"))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slidelake.llm import language, mixing, quality, superkmers, toxicity, warc
+from slidelake.llm import language, mixing, quality, runindex, superkmers, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +101,8 @@ FROM documents d LEFT JOIN r USING (doc_id)
 def repeated_words(spark, sf_dir):
     found = superkmers.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op9_run_index_dedup")
+def repeated_bytes(spark, sf_dir):
+    return runindex.remove_repeats(table(spark, sf_dir, "documents"))
