@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from slidelake.session import cut_lineage
 
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20
 MAX_ROWS = 1 << 16  # a place holds 16 bits of index
 
 
@@ -74,7 +74,7 @@ def bytes_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _write(parts: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
     table = pa.Table.from_batches(parts).combine_chunks()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 

@@ -25,7 +25,9 @@ WINDOW = 20
 #: Words of a minimiser; a window has WINDOW - GRAM + 1 of them.
 GRAM = 4
 #: Buckets for each shuffle partition, so that partitions fill evenly.
-BUCKETS_EACH = 8
+BUCKETS_EACH = 4
+#: Packed strings travel to other machines, so they are worth compressing well.
+LEVEL = 7
 NO_ID = np.iinfo(np.int64).max  # a null id comes last
 
 
@@ -86,8 +88,8 @@ def _order_ids(batch: Batch) -> np.ndarray:
 
 
 def _text_keys(batch: Batch) -> np.ndarray:
-    """Tells texts of one id apart, so that only repeated rows count as one document."""
-    return hash_spans(batch.buf, batch.offsets[:-1], batch.offsets[1:]).astype(np.int64)
+    """Sixteen bits that tell texts of one id apart, so that only repeated rows count as one document."""
+    return (hash_spans(batch.buf, batch.offsets[:-1], batch.offsets[1:]) >> np.uint64(48)).astype(np.int64)
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -95,7 +97,7 @@ def _pack(**arrays: np.ndarray) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_batch(table)
-    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
+    return zstandard.ZstdCompressor(level=LEVEL).compress(sink.getvalue().to_pybytes())
 
 
 def _unpack(data: bytes) -> dict[str, bytes]:
@@ -140,8 +142,8 @@ def _send(batch: Batch, window: int, gram: int, buckets: int) -> list[tuple[int,
         text[np.cumsum(size) - 1] = 32
         doc = w.doc[begin[s]]
         payload = _pack(
-            text=text, windows=count[s].astype(np.int32), index=doc.astype(np.int32), ids=ids[doc], keys=keys[doc],
-            place=(begin[s] - w.first[doc]).astype(np.int64),
+            text=text, windows=count[s].astype(np.int32), index=doc.astype(np.int32), ids=ids[doc], keys=keys[doc].astype(np.uint16),
+            place=(begin[s] - w.first[doc]).astype(np.int32),
         )
         out.append((batch.number, int(bucket[s[0]]), payload))
     return out
@@ -153,7 +155,7 @@ def _settle(group: pd.DataFrame, window: int) -> list[tuple[int, bytes]]:
     number = np.repeat(np.arange(len(parts)), [len(p["windows"]) // 4 for p in parts])
     read = lambda name, kind: np.frombuffer(b"".join(p[name] for p in parts), kind)
     buf, count, index = read("text", np.uint8), read("windows", np.int32).astype(np.int64), read("index", np.int32)
-    ids, keys, place = read("ids", np.int64), read("keys", np.int64), read("place", np.int64)
+    ids, keys, place = read("ids", np.int64), read("keys", np.uint16).astype(np.int64), read("place", np.int32).astype(np.int64)
     starts, ends, _ = words(buf, np.array([0, len(buf)]))
     hashes = hash_runs(hash_spans(buf, starts, ends), window)
     first = np.concatenate(([0], np.cumsum(count + window - 1)[:-1]))
@@ -189,28 +191,31 @@ def repeated_windows(packed: DataFrame, window: int = WINDOW, gram: int = GRAM,
     return sent.groupBy("bucket").applyInPandas(settle, "batch bigint, payload binary")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, buckets: int | None = None) -> DataFrame:
-    """``(doc_id, n_words, n_removed, kept_sha256, kept)`` of every row of ``docs(doc_id, text)``.
+def remove_repeats(
+    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, buckets: int | None = None, with_text: bool = False
+) -> DataFrame:
+    """``(doc_id, n_words, n_removed, kept_sha256)`` of every row of ``docs(doc_id, text)``.
 
     A word goes when it lies in a window that also starts earlier (smaller id, or
     earlier in the same text).  Null texts have no words; a null id comes after
     all others; of different texts with one id a fixed one is first; repeated
     rows (same id and text) are one document and get the same answer; other
-    columns are ignored; an empty table gives no row.  ``kept`` is the rest of
-    the words, joined by blanks.
+    columns are ignored; an empty table gives no row.  ``with_text``
+    adds ``kept``, the rest of the words joined by blanks.
     """
     packed = pack(docs)
     answers = repeated_windows(packed, window, gram, buckets).groupBy("batch").agg(F.collect_list("payload").alias("answers"))
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if with_text else [])]
 
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for number, payload, replies in zip(frame["batch"], frame["payload"], frame["answers"]):
-                yield pd.DataFrame(_apply(Batch(number, payload), replies, window, gram), columns=names).astype({"doc_id": "Int64"})
+                rows = [r[: len(names)] for r in _apply(Batch(number, payload), replies, window, gram)]
+                yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
     # Answers of a batch number its windows at most.
     return packed.join(answers, "batch", "left").select("batch", "payload", "answers").mapInPandas(
-        apply, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept binary"
+        apply, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept binary" * with_text
     )
 
 
