@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slidelake.llm import decontaminate, language, mixing, quality, runindex, setsketch, superkmers, toxicity, warc
+from slidelake.llm import attention, decontaminate, language, mixing, quality, runindex, setsketch, superkmers, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,3 +140,8 @@ def near_copies(spark, sf_dir):
 @query("op10_bm25_decontaminate")
 def leaks(spark, sf_dir):
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_attention_lm")
+def language_model(spark, sf_dir):
+    return attention.score_documents(table(spark, sf_dir, "documents"))
