@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,6 +130,32 @@ def pack(docs: DataFrame, batch_bytes: int = BATCH_BYTES, carry: bool = False) -
     return cut_lineage(narrow.mapInArrow(fold, "batch bigint, rows bigint, payload binary"))
 
 
+def documents_of(batch: Batch, names: list[str], texts: pa.Array | None = None) -> pa.Table:
+    """All columns of a batch that was packed with them; ``texts`` takes the place of the packed ones."""
+    rest = batch.rest()
+    if texts is None:
+        texts = batch.table["text"].cast(pa.large_string())
+        texts = pa.compute.if_else(batch.table["null_text"], pa.scalar(None, pa.large_string()), texts)
+    return pa.table([texts.cast(pa.string()) if n == "text" else rest[n] for n in names], names)
+
+
+def select_places(docs: DataFrame, packed: DataFrame, places: DataFrame, keep: bool) -> DataFrame:
+    """The packed rows of ``docs`` whose ``place`` is listed, or all others."""
+    names = docs.columns
+
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in arrow:
+            for number, payload, listed in zip(*(frame.column(k).to_pylist() for k in range(3))):
+                batch = Batch(number, payload)
+                mask = np.isin(batch.places, np.array(listed or [], np.int64)) == keep
+                yield from documents_of(batch, names).filter(pa.array(mask)).to_batches()
+
+    # A batch has some ten thousand places at most.
+    marks = places.groupBy(F.shiftright("place", 16).alias("batch")).agg(F.collect_list("place").alias("listed"))
+    joined = packed.select("batch", "payload").join(marks, "batch", "inner" if keep else "left")
+    return joined.select("batch", "payload", "listed").mapInArrow(run, docs.schema)
+
+
 def each_batch(frames: Iterator[pd.DataFrame]) -> Iterator[Batch]:
     """Batches of a packed table inside mapInPandas."""
     for frame in frames:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slidelake.llm.batches import bytes_of, each_batch, pack
+from slidelake.llm.batches import bytes_of, each_batch, pack, select_places
 from slidelake.llm.learn import Vocabulary
 from slidelake.llm.textops import LOWER, SPACE, hash_runs, hash_spans, splits, words
 
@@ -210,3 +210,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
         "doc_id", F.col("score").isNotNull().alias("contaminated"),
         F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), "score",
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no item of the benchmark."""
+    packed = pack(docs, carry=True)
+    return select_places(docs, packed, find_hits(packed, benchmark).select("place").distinct(), keep=False)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slidelake.llm.batches import Batch, each_batch, pack, shuffle_width
+from slidelake.llm.batches import Batch, documents_of, each_batch, pack, shuffle_width
 from slidelake.llm.superkmers import _pack, _unpack, ranges
 from slidelake.llm.textops import _powers, hash_runs, mix, runs, spread, window_min
 from slidelake.session import cut_lineage
@@ -406,8 +406,7 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame
     ``n_chars``, if there, follows.  A null text stays null.
     """
     schema = docs.schema
-    narrow = docs.withColumns({"text": F.col("text").cast("string")})
-    packed = pack(narrow, carry=True)
+    packed = pack(docs, carry=True)
 
     def apply(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
@@ -424,18 +423,12 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame
                     None if nulls[i] else batch.buf[batch.offsets[i] : batch.offsets[i + 1]][~gone[batch.offsets[i] : batch.offsets[i + 1]]].tobytes().decode("utf-8", "replace")
                     for i in range(batch.rows)
                 ]
-                rest = batch.rest()
-                columns = []
-                for name in names:
-                    if name == "text":
-                        columns.append(pa.array(texts, pa.string()))
-                    elif name == "n_chars":
-                        old = rest[name].combine_chunks() if hasattr(rest[name], "combine_chunks") else rest[name]
-                        fresh = [o if t is None else len(t) for o, t in zip(old.to_pylist(), texts)]
-                        columns.append(pa.array(fresh, old.type))
-                    else:
-                        columns.append(rest[name])
-                yield from pa.table(columns, names).to_batches()
+                rows = documents_of(batch, names, pa.array(texts, pa.string()))
+                if "n_chars" in names:
+                    old = rows["n_chars"]
+                    fresh = pa.array([o if t is None else len(t) for o, t in zip(old.to_pylist(), texts)], old.type)
+                    rows = rows.set_column(names.index("n_chars"), "n_chars", fresh)
+                yield from rows.to_batches()
 
     names = [f.name for f in schema.fields]
     joined = packed.join(repeated_places(packed, length, **options), "batch", "left").select("batch", "payload", "answers")

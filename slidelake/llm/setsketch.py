@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slidelake.llm.batches import Batch, each_batch, pack
+from slidelake.llm.batches import Batch, each_batch, pack, select_places
 from slidelake.llm.textops import LOWER, hash_runs, hash_spans, mix, words
 from slidelake.operators.components import merge_labels
 from slidelake.session import cut_lineage
@@ -281,3 +281,9 @@ def near_duplicates(docs: DataFrame | None = None, packed: DataFrame | None = No
         (alone | (F.col("place") == F.col("front"))).alias("chosen"),
         F.when(alone, F.lit(1)).otherwise(F.col("n_same")).cast("bigint").alias("n_same"),
     )
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, with one row of each near-duplicate component left."""
+    packed = pack(docs, carry=True)
+    return select_places(docs, packed, near_duplicates(packed=packed).filter("chosen").select("place"), keep=True)

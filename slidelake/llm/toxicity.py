@@ -8,6 +8,7 @@ probabilities then tell which sentences offend.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -15,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slidelake.llm.batches import bytes_of
 from slidelake.llm.learn import Adam, Vocabulary, fold, labelled_sample, map_texts, pieces, sigmoid
-from slidelake.llm.textops import LOWER, SPACE, hash_runs, hash_spans, words
+from slidelake.llm.textops import LOWER, SPACE, hash_runs, hash_spans, splits, words
 
 #: Fit on at most this many documents of either label.
 PER_CLASS = 2000
@@ -166,6 +168,25 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return map_texts(docs, make, "score double, sentences array<struct<begin: bigint, end: bigint, score: double>>")
 
 
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.known.keys, model.weights, model.bias))
+    at = docs.columns.index("text")
+
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, weights, bias = shared.value
+        known = Model(Vocabulary(keys), weights, bias)
+        for piece in arrow:
+            buf, offsets = bytes_of(piece.column(at))
+            for begin, end in splits(np.diff(offsets), 1 << 20):
+                part = offsets[begin : end + 1]
+                s = Sentences(buf[part[0] : part[-1]], part - part[0])
+                whole = noisy_or(known.sentences(s), s.sentence_doc, end - begin)
+                yield piece.slice(begin, end - begin).filter(pa.array(whole < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score all documents with a model that has not seen the held-out fold.
 
