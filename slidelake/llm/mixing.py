@@ -8,7 +8,6 @@ length are then picked by a seeded hash.
 
 from __future__ import annotations
 
-import math
 import random
 from collections.abc import Sequence
 
@@ -53,46 +52,69 @@ def source_targets(totals: pd.DataFrame, weights: Sequence[float], max_repeats:
     return out
 
 
-def fit_budget(counts: dict[int, int], budget: int, seed: int) -> dict[int, int]:
-    """How many documents of each length to take so that the lengths sum to the budget.
+def fit_budget(counts: dict[int, int], budget: int, seed: int, max_repeats: int = MAX_REPEATS) -> dict[int, int]:
+    """How many documents of each length to take, repeats counted, so that the lengths sum to the budget.
 
-    Gives the largest reachable sum not above the budget among the completions
-    of a proportional and seeded start; usually the budget itself.
+    Whole passes come first, then a proportional share of every length, a seeded
+    fill and the knapsack, all within one more pass; what is left after that may
+    repeat documents up to ``max_repeats`` times.  Where the budget cannot be
+    met, the nearer of the sums below and one document above is taken.
     """
-    total = sum(n * c for n, c in counts.items())
     lengths = sorted(n for n in counts if n > 0)
-    if budget >= total:
-        return {n: counts[n] for n in lengths}
-    take = {n: counts[n] * budget // total for n in lengths} if budget > 0 else {n: 0 for n in lengths}
-    rest = budget - sum(n * c for n, c in take.items())
+    total = sum(n * counts[n] for n in lengths)
+    if not total or budget <= 0:
+        return dict.fromkeys(lengths, 0)
+    passes = min(max_repeats, budget // total)
+    rest = budget - passes * total
+    take = {n: counts[n] * passes for n in lengths}
+    if passes == max_repeats:
+        return take
+    for n in lengths:
+        share = counts[n] * (budget - passes * total) // total
+        take[n] += share
+        rest -= share * n
     order = lengths[:]
     random.Random(seed).shuffle(order)
+    for most in sorted({passes + 1, max_repeats}):
+        rest = _fill(counts, take, rest, order, most)
+        if not rest:
+            return take
+    above = min((n for n in lengths if rest < n < 2 * rest and take[n] < max_repeats * counts[n]), default=None)
+    if above:
+        take[above] += 1
+    return take
+
+
+def _fill(counts: dict[int, int], take: dict[int, int], rest: int, order: list[int], most: int) -> int:
+    """Add documents, each at most ``most`` times, to come closest to ``rest`` from below; returns what is left."""
     while rest > KNAPSACK_WORDS:
         before = rest
         for n in order:
-            if take[n] < counts[n] and rest - n >= KNAPSACK_WORDS // 2:
-                take[n] += 1
-                rest -= n
+            add = min(most * counts[n] - take[n], 1, (rest - KNAPSACK_WORDS // 2) // n)
+            if add > 0:
+                take[n] += add
+                rest -= n * add
         if rest == before:
             break
     # Bit i of reach: sum i can be made; one bit set per item tells the way back.
-    mask, reach, steps = (1 << (rest + 1)) - 1, 1, []
+    limit = min(rest, sum(n * (most * counts[n] - take[n]) for n in order))
+    mask, reach, steps = (1 << (limit + 1)) - 1, 1, []
     for n in order:
-        left, chunk = min(counts[n] - take[n], rest // n), 1
+        left, chunk = min(most * counts[n] - take[n], limit // n), 1
         while left > 0:
             chunk = min(chunk, left)
             steps.append((n, chunk, reach))
             reach |= (reach << (n * chunk)) & mask
             left -= chunk
             chunk *= 2
-        if reach >> rest & 1:
+        if reach >> limit & 1:
             break
-    at = reach.bit_length() - 1
+    made = at = reach.bit_length() - 1
     for n, chunk, before in reversed(steps):
         if not before >> at & 1:
             take[n] += chunk
             at -= n * chunk
-    return take
+    return rest - made
 
 
 def mix_sources(
@@ -126,11 +148,10 @@ def mix_sources(
     )
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        size, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
-        full = min(max_repeats, math.floor(target / size)) if size else 0
-        budget = round(target) - full * size if full < max_repeats else 0
-        take = fit_budget(dict(zip(pdf["size"].tolist(), pdf["n"].tolist())), budget, seed)
-        return pdf.assign(full=full, extra=[take.get(n, 0) for n in pdf["size"].tolist()])
+        count = dict(zip(pdf["size"].tolist(), pdf["n"].tolist()))
+        take = fit_budget(count, round(float(pdf["target"].iloc[0])), seed, max_repeats)
+        full = [take.get(n, 0) // c for n, c in count.items()]
+        return pdf.assign(full=full, extra=[take.get(n, 0) - f * c for (n, c), f in zip(count.items(), full)])
 
     plan = cut_lineage(
         plan.groupBy("source").applyInPandas(
