@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slidelake.llm.batches import Batch, each_batch, pack, select_places
+from slidelake.llm.batches import Batch, each_batch, pack, select_places, shuffle_width
 from slidelake.llm.textops import LOWER, hash_runs, hash_spans, mix, words
 from slidelake.operators.components import merge_labels
 from slidelake.session import cut_lineage
@@ -34,7 +34,9 @@ BASE = 1.09
 #: A pair is dropped if the threshold is less likely than the best fit by this many nats (under 1 in 100,000 at the threshold).
 SLACK = 10.0
 #: Members of a bucket that one task compares; larger buckets are compared block by block.
-BLOCK = 2048
+BLOCK = 512
+#: Fewer equal registers than this put the threshold 20 nats below the best fit, twice the slack.
+LEAST_EQUAL = 380
 _FACTORS = (mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _CHUNK = 256
 
@@ -146,6 +148,8 @@ def _filter_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         for f in frames:
             if len(f):
                 above, below = _counts(_regs(f["regs_a"]), _regs(f["regs_b"]))
+                near = REGISTERS - above - below >= LEAST_EQUAL
+                f, above, below = f[near], above[near], below[near]
                 yield f.loc[plausible(f["n_a"].to_numpy(), f["n_b"].to_numpy(), above, below), ["a", "b"]]
 
     # Sizes exclude many pairs before any sketch is looked at.
@@ -226,6 +230,8 @@ def _across(bands: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame
             j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i]))]
             if blocks:
                 j = j[mine[j] != mine[i]]
+            # The cheap count first; only what it leaves is worth a likelihood.
+            j = j[np.count_nonzero(regs[j] == regs[i], axis=1) >= LEAST_EQUAL]
             if len(j):
                 above, below = _counts(regs[i], regs[j])
                 j = j[plausible(np.full(len(j), n[i]), n[j], above, below)]
@@ -233,7 +239,9 @@ def _across(bands: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame
                 right += rep[j].tolist()
         return pd.DataFrame({"a": np.array(left, np.int64), "b": np.array(right, np.int64)})
 
-    return met.groupBy("key", "low", "high").applyInPandas(run, "a bigint, b bigint").distinct()
+    # Comparing is work on few bytes, so it is spread by count and not by size.
+    spread = met.repartition(4 * shuffle_width(met), "key", "low", "high")
+    return spread.groupBy("key", "low", "high").applyInPandas(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame | None = None, packed: DataFrame | None = None) -> DataFrame:
