@@ -17,7 +17,7 @@ from slidelake.operators import pixels as X
 from slidelake.operators.components import label_components
 from slidelake.operators.levels import with_level_mpp
 from slidelake.plans.bridge import PIXEL_HEIGHT, PIXEL_TILE, PIXEL_WIDTH, Bridge, oracle
-from slidelake.plans.catalog_viewports import pixel_sums
+from slidelake.plans.catalog_viewports import pixel_sums, place_sums
 from slidelake.plans.pipelines import analyze_regions
 from slidelake.plans.registry import query
 from slidelake.session import local_path, scratch_path
@@ -39,7 +39,7 @@ def _png(width: int, height: int, rgb: bytes) -> bytes:
 
 @query("s09_read_images", oracle("""
     SELECT concat(slide_id, '_', col, '_', "row", '.png') AS name, 8 AS width, 8 AS height,
-           sum(r)::BIGINT AS sum_r, sum(g)::BIGINT AS sum_g, sum(b)::BIGINT AS sum_b FROM b_pixels GROUP BY slide_id, col, "row" """, "b_pixels"))
+           sum(r)::BIGINT AS sum_r, sum(g)::BIGINT AS sum_g, sum(b)::BIGINT AS sum_b, """ + place_sums("(x % 8)", "(y % 8)") + """ FROM b_pixels GROUP BY slide_id, col, "row" """, "b_pixels"))
 def _(b: Bridge) -> DataFrame:
     root = scratch_path(b.spark, "images")
     base = local_path(root)
@@ -54,13 +54,30 @@ def _(b: Bridge) -> DataFrame:
 
     b.pixel_tiles.select("slide_id", "col", "row", "width", "height", "rgb").mapInPandas(save, "col int").write.format(
         "noop").mode("overwrite").save()
-    images = read_images(b.spark, root).withColumn("name", F.element_at(F.split("path", "/"), -1)).drop("path")
+    images = read_images(b.spark, root)[0].withColumn("name", F.element_at(F.split("path", "/"), -1)).drop("path")
     return pixel_sums(images)
 
 
+@query("s09_image_rejects", "SELECT concat(s_suppkey, '.png') AS name, 'not a readable image' AS reason FROM supplier WHERE s_suppkey % 3 = 0")
+def _(b: Bridge) -> DataFrame:
+    root = scratch_path(b.spark, "images")
+    base = local_path(root)
+
+    def save(batches):
+        os.makedirs(base, exist_ok=True)
+        for pdf in batches:
+            for number in pdf["s_suppkey"]:
+                with open(f"{base}/{number}.png", "wb") as out:
+                    out.write(b"no image" if number % 3 == 0 else _png(1, 1, b"abc"))
+            yield pdf
+
+    b.table("supplier").select("s_suppkey").mapInPandas(save, "s_suppkey bigint").write.format("noop").mode("overwrite").save()
+    return read_images(b.spark, root)[1].select(F.element_at(F.split("path", "/"), -1).alias("name"), "reason")
+
+
 @query("p08_cut_tiles", oracle("""
     SELECT slide_id, 4 AS level, x // 20 AS col, y // 20 AS "row", CAST(max(x) - min(x) + 1 AS INTEGER) AS width,
-           CAST(max(y) - min(y) + 1 AS INTEGER) AS height, sum(r)::BIGINT AS sum_r, sum(g)::BIGINT AS sum_g, sum(b)::BIGINT AS sum_b
+           CAST(max(y) - min(y) + 1 AS INTEGER) AS height, sum(r)::BIGINT AS sum_r, sum(g)::BIGINT AS sum_g, sum(b)::BIGINT AS sum_b, """ + place_sums("(x % 20)", "(y % 20)") + """
     FROM (SELECT s.slide_id, q.x, q.y, coalesce(p.r, 255) AS r, coalesce(p.g, 255) AS g, coalesce(p.b, 255) AS b
           FROM (SELECT DISTINCT slide_id FROM b_pixels) s CROSS JOIN (SELECT unnest(range(96)) AS x) qx CROSS JOIN (SELECT unnest(range(72)) AS y) qy
           CROSS JOIN LATERAL (SELECT qx.x, qy.y) q LEFT JOIN b_pixels p ON p.slide_id = s.slide_id AND p.x = q.x AND p.y = q.y)
@@ -106,7 +123,8 @@ def _pyramid_sql() -> str:
     return f"""{head},\n{full},{steps}
     SELECT slide_id, level, CAST(col AS INTEGER) AS col, CAST("row" AS INTEGER) AS "row",
            CAST(max(x) - min(x) + 1 AS INTEGER) AS width, CAST(max(y) - min(y) + 1 AS INTEGER) AS height,
-           sum(r)::BIGINT AS sum_r, sum(g)::BIGINT AS sum_g, sum(b)::BIGINT AS sum_b FROM ({union}) GROUP BY ALL"""
+           sum(r)::BIGINT AS sum_r, sum(g)::BIGINT AS sum_g, sum(b)::BIGINT AS sum_b,
+           {place_sums(f"(x % {T})", f"(y % {T})")} FROM ({union}) GROUP BY ALL"""
 
 
 @query("p09_build_pyramid", _pyramid_sql())
@@ -140,13 +158,22 @@ def _filter_sql(kernel: str, factor: float, out_w: int, out_h: int) -> str:
 
 
 @query("p10_resample_lanczos", _filter_sql("lanczos3", 0.5, 48, 36) + """
-    SELECT slide_id, sum(r)::BIGINT AS sum_r, sum(g)::BIGINT AS sum_g, sum(b)::BIGINT AS sum_b FROM filled GROUP BY slide_id""")
+    SELECT slide_id, sum(r)::BIGINT AS sum_r, sum(g)::BIGINT AS sum_g, sum(b)::BIGINT AS sum_b, """ + place_sums("x", "y") + " FROM filled GROUP BY slide_id")
 def _(b: Bridge) -> DataFrame:
     tiles = X.resample_to(b.pixel_tiles, b.pixel_slides, F.col("source_mpp") / 0.5, out_tile_size=16)
     # Output tiles that no stored tile reaches stay missing and count as white.
     covered = pixel_sums(tiles).withColumn("n", F.col("width") * F.col("height"))
+    mixed = F.col("sum_r") + 2 * F.col("sum_g") + 3 * F.col("sum_b")
+
+    def whole(name: str, index: str, side: str, across: str, out: int, out_across: int):
+        """Weighted sum over the slide: tiles moved to their place, what is missing white."""
+        moved = F.sum(F.col(f"sum_{name}") + 16 * F.col(index) * mixed)
+        weight = F.col(across) * (F.col(side) * (F.col(side) + 1) / 2 + 16 * F.col(index) * F.col(side))
+        return (moved + 1530 * (out_across * out * (out + 1) // 2 - F.sum(weight))).cast("bigint").alias(f"sum_{name}")
+
     return covered.groupBy("slide_id").agg(
-        *[(F.sum(f"sum_{c}") + 255 * (48 * 36 - F.sum("n"))).alias(f"sum_{c}") for c in "rgb"]
+        *[(F.sum(f"sum_{c}") + 255 * (48 * 36 - F.sum("n"))).alias(f"sum_{c}") for c in "rgb"],
+        whole("x", "col", "width", "height", 48, 36), whole("y", "row", "height", "width", 36, 48),
     )
 
 
@@ -157,7 +184,7 @@ def _(b: Bridge) -> DataFrame:
             FROM (SELECT DISTINCT slide_id FROM b_pixels) s CROSS JOIN (SELECT unnest(range(96)) AS x) qx CROSS JOIN (SELECT unnest(range(72)) AS y) qy
             LEFT JOIN b_pixels p ON p.slide_id = s.slide_id AND p.x = qx.x AND p.y = qy.y) GROUP BY ALL),
         slides AS (""") + """
-    SELECT slide_id, 32 AS width, 24 AS height, sum(r)::BIGINT AS sum_r, sum(g)::BIGINT AS sum_g, sum(b)::BIGINT AS sum_b FROM filled GROUP BY slide_id""")
+    SELECT slide_id, 32 AS width, 24 AS height, sum(r)::BIGINT AS sum_r, sum(g)::BIGINT AS sum_g, sum(b)::BIGINT AS sum_b, """ + place_sums("x", "y") + " FROM filled GROUP BY slide_id")
 def _(b: Bridge) -> DataFrame:
     pyramid = X.build_pyramid_tiles(b.pixel_tiles, b.pixel_slides, b.pixel_levels)
     return pixel_sums(X.thumbnails(pyramid, b.pixel_slides, b.pixel_levels, max_size=32, block=16))
@@ -328,17 +355,23 @@ def _outputs(b: Bridge) -> DataFrame:
     )
 
 
-@query("g08_route_annotations", """
-    SELECT o.o_custkey AS slide_id, CASE WHEN l.l_linenumber % 4 = 0 THEN '' ELSE concat('label ', l.l_linenumber % 4) END AS label,
-           'detector' AS "group", count(*) AS n
-    FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
-    WHERE o.o_orderstatus <> 'P' AND l.l_orderkey % 9 <> 4 AND l.l_orderkey % 8 <> 3 GROUP BY ALL""")
+@query("g08_route_annotations", oracle("""
+    SELECT slide_id, annotation_id, coalesce(label, '') AS label, grp AS "group" FROM b_shapes
+    UNION ALL
+    SELECT slide_id, concat('ann_', lpad(concat('', last + n), greatest(6, length(concat('', last + n)))::INTEGER, '0')), label, 'detector' FROM (
+        SELECT o.o_custkey AS slide_id, CASE WHEN l.l_linenumber % 4 = 0 THEN '' ELSE concat('label ', l.l_linenumber % 4) END AS label,
+               coalesce(m.last, 0) AS last,
+               row_number() OVER (PARTITION BY o.o_custkey ORDER BY l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey) AS n
+        FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
+        LEFT JOIN (SELECT slide_id, max(seq) AS last FROM b_shapes GROUP BY slide_id) m ON m.slide_id = o.o_custkey
+        WHERE o.o_orderstatus <> 'P' AND l.l_orderkey % 9 <> 4 AND l.l_orderkey % 8 <> 3)""", "b_shapes"))
 def _(b: Bridge) -> DataFrame:
-    none = b.annotations.select("slide_id", "annotation_id", "type", "coordinates", "properties").limit(0)
-    routed = G.route_annotations(_outputs(b), none, "detector")
-    return routed.groupBy(
-        "slide_id", F.col("properties")["label"].alias("label"), F.col("properties")["group"].alias("group")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    existing = b.annotations.select("slide_id", "annotation_id", "type", "coordinates", "properties")
+    routed = G.route_annotations(_outputs(b), existing, "detector")
+    return routed.select(
+        "slide_id", "annotation_id", F.coalesce(F.col("properties")["label"], F.lit("")).alias("label"),
+        F.col("properties")["group"].alias("group"),
+    )
 
 
 @query("g09_breakdown", """

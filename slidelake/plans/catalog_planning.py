@@ -264,21 +264,20 @@ def _(b: Bridge) -> DataFrame:
 
 
 def _metadata(b: Bridge) -> tuple[DataFrame, DataFrame]:
-    """Slides of the suppliers' numbers with full metadata, and their levels."""
-    chosen = b.slides.join(b.table("supplier").selectExpr("s_suppkey AS slide_id"), "slide_id", "left_semi")
-    slides = chosen.selectExpr(
+    """All slides with full metadata, and their levels."""
+    slides = b.slides.selectExpr(
         "slide_id", "'1.0' AS version", "path AS source_file", "source_mpp", "target_mpp",
         "10 / target_mpp AS target_magnification", "tile_size", "width", "height",
         "array(255, 255, 255) AS background_color", "TIMESTAMP '2024-05-06 07:08:09.123456' AS preprocessed_at",
         "slide_id % 2 = 0 AS native_mpp_mode",
     )
-    return slides, b.levels.join(chosen.select("slide_id"), "slide_id", "left_semi")
+    return slides, b.levels
 
 
 @query("s03_s04_metadata_levels", oracle("""
     SELECT concat(s.slide_id, '') AS slide_id, s.width, s.height, s.slide_id % 2 = 0 AS native_mpp_mode,
            l.level, l.downsample, l.cols, l."rows", round(s.target_mpp * l.downsample, 6) AS mpp
-    FROM b_slides s JOIN supplier ON s_suppkey = s.slide_id JOIN b_levels l ON l.slide_id = s.slide_id""", "b_slides", "b_levels"))
+    FROM b_slides s JOIN b_levels l ON l.slide_id = s.slide_id""", "b_slides", "b_levels"))
 def _(b: Bridge) -> DataFrame:
     root = scratch_path(b.spark, "metadata")
     sources.write_slides(*_metadata(b), root)
@@ -359,17 +358,18 @@ def _(b: Bridge) -> DataFrame:
 @query("s10_s11_geojson_round_trip", oracle("""
     SELECT concat(slide_id, '') AS slide_id, annotation_id, type, min_x, min_y, max_x, max_y, coalesce(label, '') AS label,
            coalesce(color, '#ff6b6b') AS color, grp AS "group",
-           CASE type WHEN 'point' THEN 1 WHEN 'rectangle' THEN 2 ELSE 4 END AS n_points FROM b_boxes""", "b_boxes"))
+           CASE type WHEN 'point' THEN 1 WHEN 'rectangle' THEN 2 ELSE 4 END AS n_points,
+           CAST(row_number() OVER (PARTITION BY slide_id ORDER BY seq) - 1 AS INTEGER) AS pos FROM b_boxes""", "b_boxes"))
 def _(b: Bridge) -> DataFrame:
     from slidelake.operators.annotations import normalize_annotations, with_bounds
 
-    documents = geojson.annotation_documents(b.annotations.withColumnRenamed("seq", "pos"), max_features=100)
+    documents = geojson.annotation_documents(b.annotations.withColumnRenamed("seq", "pos"), max_features=5)
     annotations, _ = geojson.parse_documents(
         documents.selectExpr("concat(slide_id, '/', part) AS path", "concat(slide_id, '') AS slide_id", "document")
     )
     return normalize_annotations(with_bounds(annotations)).select(
         "slide_id", "annotation_id", "type", "min_x", "min_y", "max_x", "max_y", "label", "color", "group",
-        F.size("coordinates").alias("n_points"),
+        F.size("coordinates").alias("n_points"), "pos",
     )
 
 
@@ -480,10 +480,12 @@ def _(b: Bridge) -> DataFrame:
 
 
 @query("f05_slide_id", oracle("""
-    SELECT count(DISTINCT lower(path)) AS paths, count(DISTINCT lower(path)) AS ids, count(DISTINCT lower(path)) AS ids_of_upper FROM b_slides""", "b_slides"))
+    SELECT s.path, true AS same_as_upper, lower(s.path) = lower(coalesce(n.path, '')) AS same_as_next
+    FROM b_slides s LEFT JOIN b_slides n ON n.slide_id = s.slide_id + 1""", "b_slides"))
 def _(b: Bridge) -> DataFrame:
-    return b.slides.agg(
-        F.countDistinct(F.lower("path")).alias("paths"),
-        F.countDistinct(fn.slide_id(F.col("path"))).alias("ids"),
-        F.countDistinct(fn.slide_id(F.upper("path"))).alias("ids_of_upper"),
+    following = b.slides.select((F.col("slide_id") - 1).alias("slide_id"), F.col("path").alias("_next"))
+    own = fn.slide_id(F.col("path"))
+    return b.slides.join(following, "slide_id", "left").select(
+        "path", (own == fn.slide_id(F.upper("path"))).alias("same_as_upper"),
+        (own == fn.slide_id(F.coalesce("_next", F.lit("")))).alias("same_as_next"),
     )

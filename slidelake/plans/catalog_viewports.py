@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,6 @@ from slidelake.functions import to_level, to_slide, to_wsi
 from slidelake.operators import levels as L
 from slidelake.operators import regions as R
 from slidelake.operators import viewport as V
-from slidelake.operators.analysis import image_moments
 from slidelake.plans.bridge import PIXEL_TILE, Bridge, oracle
 from slidelake.plans.pipelines import serve_viewports
 from slidelake.plans.registry import query
@@ -125,7 +126,9 @@ def _(b: Bridge) -> DataFrame:
     SELECT q.request_id, CAST(q.w AS INTEGER) AS width, CAST(q.h AS INTEGER) AS height,
            CAST(255 * q.w * q.h + coalesce(sum(p.r - 255), 0) AS BIGINT) AS sum_r,
            CAST(255 * q.w * q.h + coalesce(sum(p.g - 255), 0) AS BIGINT) AS sum_g,
-           CAST(255 * q.w * q.h + coalesce(sum(p.b - 255), 0) AS BIGINT) AS sum_b
+           CAST(255 * q.w * q.h + coalesce(sum(p.b - 255), 0) AS BIGINT) AS sum_b,
+           CAST(1530 * q.h * (q.w * (q.w + 1) // 2) + coalesce(sum((p.x - q.x + 1) * (p.r + 2 * p.g + 3 * p.b - 1530)), 0) AS BIGINT) AS sum_x,
+           CAST(1530 * q.w * (q.h * (q.h + 1) // 2) + coalesce(sum((p.y - q.y + 1) * (p.r + 2 * p.g + 3 * p.b - 1530)), 0) AS BIGINT) AS sum_y
     FROM (SELECT p_partkey AS request_id, p_partkey % 7 AS slide_id, p_partkey % 40 - 5 AS x, p_partkey % 31 - 4 AS y,
                  10 + p_size AS w, 7 + p_size % 20 AS h FROM part) q
     LEFT JOIN b_pixels p ON p.slide_id = q.slide_id AND p.x >= q.x AND p.x < q.x + q.w AND p.y >= q.y AND p.y < q.y + q.h
@@ -139,10 +142,30 @@ def _(b: Bridge) -> DataFrame:
 
 
 def pixel_sums(images: DataFrame) -> DataFrame:
-    """Channel sums of raw RGB rows, to compare pixels without comparing blobs."""
+    """Channel sums of raw RGB rows, and sums weighted by place, which tell a turned or shuffled image."""
     keys = [c for c in images.columns if c not in ("rgb", "block", "y_offset")]
-    sums = image_moments(images, keys)
-    return sums.select(*keys, *[F.col(f"s_{c}").alias(f"sum_{c}") for c in "rgb"])
+    names = [*keys, "sum_r", "sum_g", "sum_b", "sum_x", "sum_y"]
+
+    def sums(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                height, width = row[at["height"]], row[at["width"]]
+                px = np.frombuffer(row[-1], np.uint8).reshape(height, width, 3).astype(np.int64)
+                mixed = px @ np.array([1, 2, 3])
+                by_x = int(mixed.sum(axis=0) @ np.arange(1, width + 1))
+                by_y = int(mixed.sum(axis=1) @ np.arange(1, height + 1))
+                out.append((*row[:-1], *px.sum(axis=(0, 1)).tolist(), by_x, by_y))
+            yield pd.DataFrame(out, columns=names)
+
+    at = {k: i for i, k in enumerate(keys)}
+    fields = [f"`{k}` {images.schema[k].dataType.simpleString()}" for k in keys] + [f"{n} bigint" for n in names[len(keys):]]
+    return images.select(*keys, "rgb").mapInPandas(sums, ", ".join(fields))
+
+
+def place_sums(x: str, y: str) -> str:
+    """Checking SQL of the weighted sums; ``x`` and ``y`` count from 0 inside an image with channels r, g, b."""
+    return f"sum(({x} + 1) * (r + 2 * g + 3 * b))::BIGINT AS sum_x, sum(({y} + 1) * (r + 2 * g + 3 * b))::BIGINT AS sum_y"
 
 
 @query("v11_resolve_regions", oracle("""
@@ -223,8 +246,8 @@ def _(b: Bridge) -> DataFrame:
 
 
 @query("v18_preload_worklist", oracle("""
-    SELECT g.* FROM b_grid g WHERE slide_id NOT IN (SELECT s_suppkey FROM supplier)
-    AND NOT EXISTS (SELECT 1 FROM b_cached c WHERE c.slide_id = g.slide_id AND c.level = g.level AND c.col = g.col AND c."row" = g."row")""",
+    SELECT g.* FROM b_grid g ANTI JOIN supplier ON s_suppkey = g.slide_id
+    ANTI JOIN b_cached c ON c.slide_id = g.slide_id AND c.level = g.level AND c.col = g.col AND c."row" = g."row" """,
     "b_grid", "b_cached"))
 def _(b: Bridge) -> DataFrame:
     unreadable = b.table("supplier").selectExpr("s_suppkey AS slide_id")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slidelake import schema as S
+from slidelake.operators.ordering import number_rows
 from slidelake.operators.skew import salted_join
 
 _PAIR = "array<double>"
@@ -20,7 +21,8 @@ def parse_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(path, slide_id, document)`` to ``(annotations, rejects)``.
 
     A document that is no JSON or has no ``features`` is rejected as a whole; a
-    bad feature is rejected alone.  A feature without id gets a fresh one.
+    bad feature is rejected alone.  A feature without id gets one made of its path and
+    position, the same at every read.
     """
     keys = F.json_object_keys("document")
     listed = documents.withColumn(
@@ -30,9 +32,11 @@ def parse_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         ),
     )
     texts = F.from_json(F.get_json_object("document", "$.features"), "array<string>")
+    # A part says how many features of its slide came before it.
+    first = F.coalesce(F.get_json_object("document", "$.first_position").try_cast("int"), F.lit(0))
     features = listed.filter(F.col("reason").isNull()).select(
-        "path", "slide_id", F.posexplode(texts).alias("pos", "feature")
-    )
+        "path", "slide_id", first.alias("first"), F.posexplode(texts).alias("pos", "feature")
+    ).withColumn("pos", F.col("first") + F.col("pos")).drop("first")
     field = lambda name: F.get_json_object("feature", name)
     geometry_type = F.coalesce(field("$.geometry.type"), F.lit(""))
     coordinates = field("$.geometry.coordinates")
@@ -71,7 +75,7 @@ def parse_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     ).otherwise(F.col("pairs"))
     annotations = good.select(
         "slide_id", "pos",
-        F.coalesce(field("$.id"), F.uuid()).alias("annotation_id"),
+        F.coalesce(field("$.id"), F.md5(F.concat_ws(":", "path", F.col("pos").cast("string")))).alias("annotation_id"),
         F.when(is_point, "point").when(is_rectangle, "rectangle")
         .when(is_polygon & (kind == "freehand"), "freehand").otherwise("polygon").alias("type"),
         _points(corners).alias("coordinates"),
@@ -139,24 +143,25 @@ def annotation_documents(
     """FeatureCollection text per slide, features in their order.
 
     A slide with more than ``max_features`` annotations or about ``max_bytes``
-    of text gets several documents (``part``), so that no task has to hold all
-    of a huge slide; the reader unites the documents of a slide.
+    of text gets several documents (``part``), cut in order, so that no task has
+    to hold all of a huge slide.  Each part carries the position of its first
+    feature, from which the reader restores the order of the whole slide.
     """
     texts = features(annotations).select("slide_id", order, "annotation_id", "feature")
-    sizes = texts.groupBy("slide_id").agg(
-        F.greatest(
-            F.ceil(F.count(F.lit(1)) / F.lit(max_features)), F.ceil(F.sum(F.length("feature")) / F.lit(max_bytes))
-        ).alias("_parts")
+    numbered = number_rows(texts, ["slide_id"], [order, "annotation_id"], "_n")
+    count = F.count(F.lit(1))
+    sizes = numbered.groupBy("slide_id").agg(
+        F.ceil(count / F.greatest(F.ceil(count / F.lit(max_features)), F.ceil(F.sum(F.length("feature")) / F.lit(max_bytes)))).alias("_each")
     )
-    parted = salted_join(texts, sizes, ["slide_id"])
+    parted = salted_join(numbered, sizes, ["slide_id"])
     return (
-        parted.withColumn("part", F.pmod(F.xxhash64("annotation_id"), F.col("_parts")).cast("int"))
+        parted.withColumn("part", F.floor((F.col("_n") - 1) / F.col("_each")).cast("int"))
         .groupBy("slide_id", "part")
-        .agg(F.sort_array(F.collect_list(F.struct(order, "annotation_id", "feature"))).alias("_f"))
+        .agg(F.min("_n").alias("_first"), F.sort_array(F.collect_list(F.struct("_n", "feature"))).alias("_f"))
         .select(
             "slide_id", "part",
             F.concat(
-                F.lit('{"type":"FeatureCollection","features":['),
+                F.lit('{"type":"FeatureCollection","first_position":'), F.col("_first") - 1, F.lit(',"features":['),
                 F.array_join(F.col("_f.feature"), ","),
                 F.lit("]}"),
             ).alias("document"),
@@ -166,6 +171,8 @@ def annotation_documents(
 
 def write_annotations(annotations: DataFrame, path: str, order: str = "pos", max_features: int = 50_000) -> None:
     """Write the documents under ``path/slide_id=.../part=.../``."""
-    annotation_documents(annotations, order, max_features).write.partitionBy("slide_id", "part").mode(
+    documents = annotation_documents(annotations, order, max_features)
+    # One task per part opens its folder, and no task opens all of them.
+    documents.repartition("slide_id", "part").write.partitionBy("slide_id", "part").mode(
         "overwrite"
     ).text(path)

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
+def read_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Decode image files to raw RGB rows; gray is repeated, a fourth band dropped.
 
+    Returns ``(images, rejects)``; files that cannot be decoded are rejects.
+
     The JVM decodes the files (bands come as BGR), Python only reorders bands.
     """
     names = ["path", "width", "height", "rgb"]
@@ -24,8 +26,13 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
                 rgb = np.repeat(px, 3, axis=2) if im.bands == 1 else px[:, :, 2::-1]
                 yield pd.DataFrame([(im.path, im.width, im.height, rgb.tobytes())], columns=names)
 
-    decoded = spark.read.format("image").option("dropInvalid", "true").load(path)
-    return decoded.select(
+    decoded = spark.read.format("image").option("dropInvalid", "false").load(path)
+    bad = F.col("image.height") <= 0
+    rejects = decoded.filter(bad).select(
+        F.col("image.origin").alias("path"), F.lit("not a readable image").alias("reason")
+    )
+    images = decoded.filter(~bad).select(
         F.col("image.origin").alias("path"), "image.width", "image.height",
         F.col("image.nChannels").alias("bands"), "image.data",
     ).mapInPandas(to_rgb, "path string, width int, height int, rgb binary")
+    return images, rejects

@@ -116,7 +116,7 @@ def test_images_of_one_three_and_four_bands(spark, folder):
     touch(f"{folder}/rgb.png", png(np.ascontiguousarray(rgba[:, :, :3]), 2))
     touch(f"{folder}/gray.png", png(np.ascontiguousarray(rgba[:, :, 0]), 0))
     touch(f"{folder}/rgba.png", png(rgba, 6))
-    got = {os.path.basename(r.path): np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3) for r in read_images(spark, folder).collect()}
+    got = {os.path.basename(r.path): np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3) for r in read_images(spark, folder)[0].collect()}
     assert np.array_equal(got["rgb.png"], rgba[:, :, :3]) and np.array_equal(got["rgba.png"], rgba[:, :, :3])
     assert np.array_equal(got["gray.png"], np.repeat(rgba[:, :, :1], 3, axis=2))
 
