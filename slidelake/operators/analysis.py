@@ -63,8 +63,8 @@ class AnalysisSpec:
     labels: tuple[str, ...] = field(default_factory=tuple)
 
 
-def validate_inputs(df: DataFrame, spec: AnalysisSpec) -> DataFrame:
-    """Add ``valid`` and ``message``: three-channel pixels of the expected size."""
+def input_problem(spec: AnalysisSpec) -> Column:
+    """Why an image row is no input of the analysis; empty if it is one."""
     pixels = F.col("width").cast("bigint") * F.col("height") * 3
     shaped = (F.col("width") > 0) & (F.col("height") > 0) & (F.length("rgb") == pixels)
     message = F.when(~F.coalesce(shaped, F.lit(False)), "Expected RGB image with 3 channels")
@@ -73,9 +73,12 @@ def validate_inputs(df: DataFrame, spec: AnalysisSpec) -> DataFrame:
         message = message.when(
             (F.col("height") != h) | (F.col("width") != w), f"Expected input size {h}x{w}"
         )
-    return df.withColumn("message", F.coalesce(message, F.lit(""))).withColumn(
-        "valid", F.col("message") == ""
-    )
+    return F.coalesce(message, F.lit(""))
+
+
+def validate_inputs(df: DataFrame, spec: AnalysisSpec) -> DataFrame:
+    """Add ``valid`` and ``message``: three-channel pixels of the expected size."""
+    return df.withColumn("message", input_problem(spec)).withColumn("valid", F.col("message") == "")
 
 
 def run_analysis(spec: AnalysisSpec, inputs: DataFrame) -> DataFrame:
@@ -83,7 +86,7 @@ def run_analysis(spec: AnalysisSpec, inputs: DataFrame) -> DataFrame:
 
     Output: the key columns, ``success, message, processing_time`` and the
     columns of ``output_schema``.  An exception makes its own row fail and
-    leaves the others alone.
+    leaves the others alone; so does an image that ``validate_inputs`` refuses.
     """
     if spec.input_kind not in INPUT_KINDS:
         raise ValueError(f"unknown input kind {spec.input_kind}")
@@ -101,18 +104,32 @@ def run_analysis(spec: AnalysisSpec, inputs: DataFrame) -> DataFrame:
             result, message, success = {}, str(error), False
         return [*key, success, message, time.perf_counter() - started, *[result.get(c) for c in outputs]]
 
+    def refuse(problem: str) -> Callable:
+        def fail(_rows):
+            raise ValueError(problem)
+
+        return fail
+
     def over_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = spec.model.load() if spec.model else None
         call = (lambda rows: spec.model.predict(model, rows)) if spec.model else spec.process
         try:
             for pdf in batches:
-                done = [one(tuple(pdf[k].iloc[i] for k in keys), pdf.iloc[i:i + 1], call) for i in range(len(pdf))]
+                problems = pdf.pop("_problem")
+                done = [
+                    one(tuple(pdf[k].iloc[i] for k in keys), pdf.iloc[i:i + 1], refuse(problem) if problem else call)
+                    for i, problem in enumerate(problems)
+                ]
                 yield pd.DataFrame(done, columns=names).astype(object)
         finally:
             if spec.model and spec.model.unload:
                 spec.model.unload(model)
 
     if spec.input_kind in ("tile", "region"):
+        if {"width", "height", "rgb"} <= set(inputs.columns):
+            inputs = inputs.withColumn("_problem", input_problem(spec))
+        else:
+            inputs = inputs.withColumn("_problem", F.lit(""))
         return inputs.mapInPandas(over_rows, schema)
     if spec.model:
         raise ValueError("models run on tiles and regions; combine their results per slide")

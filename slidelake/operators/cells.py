@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from slidelake import schema as S
 from slidelake.functions import slide_to_wsi_scale
 from slidelake.operators.ordering import explode_range
-from slidelake.operators.skew import salted_join, split_hot_join
+from slidelake.operators.skew import salted_join
 
 STRIDE = S.PATCH_SIZE - S.PATCH_OVERLAP
 # Fixed thresholds for eligible scans.
@@ -137,14 +137,14 @@ def cell_counts(cells: DataFrame) -> DataFrame:
 def remove_small(label_pixels: DataFrame, min_size: int = 10) -> DataFrame:
     """Drop components of fewer than ``min_size`` pixels.
 
-    Sizes are grouped counts joined back: they combine before the shuffle, and a
-    component of any size never has to sit in one task.
+    Sizes are grouped counts joined back: they combine before the shuffle, and
+    the join's salt comes from the pixels, so a component of any size spreads.
     """
     if min_size == 0:
         return label_pixels
     sizes = label_pixels.groupBy("slide_id", "label").agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.filter(F.col("_n") >= min_size)
-    return split_hot_join(label_pixels, large, ["slide_id", "label"], "_n")
+    return salted_join(label_pixels, large.drop("_n"), ["slide_id", "label"])
 
 
 def instance_table(label_pixels: DataFrame) -> DataFrame:

@@ -9,14 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slidelake.operators.skew import split_hot_join
 from slidelake.session import cut_lineage
 
 
-# Nodes with more links than this are joined by broadcast.
-HOT_ROWS = 1_000_000
-
-
 def _label_tile(mask: np.ndarray) -> np.ndarray:
     """Smallest member index of each pixel's 4-connected component, -1 off the mask.
 
@@ -43,19 +38,14 @@ def merge_labels(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
 
     Alternates the large-star and small-star steps, which need a number of
     rounds that grows with the logarithm of the longest chain.  Each step is a
-    grouped minimum (combined before the shuffle) and a join; every round is
-    written out.  Stops when a round changes nothing and fails loudly if it
+    grouped minimum (combined before the shuffle) and a join, whose crowded nodes
+    adaptive execution splits over tasks; every round is written out.  Stops when a round changes nothing and fails loudly if it
     never does.
     """
-    def star(links: DataFrame, large: bool, rows: int) -> DataFrame:
+    def star(links: DataFrame, large: bool) -> DataFrame:
         # links are (node, peer), one direction per step
-        low = links.groupBy("node").agg(
-            F.min(F.least("node", "peer")).alias("low"), F.count(F.lit(1)).alias("_n")
-        )
-        if rows > HOT_ROWS:
-            joined = split_hot_join(links, low, ["node"], "_n", HOT_ROWS)
-        else:  # no node can have more links than there are
-            joined = links.join(low.drop("_n"), "node")
+        low = links.groupBy("node").agg(F.min(F.least("node", "peer")).alias("low"))
+        joined = links.join(low, "node")
         if large:
             return joined.filter(F.col("peer") > F.col("node")).select(
                 F.col("peer").alias("a"), F.col("low").alias("b")
@@ -83,10 +73,8 @@ def merge_labels(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     current = cut_lineage(clean(edges))
     mark = _fingerprint(current)
     for _ in range(max_rounds):
-        # Either step works on at most two links per pair.
-        rows = 2 * mark[0]
-        large = clean(star(both_ways(current), True, rows))
-        current = cut_lineage(clean(star(downward(large), False, rows)))
+        large = clean(star(both_ways(current), True))
+        current = cut_lineage(clean(star(downward(large), False)))
         now = _fingerprint(current)
         if now == mark:
             return current.select(F.col("a").alias("node"), F.col("b").alias("root"))

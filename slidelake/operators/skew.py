@@ -37,22 +37,6 @@ def salted_join(
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
-def split_hot_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], count: str, hot_rows: int = 1_000_000
-) -> DataFrame:
-    """Join with a table that has one row per key and knows the key's left row count.
-
-    Keys with more than ``hot_rows`` left rows are joined by broadcast: there
-    can be no more of them than left rows divided by ``hot_rows``.  All other
-    keys are joined by shuffle without the hot rows in it.
-    """
-    hot = F.broadcast(right.filter(F.col(count) > hot_rows).drop(count))
-    cold = right.filter(F.col(count) <= hot_rows).drop(count)
-    keys = list(keys)
-    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return left.join(hot, keys).unionByName(rest.join(cold, keys))
-
-
 def fits_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> bool:
     """Whether a narrow key table has at most ``max_rows`` rows; stops counting beyond."""
     return df.limit(max_rows + 1).count() <= max_rows

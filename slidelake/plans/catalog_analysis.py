@@ -393,22 +393,40 @@ def _(b: Bridge) -> DataFrame:
     return G.score_grid(scores, levels, mpp=0.6).withColumn("scores", F.array_join(rounded, " "))
 
 
-@query("analyze_regions", oracle("""
+_REGION_SUMS = """
     SELECT q.request_id, CAST(255 * w * h + coalesce(sum(p.r - 255), 0) AS BIGINT) AS total_red FROM (
         SELECT p_partkey AS request_id, p_partkey % 5 AS slide_id, p_size AS x, p_partkey % 30 AS y, 20 + p_partkey % 9 AS w, 12 AS h FROM part) q
     LEFT JOIN b_pixels p ON p.slide_id = q.slide_id AND p.x >= q.x AND p.x < q.x + q.w AND p.y >= q.y AND p.y < q.y + q.h
-    WHERE q.slide_id IN (SELECT slide_id FROM b_pixels) GROUP BY q.request_id, w, h""", "b_pixels"))
-def _(b: Bridge) -> DataFrame:
-    spec = G.AnalysisSpec(
-        name="red", output_schema="total_red bigint", working_mpp=0.5,
-        process=lambda rows: {"total_red": int(np.frombuffer(rows.rgb.iloc[0], np.uint8)[0::3].astype(np.int64).sum())},
-    )
+    WHERE q.slide_id IN (SELECT slide_id FROM b_pixels) GROUP BY q.request_id, w, h"""
+
+
+def _red(image: bytes) -> int:
+    return int(np.frombuffer(image, np.uint8)[0::3].astype(np.int64).sum())
+
+
+def _analyzed(b: Bridge, spec: G.AnalysisSpec, **options) -> DataFrame:
     rois = b.table("part").selectExpr(
         "p_partkey AS request_id", "p_partkey % 5 AS slide_id", "CAST(p_size AS DOUBLE) AS x", "CAST(p_partkey % 30 AS DOUBLE) AS y",
         "CAST(20 + p_partkey % 9 AS DOUBLE) AS w", "CAST(12 AS DOUBLE) AS h",
     )
     levels = with_level_mpp(b.pixel_levels, b.pixel_slides)
-    return analyze_regions(rois, b.pixel_tiles, levels, spec, T).select("request_id", "total_red")
+    return analyze_regions(rois, b.pixel_tiles, levels, spec, T, **options).select("request_id", "success", "total_red")
+
+
+@query("analyze_regions", oracle(_REGION_SUMS.replace("q.request_id, CAST", "q.request_id, true AS success, CAST"), "b_pixels"))
+def _(b: Bridge) -> DataFrame:
+    return _analyzed(b, G.AnalysisSpec(
+        name="red", output_schema="total_red bigint", working_mpp=0.5, process=lambda rows: {"total_red": _red(rows.rgb.iloc[0])},
+    ))
+
+
+@query("analyze_regions_in_blocks", oracle(_REGION_SUMS.replace("q.request_id, CAST", "q.request_id, true AS success, CAST"), "b_pixels"))
+def _(b: Bridge) -> DataFrame:
+    # Blocks of a few rows each, as a region of many gigapixels has; still one row per request.
+    return _analyzed(b, G.AnalysisSpec(
+        name="red", output_schema="total_red bigint", working_mpp=0.5, process=lambda rows: sum(_red(r.rgb) for r in rows),
+        merge=lambda states: {"total_red": sum(states)},
+    ), block_pixels=60)
 
 
 # --- cells ----------------------------------------------------------------

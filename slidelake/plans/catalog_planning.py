@@ -217,13 +217,13 @@ def _write_files(df: DataFrame, root: str) -> None:
     df.select("path", "content").mapInPandas(save, "path string").write.format("noop").mode("overwrite").save()
 
 
-_FILES = ["concat(s_name, CASE s_suppkey % 5 WHEN 0 THEN '.svs' WHEN 1 THEN '.NDPI' WHEN 2 THEN '.Tiff' WHEN 3 THEN '.jpg' ELSE '' END) AS path",
-          "s_name AS content"]
+_FILES = ["concat(CASE s_suppkey % 4 WHEN 0 THEN '_' WHEN 1 THEN '.' ELSE '' END, s_name, CASE s_suppkey % 5 WHEN 0 THEN '.svs' WHEN 1 THEN '.NDPI' WHEN 2 THEN '.Tiff' WHEN 3 THEN '.jpg' ELSE '' END) AS path",
+          "CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_name END AS content"]
 
 
 @query("s01_discover_slides", f"""
-    SELECT regexp_extract(path, '^[^.]+') AS stem, lower(regexp_extract(path, '[.].*$')) AS ext, CAST(length(content) AS BIGINT) AS length
-    FROM (SELECT {', '.join(_FILES)} FROM supplier) WHERE lower(regexp_extract(path, '[.].*$')) IN ('.svs', '.ndpi', '.tiff')""")
+    SELECT regexp_extract(path, '^.[^.]+') AS stem, lower(regexp_extract(path, '[.][^.#]*$')) AS ext, CAST(length(content) AS BIGINT) AS length
+    FROM (SELECT {', '.join(_FILES)} FROM supplier) WHERE lower(regexp_extract(path, '[.][^.#]*$')) IN ('.svs', '.ndpi', '.tiff')""")
 def _(b: Bridge) -> DataFrame:
     root = scratch_path(b.spark, "slides")
     _write_files(b.table("supplier").selectExpr(*_FILES).withColumn("content", F.encode("content", "utf-8")), root)

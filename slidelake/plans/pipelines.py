@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,15 +54,31 @@ def prefetch_viewports(viewports: DataFrame, levels: DataFrame, cached: DataFram
     return budget_prefetch(rank_prefetch(viewports, levels, cached))
 
 
-def analyze_regions(rois: DataFrame, tiles: DataFrame, levels: DataFrame, spec: AnalysisSpec, tile_size: int = S.TILE_SIZE) -> DataFrame:
-    """Resolve ROIs to pixels at the analysis' resolution and run it on each.
+def analyze_regions(
+    rois: DataFrame, tiles: DataFrame, levels: DataFrame, spec: AnalysisSpec, tile_size: int = S.TILE_SIZE,
+    block_pixels: int = (1 << 31) // 3,
+) -> DataFrame:
+    """Resolve ROIs to pixels at the analysis' resolution and run it on each; one row per request.
 
-    ``rois`` carries ``request_id``.  An analysis sees whole regions, so each must
-    fit one image row; larger ones belong to the exact block-wise operators.
+    ``rois`` carries ``request_id``.  Without a ``merge`` an analysis sees whole
+    regions; one of more than ``block_pixels``, which no image row can hold, then
+    comes out as failed.  With a ``merge``, ``process`` gets an iterator over a
+    region's row blocks (``y_offset``), so regions of any size are analysed.
     """
     resolved = resolve_regions(rois, levels, spec.working_mpp)
     requests = resolved.select(
         "request_id", "slide_id", "level", F.col("level_x").alias("x"), F.col("level_y").alias("y"),
         F.col("level_w").alias("w"), F.col("level_h").alias("h"),
     )
-    return run_analysis(spec, assemble_regions(requests, tiles, tile_size, block_pixels=(1 << 31) // 3))
+    if spec.merge is not None:
+        whole = replace(spec, input_kind="whole_slide", keys=("request_id",))
+        return run_analysis(whole, assemble_regions(requests, tiles, tile_size, block_pixels))
+    small = F.col("w").cast("bigint") * F.col("h") <= block_pixels
+    done = run_analysis(spec, assemble_regions(requests.filter(small), tiles, tile_size, block_pixels))
+    failed = {
+        "request_id": F.col("request_id"), "success": F.lit(False), "processing_time": F.lit(0.0),
+        "message": F.lit("region too large for one piece; the analysis needs a merge"),
+    }
+    return done.unionByName(
+        requests.filter(~small).select(*[failed.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in done.schema.fields])
+    )

@@ -225,10 +225,9 @@ def test_running_average_and_recent(spark):
     assert [r.path for r in recent(opens).orderBy("position").collect()] == list("kjihgfedca")
 
 
-def test_merging_with_hot_nodes_split_off(spark, monkeypatch):
+def test_merging_with_hot_nodes(spark):
     from slidelake.operators import components
 
-    monkeypatch.setattr(components, "HOT_ROWS", 20)
     hub = [(1000, 1000 + i) for i in range(1, 120)] + [(3 * i, 3 * i + 1) for i in range(40)]
     done = dict(map(tuple, components.merge_labels(spark.createDataFrame(hub, "a bigint, b bigint")).collect()))
     assert all(done[1000 + i] == 1000 for i in range(1, 120)) and all(done[3 * i + 1] == 3 * i for i in range(40))

@@ -25,6 +25,14 @@ def test_discovery(spark, folder):
     assert [(r.stem, r.ext, r.length) for r in found] == [("a", ".ndpi", 3), ("b", ".svs", 3), ("e", ".tif", 3)]
     assert [r.stem for r in sources.discover_slides(spark, f"{folder}/b.svs").collect()] == ["b"]
     assert sources.discover_slides(spark, f"{folder}/c.txt").count() == 0
+    assert sources.discover_slides(spark, f"{folder}/none").count() == 0
+
+
+def test_discovery_of_hidden_and_empty_files(spark, folder):
+    for name, content in (("_b.svs", b"1"), (".d.svs", b"1"), ("c.svs", b"")):
+        touch(f"{folder}/{name}", content)
+    found = sources.discover_slides(spark, folder).collect()
+    assert [(r.stem, r.length) for r in found] == [(".d", 1), ("_b", 1), ("c", 0)]
 
 
 def test_siblings(spark):
