@@ -34,7 +34,7 @@ BASE = 1.09
 #: A pair is dropped if the threshold is less likely than the best fit by this many nats (under 1 in 100,000 at the threshold).
 SLACK = 10.0
 #: Members of a bucket that one task compares; larger buckets are compared block by block.
-BLOCK = 512
+BLOCK = 1024
 #: Fewer equal registers than this put the threshold 20 nats below the best fit, twice the slack.
 LEAST_EQUAL = 380
 _FACTORS = (mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -96,7 +96,7 @@ def plausible(n_u: np.ndarray, n_v: np.ndarray, above: np.ndarray, below: np.nda
         eps = 1e-12
         return above * np.log(p + eps) + below * np.log(q + eps) + equal * np.log(np.maximum(1 - p - q, eps))
 
-    grid = np.linspace(0, 1, 201)
+    grid = np.linspace(0, 1, 61)
     floor = percent / 100
     best = np.full(len(u), -np.inf)
     over = np.full(len(u), -np.inf)
@@ -223,15 +223,19 @@ def _across(bands: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame
         f = f.sort_values("rep")
         rep, label, mine, n, regs = (f[c].to_numpy() for c in ("rep", "label", "mine", "n", "regs"))
         regs = _regs(regs)
+        # By register, so that counting goes along long rows of single bytes; 255 ones fit a byte.
+        halves = [np.ascontiguousarray(regs[:, k : k + 255].T) for k in (0, 255)]
         blocks = f["low"].iloc[0] != f["high"].iloc[0]
         left, right = [], []
         for i in range(len(rep) - 1):
-            j = np.arange(i + 1, len(rep))
+            # The cheap count first; only what it leaves is worth a likelihood.
+            equal = np.zeros(len(rep) - i - 1, np.uint16)
+            for half in halves:
+                equal += np.add.reduce((half[:, i + 1 :] == half[:, i : i + 1]).view(np.uint8), axis=0, dtype=np.uint8)
+            j = np.flatnonzero(equal >= LEAST_EQUAL - (REGISTERS - 510)) + i + 1
             j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i]))]
             if blocks:
                 j = j[mine[j] != mine[i]]
-            # The cheap count first; only what it leaves is worth a likelihood.
-            j = j[np.count_nonzero(regs[j] == regs[i], axis=1) >= LEAST_EQUAL]
             if len(j):
                 above, below = _counts(regs[i], regs[j])
                 j = j[plausible(np.full(len(j), n[i]), n[j], above, below)]
