@@ -215,14 +215,18 @@ def file_name_of(column: str) -> Column:
 
 def validate_slides(slides: DataFrame, levels: DataFrame) -> DataFrame:
     """Violated metadata rules, one row per slide, rule and level."""
-    no_level = F.lit(None).cast("int").alias("level")
-
-    def slide_rule(name: str, broken: Column) -> DataFrame:
-        return slides.filter(broken).select("slide_id", F.lit(name).alias("rule"), no_level)
-
-    def level_rule(name: str, broken: Column) -> DataFrame:
-        return levels.filter(broken).select("slide_id", F.lit(name).alias("rule"), "level")
+    def broken(rules: dict[str, Column]) -> Column:
+        """The names of the violated rules, one row each."""
+        named = F.array(*[F.when(condition, F.lit(name)) for name, condition in rules.items()])
+        return F.explode(F.filter(named, lambda name: name.isNotNull())).alias("rule")
 
+    no_level = F.lit(None).cast("int").alias("level")
+    of_slides = slides.select("slide_id", broken({
+        "dimensions": (F.col("width") <= 0) | (F.col("height") <= 0), "tile_size": F.col("tile_size") <= 0,
+    }), no_level)
+    of_levels = levels.select("slide_id", broken({
+        "downsample": F.col("downsample") <= 0, "cols": F.col("cols") <= 0, "rows": F.col("rows") <= 0,
+    }), "level")
     without = (
         slides.join(levels.select("slide_id").distinct(), "slide_id", "left_anti")
         .select("slide_id", F.lit("levels_empty").alias("rule"), no_level)
@@ -231,19 +235,7 @@ def validate_slides(slides: DataFrame, levels: DataFrame) -> DataFrame:
         levels.groupBy("slide_id", "level").count().filter("count > 1")
         .select("slide_id", F.lit("duplicate_level").alias("rule"), "level")
     )
-    parts = [
-        slide_rule("dimensions", (F.col("width") <= 0) | (F.col("height") <= 0)),
-        slide_rule("tile_size", F.col("tile_size") <= 0),
-        level_rule("downsample", F.col("downsample") <= 0),
-        level_rule("cols", F.col("cols") <= 0),
-        level_rule("rows", F.col("rows") <= 0),
-        without,
-        twice,
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return of_slides.unionByName(of_levels).unionByName(without).unionByName(twice)
 
 
 def missing_tiles(levels: DataFrame, tile_index: DataFrame) -> DataFrame:

@@ -383,6 +383,17 @@ def _(b: Bridge) -> DataFrame:
     return G.breakdown(_outputs(b))
 
 
+@query("g09_totals", """
+    WITH sums AS (
+        SELECT o_orderkey AS output_id, 5::BIGINT AS total FROM orders WHERE o_orderkey % 10 = 1
+        UNION ALL SELECT o_orderkey, 7 FROM orders WHERE o_orderkey % 10 IN (0, 2)
+    ), records AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey)
+    SELECT o_orderkey AS output_id, coalesce(s.total, r.n, 0)::BIGINT AS total
+    FROM orders LEFT JOIN sums s ON s.output_id = o_orderkey LEFT JOIN records r ON r.l_orderkey = o_orderkey""")
+def _(b: Bridge) -> DataFrame:
+    return G.breakdown_totals(_outputs(b))
+
+
 @query("g10_score_grid", oracle(f"""
     SELECT s.slide_id, 4 AS level, CAST(r AS INTEGER) AS "row", string_agg(coalesce(round(score, 3), 0)::DOUBLE::VARCHAR, ' ' ORDER BY c) AS scores
     FROM (SELECT DISTINCT slide_id FROM b_pixels) s CROSS JOIN (SELECT unnest(range(9)) AS r) CROSS JOIN (SELECT unnest(range(12)) AS c)

@@ -167,6 +167,16 @@ def _(b: Bridge) -> DataFrame:
     )
 
 
+@query("t04_dedupe_stream", oracle("""
+    SELECT viewer_id, generation, slide_id, level, col, row_ AS "row", count(*) AS n FROM (
+        SELECT DISTINCT viewer_id, generation, slide_id, level, col, row_ FROM (
+            SELECT *, max(generation) OVER (PARTITION BY viewer_id) AS newest FROM b_requests)
+        WHERE generation = newest) GROUP BY ALL""", "b_requests"))
+def _(b: Bridge) -> DataFrame:
+    done = sinks.append_result(b.spark, SV.dedupe_stream(_request_stream(b), "40 days"))
+    return done.groupBy("viewer_id", "generation", "slide_id", "level", "col", "row").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _edit_state(b: Bridge) -> DataFrame:
     changes = _stream(b, "b_changes").select(
         "slide_id", "seq", "op", "annotation_id", F.col("grp").alias("group"), F.lit("point").alias("type"),

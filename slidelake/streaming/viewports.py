@@ -55,20 +55,24 @@ def dedupe_in_flight(requests: DataFrame, lateness: str = "5 minutes") -> DataFr
 def drop_stale_generations(requests: DataFrame) -> DataFrame:
     """Drop requests of an older generation than the viewer's newest one so far.
 
-    The state is one number per viewer; a micro-batch's rows of a viewer are
-    compared with the maximum including that batch.
+    The state is one number per viewer, kept for good, since a viewer may come
+    back at any time; a micro-batch's rows of a viewer are compared with the
+    maximum including that batch.  Only rows of the newest generation seen so
+    far are held while a batch is read.
     """
     columns = ["viewer_id", "seq", "ts", "generation", "slide_id", "level", "col", "row"]
     schema = ", ".join(f"`{c}` {requests.schema[c].dataType.simpleString()}" for c in columns)
 
     def keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = list(parts)
-        newest = max(int(p.generation.max()) for p in rows)
-        if state.exists:
-            newest = max(newest, state.get[0])
+        newest = state.get[0] if state.exists else None
+        held: list[pd.DataFrame] = []
+        for p in parts:
+            top = int(p.generation.max())
+            if newest is None or top > newest:
+                newest, held = top, []
+            held.append(p[p.generation == newest][columns])
         state.update((newest,))
-        for p in rows:
-            yield p[p.generation == newest][columns]
+        yield from held
 
     return requests.select(*columns).groupBy("viewer_id").applyInPandasWithState(
         keep, schema, "newest bigint", "append", GroupStateTimeout.NoTimeout
