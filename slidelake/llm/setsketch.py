@@ -226,7 +226,7 @@ def _across(bands: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame
         # By register, so that counting goes along long rows of single bytes; 255 ones fit a byte.
         halves = [np.ascontiguousarray(regs[:, k : k + 255].T) for k in (0, 255)]
         blocks = f["low"].iloc[0] != f["high"].iloc[0]
-        left, right = [], []
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(len(rep) - 1):
             # The cheap count first; only what it leaves is worth a likelihood.
             equal = np.zeros(len(rep) - i - 1, np.uint16)
@@ -236,12 +236,14 @@ def _across(bands: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame
             j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i]))]
             if blocks:
                 j = j[mine[j] != mine[i]]
-            if len(j):
-                above, below = _counts(regs[i], regs[j])
-                j = j[plausible(np.full(len(j), n[i]), n[j], above, below)]
-                left += [rep[i]] * len(j)
-                right += rep[j].tolist()
-        return pd.DataFrame({"a": np.array(left, np.int64), "b": np.array(right, np.int64)})
+            left.append(np.full(len(j), i))
+            right.append(j)
+        left, right = np.concatenate(left), np.concatenate(right)
+        kept = np.zeros(len(left), bool)
+        for at in range(0, len(left), 1 << 14):  # likelihoods of many pairs at once
+            x, y = left[at : at + (1 << 14)], right[at : at + (1 << 14)]
+            kept[at : at + (1 << 14)] = plausible(n[x], n[y], *_counts(regs[x], regs[y]))
+        return pd.DataFrame({"a": rep[left[kept]], "b": rep[right[kept]]})
 
     # Comparing is work on few bytes, so it is spread by count and not by size.
     spread = met.repartition(4 * shuffle_width(met), "key", "low", "high")
