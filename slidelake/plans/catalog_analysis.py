@@ -16,12 +16,15 @@ from slidelake.operators import cells as C
 from slidelake.operators import pixels as X
 from slidelake.operators.components import label_components
 from slidelake.operators.levels import with_level_mpp
+from slidelake.operators.pyramid import pyramid_status
 from slidelake.plans.bridge import PIXEL_HEIGHT, PIXEL_TILE, PIXEL_WIDTH, Bridge, oracle
 from slidelake.plans.catalog_viewports import pixel_sums, place_sums
-from slidelake.plans.pipelines import analyze_regions
+from slidelake.plans.pipelines import analyze_regions, build_job
 from slidelake.plans.registry import query
 from slidelake.session import local_path, scratch_path
+from slidelake.sources.files import pyramid_listing
 from slidelake.sources.images import read_images
+from slidelake.sources.packs import read_tile_index
 
 TILE = ["slide_id", "level", "col", "row"]
 W, H, T = PIXEL_WIDTH, PIXEL_HEIGHT, PIXEL_TILE
@@ -190,6 +193,30 @@ def _(b: Bridge) -> DataFrame:
     return pixel_sums(X.thumbnails(pyramid, b.pixel_slides, b.pixel_levels, max_size=32, block=16))
 
 
+@query("build_job", oracle("""
+    SELECT slide_id, CASE WHEN slide_id % 5 = 3 THEN 'error' ELSE 'done' END AS status,
+           CASE WHEN slide_id % 5 = 3 THEN 'image bytes do not fit its size' END AS error,
+           CASE WHEN slide_id % 5 = 3 THEN 'not_exists' ELSE 'complete' END AS pyramid, CASE WHEN slide_id % 5 = 3 THEN 0 ELSE 44 END AS tiles
+    FROM (SELECT DISTINCT slide_id FROM b_pixels)""", "b_pixels"))
+def _(b: Bridge) -> DataFrame:
+    root = scratch_path(b.spark, "built")
+    # One image in five is cut short.
+    images = _images(b).select("slide_id", "width", "height", F.expr("IF(slide_id % 5 = 3, substring(rgb, 1, 100), rgb)").alias("rgb"))
+    slides = b.pixel_slides.select(
+        "slide_id", F.concat(F.lit("/in/"), F.col("slide_id"), F.lit(".svs")).alias("path"), F.create_map(F.lit("aperio.MPP"), F.lit("0.25")).alias("props")
+    )
+    results = build_job(images, slides, root, tile_size=T, encode=_png)
+    named = slides.select(F.col("slide_id").cast("string").alias("slide_id"))
+    documents = b.spark.read.text(f"{root}/*/metadata.json", wholetext=True).select(
+        F.element_at(F.split("_metadata.file_path", "/"), -2).alias("slide_id"), F.col("value").alias("document")
+    )
+    state = pyramid_status(named, pyramid_listing(b.spark, root), documents)
+    stored = read_tile_index(b.spark, root)[0].filter("length > 0").groupBy("slide_id").agg(F.count(F.lit(1)).cast("int").alias("tiles"))
+    return results.withColumn("slide_id", F.col("slide_id").cast("string")).join(state, "slide_id").join(
+        stored.withColumn("slide_id", F.col("slide_id").cast("string")), "slide_id", "left"
+    ).select(F.col("slide_id").cast("bigint").alias("slide_id"), results["status"], "error", state["status"].alias("pyramid"), F.coalesce("tiles", F.lit(0)).alias("tiles"))
+
+
 # --- analyses -------------------------------------------------------------
 
 

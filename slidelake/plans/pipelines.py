@@ -1,7 +1,8 @@
-"""The three end-to-end jobs: build pyramids, serve viewports, analyse regions."""
+"""The end-to-end jobs: build and store pyramids, serve viewports, analyse regions."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -11,12 +12,16 @@ from slidelake import schema as S
 from slidelake.functions import format_tile_url
 from slidelake.operators.analysis import AnalysisSpec, run_analysis
 from slidelake.operators.levels import resolve_regions
-from slidelake.operators.pixels import build_pyramid_tiles, cut_tiles
+from slidelake.operators.pixels import build_pyramid_tiles, cut_tiles, resample_to, thumbnails
 from slidelake.operators.pyramid import plan_batch, plan_levels, plan_resize, resolve_mpp
 from slidelake.operators.regions import assemble_regions
 from slidelake.operators.viewport import (
     budget_prefetch, filter_cached, rank_prefetch, tile_position, visible_tiles,
 )
+from slidelake.session import cut_lineage
+from slidelake.sources.files import write_files
+from slidelake.sources.packs import write_packs
+from slidelake.sources.slides import metadata_documents
 
 
 def plan_pyramids(discovered: DataFrame, status: DataFrame, native: bool = False, force: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -40,6 +45,52 @@ def build_pyramids(images: DataFrame, slides: DataFrame, tile_size: int = S.TILE
     return levels, build_pyramid_tiles(base, slides, levels)
 
 
+def build_job(
+    images: DataFrame, slides: DataFrame, root: str, status: DataFrame | None = None, native: bool = False,
+    tile_size: int = S.TILE_SIZE, encode: Callable[[int, int, bytes], bytes] | None = None, made_at: str = "1970-01-01",
+) -> DataFrame:
+    """Build and store the pyramids of decoded images; one row ``(slide_id, file, status, error)`` per slide.
+
+    ``images(slide_id, width, height, rgb)`` holds what could be decoded,
+    ``slides(slide_id, path, props)`` what was found, ``status`` what is there
+    already (see ``plan_batch``).  A slide without an image, or with one whose
+    bytes do not fit its size, fails alone.  Packs, thumbnail and, last, the
+    metadata go below ``root/<slide_id>/``, where ``pyramid_status`` looks for
+    them.  ``encode`` turns raw RGB into file bytes; tiles and thumbnails stay
+    raw without it.
+    """
+    spark = slides.sparkSession
+    good = (F.col("width") > 0) & (F.col("height") > 0) & (F.length("rgb") == F.col("width").cast("bigint") * F.col("height") * 3)
+    checked = images.select("slide_id", "width", "height", F.coalesce(good, F.lit(False)).alias("readable"))
+    if status is None:
+        status = spark.createDataFrame([], f"slide_id {slides.schema['slide_id'].dataType.simpleString()}, status string, native_mpp_mode boolean")
+    planned = plan_batch(slides.join(checked, "slide_id", "left"), status, native=native)
+    plan = cut_lineage(plan_resize(resolve_mpp(planned.drop("status")), native=native).withColumn("tile_size", F.lit(tile_size)))
+    todo = plan.filter((F.col("action") == "build") & F.coalesce("readable", F.lit(False)))
+    sized = todo.select("slide_id", F.col("out_width").alias("width"), F.col("out_height").alias("height"), "tile_size")
+    levels = cut_lineage(plan_levels(sized))
+    finest = levels.filter(F.col("downsample") == 1).select("slide_id", "level")
+    whole = images.join(todo.select("slide_id"), "slide_id", "left_semi").withColumn("level", F.lit(0))
+    base = resample_to(cut_tiles(whole, tile_size), todo, F.col("resize_factor"), out_tile_size=tile_size)
+    tiles = cut_lineage(build_pyramid_tiles(base.drop("level").join(finest, "slide_id"), sized, levels))
+    as_file = F.udf(lambda w, h, rgb: encode(w, h, bytes(rgb)), "binary") if encode else lambda w, h, rgb: F.col(rgb)
+    write_packs(tiles.select("slide_id", "level", "col", "row", as_file("width", "height", "rgb").alias("data")), levels, root)
+    below = lambda name: F.concat(F.col("slide_id").cast("string"), F.lit("/" + name)).alias("path")
+    small = thumbnails(tiles, sized, levels)
+    write_files(small.select(below("thumbnail.jpg"), as_file("width", "height", "rgb").alias("content")), root)
+    facts = todo.select(
+        "slide_id", F.lit("1.0").alias("version"), F.col("path").alias("source_file"), "source_mpp", F.col("actual_mpp").alias("target_mpp"),
+        F.col("magnification").alias("target_magnification"), "tile_size", F.col("out_width").alias("width"), F.col("out_height").alias("height"),
+        F.array(*[F.lit(c) for c in S.BACKGROUND]).alias("background_color"), F.lit(made_at).cast("timestamp").alias("preprocessed_at"),
+        F.lit(native).alias("native_mpp_mode"),
+    )
+    documents = metadata_documents(facts, levels)
+    write_files(documents.select(below("metadata.json"), F.encode("document", "UTF-8").alias("content")), root)
+    state = F.when(F.col("action") == "skip", "skipped").when(F.coalesce("readable", F.lit(False)), "done").otherwise("error")
+    problem = F.when(F.col("readable").isNull(), "no image").otherwise("image bytes do not fit its size")
+    return plan.select("slide_id", F.col("path").alias("file"), state.alias("status"), F.when(state == "error", problem).alias("error"))
+
+
 def serve_viewports(viewports: DataFrame, slides: DataFrame, levels: DataFrame, cached: DataFrame, generation: int = 0) -> DataFrame:
     """Tiles to show per viewport with their place and address."""
     shown = filter_cached(visible_tiles(viewports, levels), cached)
