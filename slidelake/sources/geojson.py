@@ -73,9 +73,11 @@ def parse_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     corners = F.when(
         is_rectangle & (F.size("pairs") >= 4), F.array(F.get("pairs", 0), F.get("pairs", 2))
     ).otherwise(F.col("pairs"))
+    digest = F.md5(F.concat_ws(":", "path", F.col("pos").cast("string")))
+    made_id = F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     annotations = good.select(
         "slide_id", "pos",
-        F.coalesce(field("$.id"), F.md5(F.concat_ws(":", "path", F.col("pos").cast("string")))).alias("annotation_id"),
+        F.coalesce(field("$.id"), made_id).alias("annotation_id"),
         F.when(is_point, "point").when(is_rectangle, "rectangle")
         .when(is_polygon & (kind == "freehand"), "freehand").otherwise("polygon").alias("type"),
         _points(corners).alias("coordinates"),
