@@ -9,6 +9,7 @@ cannot change the numbering.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,11 +157,20 @@ def select_places(docs: DataFrame, packed: DataFrame, places: DataFrame, keep: b
     return joined.select("batch", "payload", "listed").mapInArrow(run, docs.schema)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system; reused workers would else keep their peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def each_batch(frames: Iterator[pd.DataFrame]) -> Iterator[Batch]:
     """Batches of a packed table inside mapInPandas."""
     for frame in frames:
         for number, payload in zip(frame["batch"], frame["payload"]):
             yield Batch(number, payload)
+            release_memory()
 
 
 def shuffle_width(df: DataFrame) -> int:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slidelake.llm.batches import bytes_of
+from slidelake.llm.batches import bytes_of, release_memory
 from slidelake.llm.textops import splits
 
 #: Texts above this many bytes are not used for fitting (they are scored like all others).
@@ -117,6 +117,7 @@ def map_texts(
                 columns = [piece.column(0).slice(begin, end - begin)]
                 columns += [v if isinstance(v, pa.Array) else pa.array(v) for v in got.values()]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *got])
+            release_memory()
 
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(run, f"doc_id bigint, {schema}")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slidelake.llm.batches import Batch, documents_of, each_batch, pack, shuffle_width
+from slidelake.llm.batches import Batch, documents_of, pack, release_memory, shuffle_width
 from slidelake.llm.superkmers import _pack, _unpack, ranges
 from slidelake.llm.textops import _powers, hash_runs, mix, runs, spread, window_min
 from slidelake.session import cut_lineage
@@ -27,9 +27,9 @@ from slidelake.session import cut_lineage
 LENGTH = 400
 GRAM = 64
 #: A group with more different strings than this is split under longer k-grams.
-HOT_STRINGS = 2000
+HOT_STRINGS = 1000
 #: Text that one index holds; groups are whole, so an index may exceed it by a group.
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 19
 BUCKETS_EACH = 8
 _PIECE = 1 << 20
 _MAX_WINDOWS = 1024  # of one string, so that periodic text gives short strings too
@@ -320,6 +320,7 @@ def repeated_places(
                     starts = np.concatenate([np.frombuffer(t["start"], np.int64) for t in told])
                     ends = starts + np.concatenate([np.frombuffer(t["windows"], np.int64) for t in told]) + length - 1
                 yield pd.DataFrame(_ask(batch, starts, ends, length, level, buckets), columns=["batch", "bucket", "payload"])
+                release_memory()
 
     known, to_index, level, source = [], [], gram, packed.select("batch", "payload")
     while True:
@@ -354,7 +355,9 @@ def repeated_places(
                 yield pd.DataFrame(rows, columns=["batch", "bucket", "payload"])
 
     def index(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_index(group, length, index_bytes), columns=["batch", "kind", "payload"])
+        found = pd.DataFrame(_index(group, length, index_bytes), columns=["batch", "kind", "payload"])
+        release_memory()
+        return found
 
     shipped = packed.select("batch", "payload").join(
         wanted.groupBy("batch").agg(F.collect_list("payload").alias("wanted")), "batch"

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slidelake.llm.batches import Batch, each_batch, pack, select_places, shuffle_width
+from slidelake.llm.batches import Batch, each_batch, pack, release_memory, select_places, shuffle_width
 from slidelake.llm.textops import LOWER, hash_runs, hash_spans, mix, words
 from slidelake.operators.components import merge_labels
 from slidelake.session import cut_lineage
@@ -243,6 +243,7 @@ def _across(bands: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame
         for at in range(0, len(left), 1 << 14):  # likelihoods of many pairs at once
             x, y = left[at : at + (1 << 14)], right[at : at + (1 << 14)]
             kept[at : at + (1 << 14)] = plausible(n[x], n[y], *_counts(regs[x], regs[y]))
+        release_memory()
         return pd.DataFrame({"a": rep[left[kept]], "b": rep[right[kept]]})
 
     # Comparing is work on few bytes, so it is spread by count and not by size.

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slidelake.llm.batches import Batch, each_batch, pack, shuffle_width
+from slidelake.llm.batches import Batch, each_batch, pack, release_memory, shuffle_width
 from slidelake.llm.textops import hash_runs, hash_spans, mix, spread, window_min, words
 
 WINDOW = 20
@@ -185,7 +185,9 @@ def repeated_windows(packed: DataFrame, window: int = WINDOW, gram: int = GRAM,
             yield pd.DataFrame(_send(batch, window, gram, buckets), columns=["batch", "bucket", "payload"])
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_settle(group, window), columns=["batch", "payload"])
+        found = pd.DataFrame(_settle(group, window), columns=["batch", "payload"])
+        release_memory()
+        return found
 
     sent = packed.mapInPandas(send, "batch bigint, bucket bigint, payload binary")
     return sent.groupBy("bucket").applyInPandas(settle, "batch bigint, payload binary")
@@ -212,6 +214,7 @@ def remove_repeats(
             for number, payload, replies in zip(frame["batch"], frame["payload"], frame["answers"]):
                 rows = [r[: len(names)] for r in _apply(Batch(number, payload), replies, window, gram)]
                 yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+                release_memory()
 
     # Answers of a batch number its windows at most.
     return packed.join(answers, "batch", "left").select("batch", "payload", "answers").mapInPandas(

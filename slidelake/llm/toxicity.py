@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slidelake.llm.batches import bytes_of
+from slidelake.llm.batches import bytes_of, release_memory
 from slidelake.llm.learn import Adam, Vocabulary, fold, labelled_sample, map_texts, pieces, sigmoid
 from slidelake.llm.textops import LOWER, SPACE, hash_runs, hash_spans, splits, words
 
@@ -183,6 +183,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
                 s = Sentences(buf[part[0] : part[-1]], part - part[0])
                 whole = noisy_or(known.sentences(s), s.sentence_doc, end - begin)
                 yield piece.slice(begin, end - begin).filter(pa.array(whole < threshold))
+            release_memory()
 
     return docs.mapInArrow(run, docs.schema)
 
