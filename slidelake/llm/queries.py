@@ -103,7 +103,32 @@ def repeated_words(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-@query("op9_run_index_dedup")
+@query(
+    "op9_run_index_dedup",
+    r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), s AS (
+  SELECT doc_id, p, n, h, CASE WHEN p + 399 <= n THEN md5(substring(h, 2 * p - 1, 800)) END AS k
+  FROM (SELECT doc_id, n, h, unnest(range(1, n + 1)) AS p FROM d)
+), w AS (
+  SELECT doc_id, p, n, CASE WHEN k IS NOT NULL AND count(*) OVER (PARTITION BY k) > 1 THEN p END AS again FROM s
+), c AS (
+  SELECT doc_id, p, n, coalesce(p - max(again) OVER (PARTITION BY doc_id ORDER BY p) < 400, false) AS gone FROM w
+), r AS (
+  SELECT doc_id, gone, min(p) AS a, max(p) AS z FROM (
+    SELECT doc_id, p, gone, p - row_number() OVER (PARTITION BY doc_id, gone ORDER BY p) AS island FROM c)
+  GROUP BY doc_id, gone, island
+), t AS (
+  SELECT r.doc_id, coalesce(sum(z - a + 1) FILTER (gone), 0)::BIGINT AS n_removed, count(*) FILTER (gone) AS n_spans,
+    coalesce(string_agg(substring(h, 2 * a - 1, 2 * (z - a + 1)), '' ORDER BY a) FILTER (NOT gone), '') AS kept
+  FROM r JOIN d USING (doc_id) GROUP BY r.doc_id
+)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(t.n_removed, 0) AS n_removed, coalesce(t.n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(t.kept, ''))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+""",
+)
 def repeated_bytes(spark, sf_dir):
     return runindex.remove_repeats(table(spark, sf_dir, "documents"))
 
