@@ -195,11 +195,14 @@ def _set_of(text: bytes) -> np.ndarray:
 
 def _bands(classes: DataFrame) -> DataFrame:
     keys = F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(regs, {1 + BAND * i}, {BAND})")) for i in range(BANDS)])
-    return classes.select("rep", F.explode(keys).alias("key"))
+    return classes.select("rep", F.posexplode(keys).alias("band", "key"))
 
 
 def _across(bands: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Plausible pairs of one bucket that are not in one component yet and were not compared with the bucket's first member."""
+    """Plausible pairs of one bucket that are not in one component yet and were not compared with the bucket's first member.
+
+    A pair that shares several bands is looked at in the first of them alone.
+    """
     labelled = bands.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn(
         "label", F.coalesce("root", "rep")
     )
@@ -208,14 +211,14 @@ def _across(bands: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame
     ).filter((F.col("_low") < F.col("_high")) & (F.col("members") > 2)).select("key", "hub", "members")
     parts = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     met = (
-        labelled.select("rep", "key", "label")
+        labelled.select("rep", "band", "key", "label")
         .join(open_, "key")
         .filter("rep <> hub")
         .withColumn("_parts", parts)
         .withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("_parts")).cast("int"))
         # A member meets its own and every other block once: (low, high) names the pair of blocks.
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-        .select("rep", "key", "label", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+        .select("rep", "band", "key", "label", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
         .join(classes.select("rep", "n", "regs"), "rep")
     )
 
@@ -239,6 +242,11 @@ def _across(bands: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame
             left.append(np.full(len(j), i))
             right.append(j)
         left, right = np.concatenate(left), np.concatenate(right)
+        band = int(f["band"].iloc[0])
+        if band and len(left):
+            before = (regs[left, : BAND * band] == regs[right, : BAND * band]).reshape(-1, band, BAND)
+            new = ~before.all(axis=2).any(axis=1)
+            left, right = left[new], right[new]
         kept = np.zeros(len(left), bool)
         for at in range(0, len(left), 1 << 14):  # likelihoods of many pairs at once
             x, y = left[at : at + (1 << 14)], right[at : at + (1 << 14)]
