@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import LOW, base_counts, words
 from pyspark.sql import functions as F
@@ -205,3 +206,25 @@ def test_training_lowers_the_loss(spark):
     attention.learn(model, iter([(x, y, doc)] * 3), 0.02)
     assert model.score(x, y, doc).mean() > before + 1
     assert F is not None
+
+
+def test_every_training_document_trains_the_attention_model(spark):
+    ranks = attention.read_ranks()
+    size, coder = max(ranks.values()) + 1, attention.Coder(ranks)
+    pieces = [w for w in (p[1:] for p in sorted(ranks) if p[:1] == b" ") if len(w) > 3 and w.isalpha() and w.islower()][:80]
+    train = np.arange(len(pieces)) % 10 != 0
+    payloads, inputs = [], []
+    for batch in range(4):  # one word of its own for each document
+        own = slice(20 * batch, 20 * batch + 20)
+        texts = [b" ".join([w] * 5) for w in pieces[own]]
+        offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        ids = pa.array(range(own.start, own.stop), pa.int64())
+        payloads.append(attention._encode(batch, ids, train[own], np.frombuffer(b"".join(texts), np.uint8), offsets, coder, 2, size)[0][2])
+        inputs += [coder([w])[0][0] for w in pieces[own]]
+    counts = sum(attention.Told(p).counts for p in payloads)
+    leaf, _ = attention.leaf_table(counts, int(train.sum()))
+    begin = attention.start_model(counts, int(train.sum()), leaf)
+    own = spark.createDataFrame(list(enumerate(payloads)), "batch bigint, payload binary").repartition(2)
+    got = attention.train_model(own, {k: a.copy() for k, a in begin.items()}, leaf)
+    moved = np.abs(got["embed"] - begin["embed"]).max(axis=1) > 1e-3
+    assert len(set(leaf[inputs])) == len(inputs) and (moved[leaf[inputs]] == train).all()
