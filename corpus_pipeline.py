@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component."""
-    return setsketch.drop_copies(docs)
+    """One document of each component of five-word shingle sets that are similar by 0.8 or more."""
+    return setsketch.drop_copies(docs, percent=80)
 
 
 def strip_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

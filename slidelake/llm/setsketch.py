@@ -26,17 +26,15 @@ from slidelake.operators.components import merge_labels
 from slidelake.session import cut_lineage
 
 SHINGLE = 5
+#: Similarity from which documents are linked, unless the caller says otherwise.
 PERCENT = 85
 REGISTERS = 512
-#: Registers of a band.  At the threshold a pair misses all bands with a chance below 1e-8.
-BAND, BANDS = 5, 32
+BAND = 5  # registers of a band
 BASE = 1.09
 #: A pair is dropped if the threshold is less likely than the best fit by this many nats (under 1 in 100,000 at the threshold).
 SLACK = 10.0
 #: Members of a bucket that one task compares; larger buckets are compared block by block.
 BLOCK = 1024
-#: Fewer equal registers than this put the threshold 20 nats below the best fit, twice the slack.
-LEAST_EQUAL = 380
 _FACTORS = (mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _CHUNK = 256
 
@@ -79,6 +77,22 @@ def _step(x: np.ndarray) -> np.ndarray:
     return -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
 
 
+def _equal_share(percent: int) -> float:
+    """Chance that a register is equal in two sets of one size at the threshold."""
+    return float(1 - 2 * _step(np.float64((1 - percent / 100) / 2)))
+
+
+def least_equal(percent: int) -> int:
+    """Equal registers below which the threshold is out of the question: 7.5 standard deviations under their mean."""
+    p = _equal_share(percent)
+    return max(0, int(REGISTERS * p - 7.5 * np.sqrt(REGISTERS * p * (1 - p))))
+
+
+def bands_of(percent: int) -> int:
+    """As many bands as leave a pair at the threshold a chance below 1e-8 to miss them all."""
+    return min(REGISTERS // BAND, int(np.ceil(np.log(3e-9) / np.log1p(-(_equal_share(percent) ** BAND)))))
+
+
 def plausible(n_u: np.ndarray, n_v: np.ndarray, above: np.ndarray, below: np.ndarray, percent: int = PERCENT, slack: float = SLACK) -> np.ndarray:
     """Whether a similarity at the threshold or more fits the register counts.
 
@@ -139,25 +153,26 @@ def _regs(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(-1, REGISTERS)
 
 
-def _filter_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _filter_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs whose sketches leave the threshold plausible."""
     side = lambda name, n: classes.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("regs").alias(f"regs_{name}"))
     met = pairs.join(side("a", 1), "a").join(side("b", 2), "b")
+    least = least_equal(percent)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
                 above, below = _counts(_regs(f["regs_a"]), _regs(f["regs_b"]))
-                near = REGISTERS - above - below >= LEAST_EQUAL
+                near = REGISTERS - above - below >= least
                 f, above, below = f[near], above[near], below[near]
-                yield f.loc[plausible(f["n_a"].to_numpy(), f["n_b"].to_numpy(), above, below), ["a", "b"]]
+                yield f.loc[plausible(f["n_a"].to_numpy(), f["n_b"].to_numpy(), above, below, percent), ["a", "b"]]
 
     # Sizes exclude many pairs before any sketch is looked at.
-    fits = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     return met.filter(fits).mapInPandas(run, "a bigint, b bigint")
 
 
-def _confirm(pairs: DataFrame, packed: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full shingle sets reach the threshold; texts are fetched for these documents only."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct()
     wanted = wanted.groupBy(F.shiftright("place", 16).alias("batch")).agg(F.collect_list("place").alias("places"))
@@ -182,7 +197,7 @@ def _confirm(pairs: DataFrame, packed: DataFrame) -> DataFrame:
                     last, kept = a, _set_of(ta)
                 other = _set_of(tb)
                 shared = int(np.isin(other, kept, assume_unique=True).sum())
-                good.append(100 * shared >= PERCENT * (len(kept) + len(other) - shared))
+                good.append(100 * shared >= percent * (len(kept) + len(other) - shared))
             yield f.loc[good, ["a", "b"]]
 
     return met.mapInPandas(run, "a bigint, b bigint")
@@ -193,12 +208,12 @@ def _set_of(text: bytes) -> np.ndarray:
     return shingle_sets(raw, np.array([0, len(raw)]))[0]
 
 
-def _bands(classes: DataFrame) -> DataFrame:
-    keys = F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(regs, {1 + BAND * i}, {BAND})")) for i in range(BANDS)])
+def _bands(classes: DataFrame, percent: int) -> DataFrame:
+    keys = F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(regs, {1 + BAND * i}, {BAND})")) for i in range(bands_of(percent))])
     return classes.select("rep", F.posexplode(keys).alias("band", "key"))
 
 
-def _across(bands: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+def _across(bands: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Plausible pairs of one bucket that are not in one component yet and were not compared with the bucket's first member.
 
     A pair that shares several bands is looked at in the first of them alone.
@@ -209,6 +224,7 @@ def _across(bands: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame
     open_ = labelled.groupBy("key").agg(
         F.min("label").alias("_low"), F.max("label").alias("_high"), F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")
     ).filter((F.col("_low") < F.col("_high")) & (F.col("members") > 2)).select("key", "hub", "members")
+    least = least_equal(percent)
     parts = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     met = (
         labelled.select("rep", "band", "key", "label")
@@ -235,8 +251,8 @@ def _across(bands: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame
             equal = np.zeros(len(rep) - i - 1, np.uint16)
             for half in halves:
                 equal += np.add.reduce((half[:, i + 1 :] == half[:, i : i + 1]).view(np.uint8), axis=0, dtype=np.uint8)
-            j = np.flatnonzero(equal >= LEAST_EQUAL - (REGISTERS - 510)) + i + 1
-            j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i]))]
+            j = np.flatnonzero(equal >= least - (REGISTERS - 510)) + i + 1
+            j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
             if blocks:
                 j = j[mine[j] != mine[i]]
             left.append(np.full(len(j), i))
@@ -250,7 +266,7 @@ def _across(bands: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame
         kept = np.zeros(len(left), bool)
         for at in range(0, len(left), 1 << 14):  # likelihoods of many pairs at once
             x, y = left[at : at + (1 << 14)], right[at : at + (1 << 14)]
-            kept[at : at + (1 << 14)] = plausible(n[x], n[y], *_counts(regs[x], regs[y]))
+            kept[at : at + (1 << 14)] = plausible(n[x], n[y], *_counts(regs[x], regs[y]), percent)
         release_memory()
         return pd.DataFrame({"a": rep[left[kept]], "b": rep[right[kept]]})
 
@@ -259,10 +275,10 @@ def _across(bands: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame
     return spread.groupBy("key", "low", "high").applyInPandas(run, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame | None = None, packed: DataFrame | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame | None = None, packed: DataFrame | None = None, percent: int = PERCENT) -> DataFrame:
     """``(place, doc_id, n_shingles, component_id, kept, chosen, n_same)`` of every document.
 
-    Documents are linked when 100 * intersection >= 85 * union of their shingle
+    Documents are linked when 100 * intersection >= percent * union of their shingle
     sets; a component holds what links reach and is named by its smallest id.
     Texts without words (null, empty) have no shingle and stand alone.  A null id
     takes part, but names a component only where all ids are null; ``kept`` is
@@ -281,14 +297,14 @@ def near_duplicates(docs: DataFrame | None = None, packed: DataFrame | None = No
             F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place")).alias("front"),
         )
     )
-    bands = _bands(classes)
+    bands = _bands(classes, percent)
     hubs = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     pairs = bands.join(hubs, "key").filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = cut_lineage(_confirm(cut_lineage(_filter_pairs(pairs, classes)), packed))
+    links = cut_lineage(_confirm(cut_lineage(_filter_pairs(pairs, classes, percent)), packed, percent))
     roots = merge_labels(links)
-    more = cut_lineage(_across(bands, classes, roots))
+    more = cut_lineage(_across(bands, classes, roots, percent))
     if not more.isEmpty():
-        found = cut_lineage(_confirm(more, packed))
+        found = cut_lineage(_confirm(more, packed, percent))
         if not found.isEmpty():
             roots = merge_labels(links.unionByName(found))
     placed = classes.select("digest", "rep", "least_id", "front", "n_same").join(
@@ -306,7 +322,7 @@ def near_duplicates(docs: DataFrame | None = None, packed: DataFrame | None = No
     )
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
+def drop_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, with one row of each near-duplicate component left."""
     packed = pack(docs, carry=True)
-    return select_places(docs, packed, near_duplicates(packed=packed).filter("chosen").select("place"), keep=True)
+    return select_places(docs, packed, near_duplicates(packed=packed, percent=percent).filter("chosen").select("place"), keep=True)

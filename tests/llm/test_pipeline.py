@@ -71,3 +71,15 @@ def test_run_and_registration(spark, corpus):
     names = set(contract.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(contract.oracle_sql()) <= names
+
+
+def test_near_copies_are_dropped_from_four_fifths(spark, documents, prose):
+    rows = []
+    for g in range(30):  # similarities from 0.77 to 0.88, by a changed tail
+        base = prose(6000 + g, 204).split(" ")
+        rows += [(2 * g, " ".join(base), "en", "a"), (2 * g + 1, " ".join(base[: 204 - 12 - g // 2] + [f"y{g}x{k}" for k in range(12 + g // 2)]), "en", "a")]
+    roots, sets = components([r[1] for r in rows], percent=80)
+    assert len(set(components([r[1] for r in rows], percent=85)[0])) > len(set(roots)) > 30
+    left = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, documents(rows), "").collect()}
+    assert len(left) == len(set(roots))
+    assert {roots[i] for i in left} == set(roots)
