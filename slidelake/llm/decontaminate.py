@@ -6,6 +6,7 @@ serves all items.  As in block-max WAND, a passage is only looked at if it holds
 a term past the pivot (what lies before cannot reach the threshold alone), then
 only blocks of items whose block maxima reach the threshold are scored.  Hits
 count when the passage overlaps with both the item's question and its answer.
+Items of few words are looked up as whole sequences of words instead.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.7
 #: Share of the word triples of question and of answer that must occur.
 OVERLAP = 0.8
-#: Items with fewer words prove nothing and are left out.
+#: Items with fewer words count where all their words occur in a row; shares of so few triples say little.
 MIN_ITEM_WORDS = 8
 PASSAGE_STEP = 64
 BLOCK_ITEMS = 16
@@ -63,7 +64,9 @@ class Index:
         count = np.bincount(doc, minlength=len(ids))
         used = np.flatnonzero(count >= MIN_ITEM_WORDS)
         first = np.concatenate(([0], np.cumsum(count)))
-        self.ids = [ids[i] for i in used]
+        short = np.flatnonzero((count > 0) & (count < MIN_ITEM_WORDS))
+        self.ids = [ids[i] for i in (*used, *short)]
+        self.short = self._short([hashes[first[i] : first[i + 1]] for i in short], len(used))
         self.longest = int(count[used].max(initial=1))
         self.question, self.answer = [], []
         stops = np.concatenate(([0], np.cumsum(_STOP[buf])))
@@ -100,13 +103,22 @@ class Index:
             self.pivot[: self.terms.size, b] = past[:, part].any(axis=1)
         self.ceiling = self.impact.max(axis=2)  # block maxima by block and term
 
+    @staticmethod
+    def _short(sequences: list[np.ndarray], at: int) -> dict[int, tuple[Vocabulary, list[list[int]]]]:
+        """Sequences by their number of words: the distinct ones, and the items of each."""
+        found: dict[int, dict[int, list[int]]] = {}
+        for k, own in enumerate(sequences):
+            found.setdefault(len(own), {}).setdefault(int(hash_runs(own, len(own))[0]), []).append(at + k)
+        return {n: (Vocabulary(np.array(list(x), np.uint64)), [x[key] for key in sorted(x)]) for n, x in found.items()}
+
     def state(self) -> dict:
-        return self.__dict__ | {"terms": self.terms.keys}
+        return self.__dict__ | {"terms": self.terms.keys, "short": {n: (known.keys, items) for n, (known, items) in self.short.items()}}
 
     @classmethod
     def of(cls, state: dict) -> Index:
         index = cls.__new__(cls)
-        index.__dict__.update(state | {"terms": Vocabulary(state["terms"])})
+        short = {n: (Vocabulary(keys), items) for n, (keys, items) in state["short"].items()}
+        index.__dict__.update(state | {"terms": Vocabulary(state["terms"]), "short": short})
         return index
 
     def search(self, buf: np.ndarray, offsets: np.ndarray, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[tuple]:
@@ -128,6 +140,12 @@ class Index:
         low, high = np.searchsorted(useful, begin), np.searchsorted(useful, end)
         picked = np.flatnonzero(high > low)
         best: dict[tuple[int, int], tuple] = {}
+        for width, (known, items) in self.short.items():
+            at = known.of(hash_runs(hashes, width))
+            met = np.flatnonzero(at < known.size)
+            met = met[doc[met] == doc[met + width - 1]]
+            for d, k in np.unique(np.stack((doc[met], at[met]), axis=1), axis=0).tolist():
+                best.update({(d, item): (1.0, 1.0, 1.0) for item in items[k]})
         for at in range(0, len(picked), 2048):
             p = picked[at : at + 2048]
             place = begin[p][:, None] + np.arange(2 * step)
@@ -160,8 +178,8 @@ def find_hits(packed: DataFrame, benchmark: DataFrame, threshold: float = THRESH
     """``(place, item_id, score, question_share, answer_share)`` for each confirmed pair of text and item.
 
     ``benchmark(item_id, text)`` may hold null texts and ids and repeated rows;
-    texts below the word limit are not searched for.  Items go into indexes of
-    bounded size, each held against all texts.
+    texts without words are not searched for, those of few words as a whole sequence.
+    Items go into indexes of bounded size, each held against all texts.
     """
     spark = packed.sparkSession
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())

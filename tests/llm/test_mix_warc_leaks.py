@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -153,3 +154,23 @@ def test_block_bounds_lose_no_item():
     offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
     got = {(d, i) for d, i, *_ in index.search(np.frombuffer(b"".join(raw), np.uint8), offsets)}
     assert {(k, k) for k in range(60)} <= got
+
+
+def test_short_items_count_as_whole_sequences(spark, documents, prose):
+    items = [(k, " ".join(prose(3000 + k, k, 10**6).replace(".", "").split(" "))) for k in range(1, 8)]
+    items += [(17, items[6][1].upper() + "?"), (20, prose(3020, 20)), (30, ""), (31, " ?! ")]
+    rows = [(0, prose(1, 80), "en", "a"), (100, items[6][1].rsplit(" ", 1)[0], "en", "a"), (101, items[6][1].rsplit(" ", 1)[1], "en", "a")]
+    for k, t in items[:7]:
+        w = prose(50 + k, 60).split(" ")
+        rows.append((k, " ".join([*w[:20], t.upper() + "!", *w[20:], t]), "en", "a"))
+        if k > 1:
+            rows.append((50 + k, " ".join([*w, *reversed(t.split(" "))]), "en", "a"))  # all words, another order
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {r.doc_id: r for r in decontaminate.decontaminate(documents(rows).coalesce(1), table).collect()}
+    plain = lambda t: f" {' '.join(re.findall('[a-z0-9]+', t.lower()))} "
+    for i, t, _, _ in rows:
+        want = sorted(k for k, x in items if plain(x).strip() and plain(x) in plain(t))
+        assert got[i].item_ids == want and got[i].contaminated == bool(want), i
+    assert got[7].item_ids == [7, 17] and got[7].score == 1.0 and not got[100].contaminated
+    only = decontaminate.decontaminate(documents(rows), table.filter("item_id = 3")).filter("contaminated").collect()
+    assert [r.doc_id for r in only] == [3]
