@@ -11,7 +11,8 @@ Items of few words are looked up as whole sequences of words instead.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from slidelake.llm.batches import bytes_of, each_batch, pack, select_places
 from slidelake.llm.learn import Vocabulary
 from slidelake.llm.textops import LOWER, SPACE, hash_runs, hash_spans, splits, words
+from slidelake.session import cut_lineage
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach.
@@ -55,10 +57,32 @@ def _grams(hashes: np.ndarray) -> tuple[int, np.ndarray]:
     return width, np.unique(hash_runs(hashes, width)) if width else hashes
 
 
+class Totals(NamedTuple):
+    """What a score needs to know of the whole benchmark, items of few words left out."""
+
+    items: int
+    words: int
+    longest: int
+    terms: np.ndarray  # sorted hashes, those of the index's own items at least
+    df: np.ndarray  # items with each term
+
+
+def count_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of words of every text, and the distinct terms of each text of enough words with its position."""
+    hashes, doc, _, _ = tokens(*bytes_of(texts))
+    count = np.bincount(doc, minlength=len(texts))
+    long = count[doc] >= MIN_ITEM_WORDS
+    pairs = np.unique(np.stack((doc[long].astype(np.uint64), hashes[long]), axis=1), axis=0)
+    return count, pairs[:, 1], pairs[:, 0].astype(np.int64)
+
+
 class Index:
-    """Inverted index of items: impacts by term, block maxima and the terms past the pivot."""
+    """Inverted index of items: impacts by term, block maxima and the terms past the pivot.
+
+    ``totals`` tells of all items where these are only a part of them.
+    """
 
-    def __init__(self, ids: list, texts: pa.Array, threshold: float = THRESHOLD):
+    def __init__(self, ids: list, texts: pa.Array, threshold: float = THRESHOLD, totals: Totals | None = None):
         buf, offsets = bytes_of(texts)
         hashes, doc, starts, ends = tokens(buf, offsets)
         count = np.bincount(doc, minlength=len(ids))
@@ -67,7 +91,7 @@ class Index:
         short = np.flatnonzero((count > 0) & (count < MIN_ITEM_WORDS))
         self.ids = [ids[i] for i in (*used, *short)]
         self.short = self._short([hashes[first[i] : first[i + 1]] for i in short], len(used))
-        self.longest = int(count[used].max(initial=1))
+        self.longest = totals.longest if totals else int(count[used].max(initial=1))
         self.question, self.answer = [], []
         stops = np.concatenate(([0], np.cumsum(_STOP[buf])))
         for i in used:
@@ -88,9 +112,11 @@ class Index:
         tf = np.zeros((self.terms.size, n), np.float32)
         for k, i in enumerate(used):
             np.add.at(tf[:, k], self.terms.of(hashes[first[i] : first[i + 1]]), 1)
-        df = (tf > 0).sum(axis=1)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        score = idf[:, None] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * count[used] / count[used].mean()))
+        df = totals.df[np.searchsorted(totals.terms, self.terms.keys)] if totals else (tf > 0).sum(axis=1)
+        every = totals.items if totals else n
+        mean = totals.words / totals.items if totals else count[used].mean()
+        idf = np.log1p((every - df + 0.5) / (df + 0.5))
+        score = idf[:, None] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * count[used] / mean))
         score /= score.sum(axis=0)
         # Past the pivot: common terms first, what is left once their sum could reach the threshold.
         order = np.argsort(-df, kind="stable")
@@ -174,12 +200,44 @@ class Index:
                 best[key] = (score, *shares)
 
 
+def _totals(items: DataFrame) -> Callable[[int], Totals]:
+    """Totals of ``items(item_id, text, part)``, with the terms of one part at a time."""
+
+    def count(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in arrow:
+            n, terms, at = count_words(piece.column(0))
+            part = piece.column(1).to_numpy(zero_copy_only=False)
+            long = n[n >= MIN_ITEM_WORDS]
+            # Term null: the items, their words and the longest.
+            columns = [
+                pa.array([None, *terms.view(np.int64)], pa.int64()), pa.array([None, *part[at]], pa.int64()),
+                pa.array([len(long), *np.ones(len(at), np.int64)], pa.int64()), pa.array([int(long.sum()), *np.zeros(len(at), np.int64)], pa.int64()),
+                pa.array([int(long.max(initial=1)), *np.zeros(len(at), np.int64)], pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "part", "n", "words", "longest"])
+
+    counted = items.select("text", F.col("part").cast("bigint").alias("part")).mapInArrow(count, "term bigint, part bigint, n bigint, words bigint, longest bigint")
+    summed = cut_lineage(
+        counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.max("longest").alias("longest"), F.collect_set("part").alias("parts"))
+    )
+    top = summed.filter("term IS NULL").first()
+
+    def of(part: int) -> Totals:
+        own = summed.filter(F.col("term").isNotNull() & F.array_contains("parts", F.lit(part).cast("bigint"))).select("term", "n").toArrow()
+        terms, df = own["term"].to_numpy().view(np.uint64), own["n"].to_numpy()
+        order = np.argsort(terms)
+        return Totals(top.n, top.words, top.longest, terms[order], df[order])
+
+    return of
+
+
 def find_hits(packed: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """``(place, item_id, score, question_share, answer_share)`` for each confirmed pair of text and item.
 
     ``benchmark(item_id, text)`` may hold null texts and ids and repeated rows;
     texts without words are not searched for, those of few words as a whole sequence.
-    Items go into indexes of bounded size, each held against all texts.
+    Items go into indexes of bounded size, each held against all texts; weights of
+    terms and the length of passages are those of all items together.
     """
     spark = packed.sparkSession
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
@@ -187,9 +245,12 @@ def find_hits(packed: DataFrame, benchmark: DataFrame, threshold: float = THRESH
     schema = "place bigint, item_id bigint, score double, question_share double, answer_share double"
     names = ["place", "item_id", "score", "question_share", "answer_share"]
     found = None
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+    whole = _totals(items) if parts > 1 else None
     for part in range(parts):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").toArrow()
-        index = Index(own["item_id"].to_pylist(), own["text"].combine_chunks() if own.num_rows else pa.array([], pa.string()), threshold)
+        own = items.filter(F.col("part") == part).orderBy("item_id", "text").select("item_id", "text").toArrow()
+        texts = own["text"].combine_chunks() if own.num_rows else pa.array([], pa.string())
+        index = Index(own["item_id"].to_pylist(), texts, threshold, whole and whole(part))
         shared = spark.sparkContext.broadcast(index.state())  # at most INDEX_ITEMS items
 
         def search(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
