@@ -38,7 +38,3 @@ def square_slide(spark):
         [(1, 2048, 2048, 512, 0.25, 0.5)],
         "slide_id bigint, width int, height int, tile_size int, source_mpp double, target_mpp double",
     )
-
-
-def rows(df, *columns):
-    return sorted(tuple(r[c] for c in columns) for r in df.collect())

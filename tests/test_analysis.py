@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import rows
+from compare import rows
 from pyspark.sql import functions as F
 
 from slidelake.operators import analysis as G

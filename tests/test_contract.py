@@ -1,7 +1,7 @@
 import duckdb
 import numpy as np
 import pytest
-from conftest import rows
+from compare import rows
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract

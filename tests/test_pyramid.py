@@ -2,7 +2,7 @@ import json
 import random
 
 import pytest
-from conftest import rows
+from compare import rows
 from pyspark.sql import functions as F
 
 from slidelake.operators import pyramid as P

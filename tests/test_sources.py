@@ -4,7 +4,7 @@ import struct
 import zlib
 
 import numpy as np
-from conftest import rows
+from compare import rows
 from pyspark.sql import functions as F
 
 from slidelake.sources import packs, projects

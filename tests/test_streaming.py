@@ -2,7 +2,7 @@ import os
 import time
 from datetime import datetime, timedelta
 
-from conftest import rows
+from compare import rows
 from pyspark.sql import functions as F
 
 from slidelake.operators import annotations as A
