@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from slidelake.llm import attention, decontaminate, language, mixing, quality, runindex, setsketch, superkmers, toxicity, warc
+from slidelake.llm import (
+    alignment, attention, decontaminate, hardneg, language, mixing, quality, runindex, setsketch, sharding, superkmers, toxicity, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -170,3 +173,83 @@ def leaks(spark, sf_dir):
 @query("op8_attention_lm")
 def language_model(spark, sf_dir):
     return attention.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_hard_negatives",
+    """
+WITH v AS (
+  SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+), s AS (
+  SELECT a.k AS anchor, a.vec_id AS anchor_id, b.k, b.vec_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.k <> b.k WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor, anchor_id, k AS positive, vec_id AS positive_id, score AS positive_score
+  FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, row_number() OVER w::INT AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor, positive ORDER BY s.score DESC, s.vec_id)
+QUALIFY rank <= 3
+""",
+)
+def hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine_hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+@query(
+    "op12_stratified_shards",
+    """
+WITH t AS (
+  SELECT list(c ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+    FROM range(256) r(i))
+), m AS (
+  SELECT list(z ORDER BY j, i) AS jump FROM (
+    SELECT j, i, list_reduce(list_prepend(i << (8 * j), range(256)), lambda c, k: xor(c >> 8, tab[(c & 255) + 1])) AS z
+    FROM range(256) r(i), range(4) s(j), t)
+), d AS (
+  SELECT row_number() OVER () AS k, doc_id, source, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n
+  FROM documents
+), p AS (SELECT k, n, unnest(range(n // 256 + 1)) AS part, h FROM d),
+q AS (
+  SELECT k, part, CASE WHEN part = 0 THEN substring(h, 1, 2 * (n % 256)) ELSE substring(h, 2 * (n % 256) + 512 * (part - 1) + 1, 512) END AS piece
+  FROM p
+), r AS (
+  SELECT k, list(list_reduce(
+      list_prepend(CASE WHEN part = 0 THEN 4294967295 ELSE 0 END,
+        list_transform(range(len(piece) // 2), lambda i: ('0x' || substring(piece, 2 * i + 1, 2))::BIGINT)),
+      lambda c, y: xor(c >> 8, tab[(xor(c, y) & 255) + 1])) ORDER BY part) AS sums
+  FROM q, t GROUP BY k
+), x AS (
+  SELECT k, doc_id, source, (n + 1)::BIGINT AS size, xor(4294967295, list_reduce(sums, lambda c, y:
+    xor(y, xor(xor(jump[(c & 255) + 1], jump[(c >> 8 & 255) + 257]), xor(jump[(c >> 16 & 255) + 513], jump[(c >> 24) + 769])))))::BIGINT AS text_crc32
+  FROM d JOIN r USING (k), m
+), y AS (
+  SELECT *, md5('interleave:' || coalesce(doc_id::VARCHAR, '') || ':' || text_crc32 || ':' || size) AS draw FROM x
+), z AS (
+  SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY draw, k) - 1) / (2 * count(*) OVER (PARTITION BY source)) AS place FROM y
+), o AS (
+  SELECT *, row_number() OVER (ORDER BY place, draw, source NULLS FIRST, k) - 1 AS pos, count(*) OVER () AS total FROM z
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (pos * 8 // total)::INT AS shard,
+  (pos - (pos * 8 // total * total + 7) // 8)::BIGINT AS slot, NULL::INT AS grown_shard
+FROM o
+""",
+)
+def shards(spark, sf_dir):
+    found = sharding.assign_shards(table(spark, sf_dir, "documents"), shards=8)
+    return found.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op13_tokenizer_alignment")
+def tokenizer_alignment(spark, sf_dir):
+    found = alignment.Alignment(table(spark, sf_dir, "documents")).documents()
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
+    return found.withColumn("groups_sha256", digest).drop("groups")

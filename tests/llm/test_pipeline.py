@@ -69,7 +69,7 @@ def test_run_and_registration(spark, corpus):
     folder, _, _ = corpus
     assert corpus_pipeline.run(spark, folder).count() > 50
     names = set(contract.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert set(contract.oracle_sql()) <= names
 
 
