@@ -20,9 +20,11 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -44,10 +46,8 @@ TOKENIZER_B = "/opt/tokenizers/piece_bpe_32k.model"
 BUCKET_BITS = 6
 FAN_IN = 16
 #: Distinct chunks and their characters that a task remembers before it starts anew.
-KNOWN_CHUNKS, KNOWN_CHARS = 200_000, 16 << 20
+KNOWN_CHUNKS, KNOWN_CHARS = 300_000, 16 << 20
 _SLICE_CHARS = 1 << 20
-# Neither tokenizer joins a printable character or word character with a blank behind it.
-_BORDER = re.compile(r"(?<=[!-~\w])(?= )")
 U64 = np.uint64
 EMPTY = np.zeros(0, np.int64)
 
@@ -87,6 +87,11 @@ class TokenizerPair:
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
+        self.a_sizes, self.b_sizes = (np.array([len(v) for v in voc], np.int64) for voc in (self.a_bytes, self.b_bytes))
+        # Ids as they are written: A's in a group and last in it; B's in a group, last in it, last in a chunk.
+        self.written = [f"{i}{c}" for i in range(len(self.a_bytes)) for c in ",|"] + [f"{i}{c}" for i in range(len(self.b_bytes)) for c in ",;\n"]
+        self.blanks = blank_letters()
+        self.border = re.compile(f"(?<=[^{re.escape(''.join(sorted(self.blanks)))}])(?= )")
         # Chunks may be encoded on their own where no token of either reaches over a border.
         parts = json.loads(a_json)
         before = parts.get("pre_tokenizer") or {}
@@ -96,24 +101,48 @@ class TokenizerPair:
         )
         return self
 
-    def chunks(self, text: str) -> list[str]:
-        """``" " + text`` in pieces that both tokenizers encode as they do in the whole."""
-        parts = _BORDER.split(" " + text) if self.local else [" " + text]
-        if parts[-1] == " " and len(parts) > 1:  # the model adds no blank to nothing
-            parts[-2:] = [parts[-2] + " "]
-        return parts
+    def chunks(self, texts: list[str]) -> list[list[str]]:
+        """Each ``" " + text`` in pieces that both tokenizers encode as they do in the whole, less a blank before each.
 
-    def encode(self, chunks: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """Ids of both for each chunk; None where a chunk does not come back byte for byte."""
+        Neither joins anything but a blank letter with a blank behind it, so
+        every other letter before a blank ends a piece.
+        """
+        if not self.local:
+            return [[t] for t in texts]
+        odd = [c + " " for c in self.blanks & set().union(*texts)]
         out = []
-        a_ids = [e.ids for e in self.a.encode_batch(chunks, add_special_tokens=False)]
-        b_ids = self.b.encode([c[1:] for c in chunks], num_threads=1)  # the model adds the blank
-        for chunk, a, b in zip(chunks, a_ids, b_ids):
-            raw = chunk.encode()
-            same = b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b])
-            out.append((a, b) if same else None)
+        for t in texts:
+            if t[0] != " " != t[-1] and not any(o in t for o in odd):
+                out.append(t.split(" "))
+                continue
+            parts = self.border.split(" " + t)
+            if parts[-1] == " " and len(parts) > 1:  # B's model adds no blank to nothing
+                parts[-2:] = [parts[-2] + " "]
+            out.append([p[1:] for p in parts])
         return out
 
+    def encode(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and of B one after the other, their numbers, and which chunks come back byte for byte."""
+        raw = [(" " + k).encode() for k in keys]
+        a_ids = [e.ids for e in self.a.encode_batch([" " + k for k in keys], add_special_tokens=False)]
+        b_ids = self.b.encode(keys, num_threads=1)
+        sides, good = [], np.ones(len(keys), bool)
+        for ids, voc, sizes in ((a_ids, self.a_bytes, self.a_sizes), (b_ids, self.b_bytes, self.b_sizes)):
+            counts = np.array([len(x) for x in ids], np.int64)
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(counts.sum()))
+            ends = np.concatenate([[0], np.cumsum(sizes[flat])])[np.cumsum(counts)]
+            if b"".join([voc[i] for i in flat.tolist()]) != b"".join(raw) or (np.diff(ends, prepend=0) != [len(r) for r in raw]).any():
+                good &= [b"".join([voc[i] for i in x]) == r for x, r in zip(ids, raw)]
+            sides += [flat, counts]
+        return (*sides, good)
+
+
+@lru_cache
+def blank_letters() -> frozenset[str]:
+    """Letters that some rule may take for white space: separators, controls and formats."""
+    every = map(chr, range(0x110000))
+    return frozenset(c for c in every if unicodedata.category(c) in ("Cc", "Cf", "Zs", "Zl", "Zp"))
+
 
 def most_pairs(pair: TokenizerPair) -> int:
     """How many id pairs can be linked at all: those whose bytes are suffixes of one another."""
@@ -123,24 +152,48 @@ def most_pairs(pair: TokenizerPair) -> int:
     return longer_a + sum(of_a[v[k:]] for v in pair.b_bytes for k in range(1, len(v) + 1))
 
 
-def groups_of(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]):
-    """Groups as ``(a ids, b ids)`` and links as id pairs."""
-    a_ends = list(accumulate(len(a_bytes[i]) for i in a))
-    b_ends = list(accumulate(len(b_bytes[i]) for i in b))
-    groups, links = [], []
-    i = j = 0
-    for end in sorted(set(a_ends) & set(b_ends)):
-        from_i, from_j = i, j
-        while i < len(a) and a_ends[i] <= end:
-            i += 1
-        while j < len(b) and b_ends[j] <= end:
-            j += 1
-        groups.append((a[from_i:i], b[from_j:j]))
-        links += [
-            (x, y) for x, ex in zip(a[from_i:i], a_ends[from_i:i]) if ex == end
-            for y, ey in zip(b[from_j:j], b_ends[from_j:j]) if ey == end
-        ]
-    return groups, links
+def align(fa: np.ndarray, na: np.ndarray, fb: np.ndarray, nb: np.ndarray, pair: TokenizerPair):
+    """Groups and links of all chunks together; ids one after the other, and how many a chunk has.
+
+    Both sides of a chunk hold the same bytes, so running byte ends compare
+    across chunks.  Gives the written groups, groups per chunk, link keys
+    ``a << 32 | b`` and links per chunk.
+    """
+    ends_a, ends_b = np.cumsum(pair.a_sizes[fa]), np.cumsum(pair.b_sizes[fb])
+    last = ends_a[np.cumsum(na) - 1]  # where chunks end; both sides end there
+    cuts = np.intersect1d(ends_a, ends_b)
+    # Tokens of a group are those with an end up to its cut; an empty token belongs to the group it ends in.
+    in_a, in_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+    through_a, through_b = np.searchsorted(in_a, np.arange(len(cuts)), "right"), np.searchsorted(in_b, np.arange(len(cuts)), "right")
+    groups = np.diff(np.searchsorted(cuts, last, "right"), prepend=0)
+    # Written form: a group's A ids before its B ids.
+    codes = np.empty(len(fa) + len(fb), np.int64)
+    before_b = np.concatenate([[0], through_b])[in_a]
+    ending_a, ending_b = through_a[in_a] == np.arange(len(fa)) + 1, through_b[in_b] == np.arange(len(fb)) + 1
+    codes[np.arange(len(fa)) + before_b] = 2 * fa + ending_a
+    chunk_end = np.isin(cuts, last)[in_b]
+    codes[np.arange(len(fb)) + through_a[in_b]] = 2 * len(pair.a_bytes) + 3 * fb + np.where(ending_b, 1 + chunk_end, 0)
+    table = pair.written
+    written = "".join([table[c] for c in codes.tolist()]).split("\n")[:-1]
+    # A cut links the tokens that end in it: one and one, but for empty tokens.
+    at_a, at_b = ends_a == cuts[in_a], ends_b == cuts[in_b]
+    many_a, many_b = np.bincount(in_a[at_a], minlength=len(cuts)), np.bincount(in_b[at_b], minlength=len(cuts))
+    if (many_a == 1).all() and (many_b == 1).all():
+        keys, where = (fa[at_a] << 32) | fb[at_b], np.arange(len(cuts))
+    else:
+        left, right = pd.DataFrame({"cut": in_a[at_a], "a": fa[at_a]}), pd.DataFrame({"cut": in_b[at_b], "b": fb[at_b]})
+        both = left.merge(right, on="cut")
+        keys, where = (both["a"].to_numpy() << 32) | both["b"].to_numpy(), both["cut"].to_numpy()
+    links = np.bincount(np.searchsorted(last, cuts[where]), minlength=len(na))
+    return written, groups, keys, links
+
+
+class _Numbers(dict):
+    """Numbers for keys as they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        return number
 
 
 class Chunks:
@@ -148,11 +201,11 @@ class Chunks:
 
     def __init__(self, pair: TokenizerPair):
         self.pair = pair
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.chars = 0
-        self.sizes: list[tuple[int, int, int, int]] = []  # a, b, groups, links
-        self.good: list[bool] = []
-        self.links: list[np.ndarray] = []
+        self.sizes = np.zeros((0, 4), np.int64)  # a, b, groups, links
+        self.good = np.zeros(0, bool)
+        self.links = EMPTY  # of all chunks, one after the other
         self.written: list[str] = []
 
     @property
@@ -162,23 +215,32 @@ class Chunks:
     def learn(self, texts: list[str]) -> list[np.ndarray]:
         """Chunk numbers of each text; unknown chunks are aligned."""
         first = len(self.number)
-        out = [
-            np.array([self.number.setdefault(c, len(self.number)) for c in self.pair.chunks(t)], np.int64) for t in texts
-        ]
-        fresh = list(self.number)[first:] if len(self.number) > first else []
-        for ids in self.pair.encode(fresh):
-            if ids is None:
-                groups, links, sizes = [], [], (0, 0, 0, 0)
-            else:
-                groups, links = groups_of(*ids, self.pair.a_bytes, self.pair.b_bytes)
-                sizes = (len(ids[0]), len(ids[1]), len(groups), len(links))
-            self.good.append(ids is not None)
-            self.sizes.append(sizes)
-            self.links.append(np.array([(x << 32) | y for x, y in links], np.int64))
-            self.written.append(";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups))
-        self.chars += sum(map(len, fresh))
+        ask = self.number.__getitem__
+        out = [np.array(list(map(ask, keys)), np.int64) for keys in self.pair.chunks(texts)]
+        fresh = list(islice(self.number, first, None))
+        if fresh:
+            self._learn(fresh)
         return out
 
+    def _learn(self, keys: list[str]) -> None:
+        fa, na, fb, nb, good = self.pair.encode(keys)
+        sizes, written = np.zeros((len(keys), 4), np.int64), np.full(len(keys), "", object)
+        if good.any():
+            fa, fb, na, nb = fa[np.repeat(good, na)], fb[np.repeat(good, nb)], na[good], nb[good]
+            written[good], groups, links, many = align(fa, na, fb, nb, self.pair)
+            sizes[good] = np.stack([na, nb, groups, many], axis=1)
+            self.links = np.concatenate([self.links, links])
+        self.sizes, self.good = np.concatenate([self.sizes, sizes]), np.concatenate([self.good, good])
+        self.written += written.tolist()
+        self.chars += sum(map(len, keys))
+
+    def links_of(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Link keys of the given chunks and whose they are, by place in ``chunks``."""
+        many, ends = self.sizes[chunks, 3], np.cumsum(self.sizes[:, 3])
+        owner = np.repeat(np.arange(len(chunks)), many)
+        inside = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+        return self.links[(ends[chunks] - many)[owner] + inside], owner
+
 
 def _slices(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
     """Ids and texts, some megabyte at once."""
@@ -321,15 +383,12 @@ def _task_counts(docs: DataFrame, shared) -> DataFrame:
         known, times = Chunks(pair), np.zeros(0, np.int64)
 
         def fold():
-            width = [len(x) for x in known.links]
-            flat = np.concatenate([EMPTY, *known.links])
-            return _add(np.concatenate([keys, flat]), np.concatenate([sums, np.repeat(times, width)]))
+            return _add(np.concatenate([keys, known.links]), np.concatenate([sums, np.repeat(times, known.sizes[:, 3])]))
 
         for _, texts in _slices(frames):
             numbers = known.learn([t for t in texts if t])
-            good = np.array(known.good, bool)
-            whole = [n for n in numbers if good[n].all()]
-            times = np.concatenate([times, np.zeros(len(good) - len(times), np.int64)])
+            whole = [n for n in numbers if known.good[n].all()]
+            times = np.concatenate([times, np.zeros(len(known.good) - len(times), np.int64)])
             if whole:
                 times += np.bincount(np.concatenate(whole), minlength=len(times))
             if known.full:
@@ -444,14 +503,13 @@ class Alignment:
 
             def judge(chunks: np.ndarray) -> np.ndarray:
                 """Sizes, best links and summed counts of the given chunks."""
-                links = [known.links[k] for k in chunks.tolist()]
-                flat = np.concatenate([EMPTY, *links])
+                flat, owner = known.links_of(chunks)
                 found = index.look_up(flat)
-                owner = np.repeat(np.arange(len(links)), [len(x) for x in links])
-                out = np.zeros((len(links), 6), np.int64)
-                out[:, :4] = [known.sizes[k] for k in chunks.tolist()]
+                out = np.zeros((len(chunks), 6), np.int64)
+                out[:, :4] = known.sizes[chunks]
                 if len(flat):
-                    np.add.at(out[:, 4], owner, found == index.best[flat & 0xFFFFFFFF])
+                    best = found == index.best[flat & 0xFFFFFFFF]
+                    out[:, 4] = np.bincount(owner[best], minlength=len(chunks))
                     np.add.at(out[:, 5], owner, found)
                 return out
 
@@ -459,8 +517,7 @@ class Alignment:
                 numbers = iter(known.learn([t for t in texts if t]))
                 grown = len(known.sizes) - len(facts)
                 facts, judged = np.concatenate([facts, np.zeros((grown, 6), np.int64)]), np.concatenate([judged, np.zeros(grown, bool)])
-                good = np.array(known.good, bool)
-                whole = [(i, n) for i, n in ((i, next(numbers)) for i, t in enumerate(texts) if t) if good[n].all()]
+                whole = [(i, n) for i, n in ((i, next(numbers)) for i, t in enumerate(texts) if t) if known.good[n].all()]
                 # Only texts with tokens were counted, so only their chunks are looked up.
                 used = np.unique(np.concatenate([EMPTY, *[n for _, n in whole]]))
                 used = used[~judged[used]]

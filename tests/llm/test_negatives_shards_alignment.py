@@ -212,11 +212,28 @@ def test_alignment_of_nothing_and_of_a_long_text(spark, documents, pair, prose):
     assert tuple(got)[1:7] == want[0][:6]
 
 
-def test_whole_texts_where_tokens_may_cross_borders(pair, prose):
-    texts = [t for t in ODD if t] + [prose(1, 50)]
-    apart = [[sum((list(x[k]) for x in pair.encode(pair.chunks(t)) if x), []) for k in (0, 1)] if None not in pair.encode(pair.chunks(t)) else None for t in texts]
-    whole = pair.encode([" " + t for t in texts])
-    assert pair.local and [None if w is None else [list(w[0]), list(w[1])] for w in whole] == apart
+def test_chunks_encode_as_whole_texts(pair, prose):
+    def ids(keys):
+        fa, na, fb, nb, good = pair.encode(keys)
+        return (fa.tolist(), fb.tolist()) if good.all() else None
+
+    assert pair.local
+    for t in [t for t in ODD if t] + [prose(1, 50), "a\n b\n\n  c\td ", "x\u200b y \u200b z"]:
+        assert ids(pair.chunks([t])[0]) == ids([t]), t
+    assert pair.chunks(["a b", " a", "a\n b", "a  b "]) == [["a", "b"], [" a"], ["a\n b"], ["a", " b "]]
+
+
+def test_empty_tokens_end_with_their_neighbours():
+    class Pair:
+        a_bytes, b_bytes = [b" x", b"", b"y"], [b" ", b"x", b"", b" xy"]
+        a_sizes, b_sizes = np.array([2, 0, 1]), np.array([1, 1, 0, 3])
+        written = [f"{i}{c}" for i in range(3) for c in ",|"] + [f"{i}{c}" for i in range(4) for c in ",;\n"]
+
+    # A: " x", "", "y" and " x"; B: " ", "x", "" , then no way to end with y but the whole; second chunk " ", "x".
+    flat = lambda *v: np.array(v, np.int64)
+    written, groups, keys, links = alignment.align(flat(0, 1, 0), flat(2, 1), flat(0, 1, 2, 0, 1), flat(3, 2), Pair)
+    assert written == ["0,1|0,1,2", "0|0,1"] and groups.tolist() == [1, 1] and links.tolist() == [4, 1]
+    assert sorted(keys.tolist()) == sorted((a << 32) | b for a, b in [(0, 1), (0, 2), (1, 1), (1, 2), (0, 1)])
 
 
 def test_perfect_hash_is_minimal_and_pairs_are_bounded(pair):
