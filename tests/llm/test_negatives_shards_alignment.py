@@ -223,6 +223,14 @@ def test_chunks_encode_as_whole_texts(pair, prose):
     assert pair.chunks(["a b", " a", "a\n b", "a  b "]) == [["a", "b"], [" a"], ["a\n b"], ["a", " b "]]
 
 
+def test_quick_encoder_gives_the_same_ids(pair):
+    draw = random.Random(4)
+    letters = "etaoinshrdlucmfwyp" * 3 + "ETAOIN" + "\u00e9\u00fc\u00f1\u00df" + "0123456789" + ".,;:!?'-_()" + "'s"
+    lines = [" ".join("".join(draw.choice(letters) for _ in range(draw.randrange(1, 14))) for _ in range(100)) for _ in range(300)] + [t for t in ODD if t]
+    assert pair.quick is not None
+    assert [pair.quick.encode_ordinary(t) for t in lines] == [e.ids for e in pair.a.encode_batch(lines, add_special_tokens=False)]
+
+
 def test_empty_tokens_end_with_their_neighbours():
     class Pair:
         a_bytes, b_bytes = [b" x", b"", b"y"], [b" ", b"x", b"", b" xy"]
