@@ -18,7 +18,8 @@ from slidelake import schema as S
 from slidelake.operators.annotations import append_batch
 from slidelake.operators.grouping import map_sorted_groups, partitions_of
 from slidelake.operators.levels import level_for_mpp
-from slidelake.operators.skew import HASHABLE, keep_wanted
+from slidelake.operators.skew import HASHABLE
+from slidelake.sources.tilestore import wanted_tiles
 
 INPUT_KINDS = ("tile", "region", "whole_slide", "annotations")
 # Fixed values of the tissue rules.
@@ -219,7 +220,7 @@ def tissue_scores(tiles: DataFrame, levels: DataFrame, mpp: float = TISSUE_MPP)
     """
     chosen = _chosen_levels(levels, mpp)
     keys = ["slide_id", "level", "col", "row"]
-    used = keep_wanted(tiles, chosen, ["slide_id", "level"])
+    used = wanted_tiles(tiles, chosen, ["slide_id", "level"])
     s = image_moments(used, keys)
     return s.select(
         *keys,

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from slidelake import schema as S
 from slidelake.operators.grouping import map_sorted_groups
-from slidelake.operators.skew import attach_small, keep_wanted
 from slidelake.session import cut_lineage
+from slidelake.sources.tilestore import wanted_tiles, with_slide_columns
 
 TILE = ["slide_id", "level", "col", "row"]
 
@@ -71,74 +71,90 @@ def _halve(image: np.ndarray) -> np.ndarray:
     return ((2 * sums + n) // (2 * n)).astype(np.uint8)
 
 
-def downsample_level(tiles: DataFrame, slides: DataFrame, levels: DataFrame) -> DataFrame:
-    """Tiles of the next coarser level from the tiles of one level.
+#: What a tile needs to know of its slide to be shrunk: full size, tile size, finest level.
+_FRAME = ["slide_width", "slide_height", "tile_size", "top"]
+
+
+def _framed(tiles: DataFrame, slides: DataFrame, levels: DataFrame, only_top: bool) -> DataFrame:
+    """Tiles with their slide's frame; one narrow join by tile key (see ``with_slide_columns``)."""
+    tops = levels.groupBy("slide_id").agg(F.max("level").alias("top"), F.max("tile_size").alias("tile_size")).join(
+        slides.select("slide_id", F.col("width").alias("slide_width"), F.col("height").alias("slide_height")), "slide_id"
+    )
+    tiles = tiles.select(*TILE, "width", "height", "rgb")
+    if only_top:
+        return with_slide_columns(tiles, tops.withColumn("level", F.col("top")), ["slide_id", "level"])
+    return with_slide_columns(tiles, tops, ["slide_id"])
+
+
+def _shrink_level(framed: DataFrame) -> DataFrame:
+    """Tiles of the next coarser level with their frames; halves meet at their parent, nothing is joined."""
+    sid = _sid(framed)
+    frame = ", ".join(f"{c} int" for c in _FRAME)
+    names = [*TILE, "dx", "dy", "width", "height", "rgb", *_FRAME]
 
-    Each tile is halved before the shuffle, so a quarter of the pixels moves; a
-    parent has at most four children.  Missing children leave background; a
-    parent without any stored child stays missing.
-    """
     def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for t in pdf.itertuples(index=False):
-                image = np.frombuffer(t.rgb, np.uint8).reshape(t.height, t.width, 3)
-                small = _halve(image)
-                out.append((t.slide_id, t.level - 1, t.col // 2, t.row // 2, t.col % 2, t.row % 2,
-                            small.shape[1], small.shape[0], small.tobytes()))
-            yield pd.DataFrame(out, columns=[*TILE, "dx", "dy", "width", "height", "rgb"])
+                small = _halve(np.frombuffer(t.rgb, np.uint8).reshape(t.height, t.width, 3))
+                out.append((t.slide_id, t.level - 1, t.col // 2, t.row // 2, t.col % 2, t.row % 2, small.shape[1], small.shape[0],
+                            small.tobytes(), *(getattr(t, c) for c in _FRAME)))
+            yield pd.DataFrame(out, columns=names)
 
-    sid = _sid(tiles)
-    halves = tiles.filter(F.col("level") > 0).select(*TILE, "width", "height", "rgb").mapInPandas(
-        shrink,
-        f"slide_id {sid}, level int, col int, row int, dx int, dy int, width int, height int, rgb binary",
-    )
-    sizes = levels.join(
-        slides.select("slide_id", F.col("width").alias("_w"), F.col("height").alias("_h")), "slide_id"
-    ).select(
-        "slide_id", "level", "tile_size",
-        F.ceil(F.col("_w") / F.col("downsample")).cast("int").alias("level_width"),
-        F.ceil(F.col("_h") / F.col("downsample")).cast("int").alias("level_height"),
+    halves = framed.filter(F.col("level") > 0).select(*TILE, "width", "height", "rgb", *_FRAME).mapInPandas(
+        shrink, f"slide_id {sid}, level int, col int, row int, dx int, dy int, width int, height int, rgb binary, {frame}",
     )
 
     def compose(key: tuple, rows: Iterable) -> Iterable[tuple]:
         canvas = None
         for t in rows:
             if canvas is None:
-                size = int(t.tile_size)
+                size, shrunk = int(t.tile_size), 1 << int(t.top - key[1])
                 if size % 2:
                     raise ValueError("2 x 2 shrinking needs an even tile size")
-                width = min(size, int(t.level_width) - key[2] * size)
-                height = min(size, int(t.level_height) - key[3] * size)
+                width = min(size, -(-int(t.slide_width) // shrunk) - key[2] * size)
+                height = min(size, -(-int(t.slide_height) // shrunk) - key[3] * size)
                 canvas = np.full((height, width, 3), S.BACKGROUND, np.uint8)
-            part = np.frombuffer(t.rgb, np.uint8).reshape(t.height, t.width, 3)
+                told = tuple(int(getattr(t, c)) for c in _FRAME)
             x, y = t.dx * size // 2, t.dy * size // 2
-            canvas[y:y + t.height, x:x + t.width] = part
-        yield (*key, width, height, canvas.tobytes())
+            canvas[y:y + t.height, x:x + t.width] = np.frombuffer(t.rgb, np.uint8).reshape(t.height, t.width, 3)
+        yield (*key, width, height, canvas.tobytes(), *told)
 
     return map_sorted_groups(
-        attach_small(halves, sizes, ["slide_id", "level"]), TILE, [], compose,
-        _tile_schema(tiles), [*TILE, "width", "height", "rgb"],
+        halves, TILE, [], compose, f"{_tile_schema(framed)}, {frame}", [*TILE, "width", "height", "rgb", *_FRAME],
     )
 
 
-def build_pyramid_tiles(base: DataFrame, slides: DataFrame, levels: DataFrame) -> DataFrame:
+def downsample_level(tiles: DataFrame, slides: DataFrame, levels: DataFrame) -> DataFrame:
+    """Tiles of the next coarser level from the tiles of one level.
+
+    Each tile is halved before the shuffle, so a quarter of the pixels moves; a
+    parent has at most four children.  Missing children leave background; a
+    parent without any stored child stays missing.
+    """
+    return _shrink_level(_framed(tiles, slides, levels, False)).drop(*_FRAME)
+
+
+def build_pyramid_tiles(base: DataFrame, slides: DataFrame, levels: DataFrame, written: bool = False) -> DataFrame:
     """All levels from the finest tiles of each slide.
 
     The loop runs from the deepest slide's finest level down; slides of less
     depth join in when their own finest level is reached.  Each level is
     checkpointed: it is a quarter of the one before and feeds the next step.
+    ``base`` is read once per level, so it is written first unless it is a
+    ``written`` table already (see ``write_tile_store``).
     """
-    finest = levels.groupBy("slide_id").agg(F.max("level").alias("level"))
-    max_level = finest.agg(F.max("level")).first()[0] or 0
-    base = keep_wanted(base.select(*TILE, "width", "height", "rgb"), finest, ["slide_id", "level"])
+    base = base.select(*TILE, "width", "height", "rgb")
+    base = _framed(base if written else cut_lineage(base), slides, levels, True)
+    tops = [r.level for r in levels.groupBy("slide_id").agg(F.max("level").alias("level")).select("level").distinct().collect()]  # some ten numbers
     result = base
-    current = base.filter(F.col("level") == max_level)
-    for level in range(max_level - 1, -1, -1):
-        current = cut_lineage(downsample_level(current, slides, levels))
+    current = base.filter(F.col("level") == max(tops, default=0))
+    for level in range(max(tops, default=0) - 1, -1, -1):
+        current = cut_lineage(_shrink_level(current))
         result = result.unionByName(current)
-        current = current.unionByName(base.filter(F.col("level") == level))
-    return result
+        if level in tops:
+            current = current.unionByName(base.filter(F.col("level") == level))
+    return result.drop(*_FRAME)
 
 
 def _lanczos(x: np.ndarray) -> np.ndarray:
@@ -212,8 +228,8 @@ def resample(
     source tile is multiplied with the kernel once per target tile it reaches;
     the partial sums of a target tile are added in a fixed order.
     """
-    joined = attach_small(
-        tiles.drop("level"), sizes.withColumnsRenamed({"width": "src_width", "height": "src_height"}), ["slide_id"]
+    joined = with_slide_columns(
+        tiles.select(*TILE, "width", "height", "rgb"), sizes.withColumnsRenamed({"width": "src_width", "height": "src_height"}), ["slide_id"]
     )
 
     def target(edge: Column, factor: Column, out: Column) -> Column:
@@ -327,23 +343,24 @@ def thumbnails(tiles: DataFrame, slides: DataFrame, levels: DataFrame,
     ``max_size`` x ``max_size`` px, whatever the slide's size.
     """
     sizes = thumbnail_sizes(slides, levels, max_size)
-    used = keep_wanted(tiles, sizes, ["slide_id", "level"])
+    used = wanted_tiles(tiles, sizes, ["slide_id", "level"])
     parts = resample(used, sizes.drop("level"), "box", block)
-    framed = sizes.select("slide_id", "out_width", "out_height").join(parts, "slide_id", "left")
+    # What is left of the pixels meets one frame row per slide; nothing is joined.
+    frames = sizes.select("slide_id", "out_width", "out_height").withColumn("part", F.lit(0))
+    shrunk = parts.withColumnRenamed("rgb", "shrunk").withColumn("part", F.lit(1))
 
     def assemble(key: tuple, rows: Iterable) -> Iterable[tuple]:
         canvas = None
         for p in rows:
-            if canvas is None:
+            if p.part == 0:
                 canvas = np.full((int(p.out_height), int(p.out_width), 3), S.BACKGROUND, np.uint8)
-            if p.rgb is None:
-                continue
-            w, h = int(p.width), int(p.height)
-            x, y = int(p.col) * block, int(p.row) * block
-            canvas[y:y + h, x:x + w] = np.frombuffer(p.rgb, np.uint8).reshape(h, w, 3)
+            else:
+                w, h = int(p.width), int(p.height)
+                x, y = int(p.col) * block, int(p.row) * block
+                canvas[y:y + h, x:x + w] = np.frombuffer(p.shrunk, np.uint8).reshape(h, w, 3)
         yield (*key, canvas.shape[1], canvas.shape[0], canvas.tobytes())
 
     return map_sorted_groups(
-        framed, ["slide_id"], [], assemble,
+        frames.unionByName(shrunk, allowMissingColumns=True), ["slide_id"], ["part"], assemble,
         f"slide_id {_sid(tiles)}, width int, height int, rgb binary", ["slide_id", "width", "height", "rgb"],
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from slidelake.operators.grouping import map_sorted_groups
 from slidelake.operators.ordering import explode_range
-from slidelake.operators.skew import keep_wanted, salted_join
+from slidelake.operators.skew import salted_join
 
 TILE = ["slide_id", "level", "col", "row"]
 
@@ -88,7 +88,7 @@ def assemble_regions(
         "col",
     )
     payload = tiles.select(*TILE, F.col("width").alias("tw"), F.col("height").alias("th"), "rgb")
-    hits = cells.join(keep_wanted(payload, cells, TILE), TILE)
+    hits = cells.join(payload, TILE)  # by the whole tile key, so the pixels of a tile store do not move
 
     def crop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -35,27 +35,3 @@ def salted_join(
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> bool:
-    """Whether a narrow key table has at most ``max_rows`` rows; stops counting beyond."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def attach_small(payload: DataFrame, small: DataFrame, keys: Sequence[str], max_rows: int = 1_000_000) -> DataFrame:
-    """Add per-slide columns to rows with pixel data; broadcast when the check allows it."""
-    if fits_broadcast(small, max_rows):
-        return payload.join(F.broadcast(small), list(keys))
-    return salted_join(payload, small, keys)
-
-
-def keep_wanted(tiles: DataFrame, wanted: DataFrame, keys: Sequence[str], max_rows: int = 1_000_000) -> DataFrame:
-    """Keep the tiles whose key is wanted, without shuffling pixel data when possible.
-
-    A checked, small key list is broadcast, so tiles are dropped at the scan; a
-    longer list falls back to a shuffled semi join.
-    """
-    narrow = wanted.select(*keys).distinct()
-    if fits_broadcast(narrow, max_rows):
-        narrow = F.broadcast(narrow)
-    return tiles.join(narrow, list(keys), "left_semi")

@@ -195,26 +195,57 @@ def _(b: Bridge) -> DataFrame:
 
 @query("build_job", oracle("""
     SELECT slide_id, CASE WHEN slide_id % 5 = 3 THEN 'error' ELSE 'done' END AS status,
-           CASE WHEN slide_id % 5 = 3 THEN 'image bytes do not fit its size' END AS error,
+           CASE WHEN slide_id % 5 = 3 THEN 'input' END AS stage, CASE WHEN slide_id % 5 = 3 THEN 'image bytes do not fit its size' END AS error,
            CASE WHEN slide_id % 5 = 3 THEN 'not_exists' ELSE 'complete' END AS pyramid, CASE WHEN slide_id % 5 = 3 THEN 0 ELSE 44 END AS tiles
     FROM (SELECT DISTINCT slide_id FROM b_pixels)""", "b_pixels"))
 def _(b: Bridge) -> DataFrame:
-    root = scratch_path(b.spark, "built")
     # One image in five is cut short.
     images = _images(b).select("slide_id", "width", "height", F.expr("IF(slide_id % 5 = 3, substring(rgb, 1, 100), rgb)").alias("rgb"))
-    slides = b.pixel_slides.select(
+    return _built(b, images, _png)
+
+
+def _sources(b: Bridge) -> DataFrame:
+    return b.pixel_slides.select(
         "slide_id", F.concat(F.lit("/in/"), F.col("slide_id"), F.lit(".svs")).alias("path"), F.create_map(F.lit("aperio.MPP"), F.lit("0.25")).alias("props")
     )
-    results = build_job(images, slides, root, tile_size=T, encode=_png)
+
+
+def _built(b: Bridge, images: DataFrame, encode) -> DataFrame:
+    """Run the build job and look at what it says and at what lies in the folder."""
+    root = scratch_path(b.spark, "built")
+    slides = _sources(b)
+    results = build_job(images, slides, root, tile_size=T, encode=encode)
     named = slides.select(F.col("slide_id").cast("string").alias("slide_id"))
-    documents = b.spark.read.text(f"{root}/*/metadata.json", wholetext=True).select(
+    documents = b.spark.read.schema("value string").text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="metadata.json").select(
         F.element_at(F.split("_metadata.file_path", "/"), -2).alias("slide_id"), F.col("value").alias("document")
     )
     state = pyramid_status(named, pyramid_listing(b.spark, root), documents)
     stored = read_tile_index(b.spark, root)[0].filter("length > 0").groupBy("slide_id").agg(F.count(F.lit(1)).cast("int").alias("tiles"))
     return results.withColumn("slide_id", F.col("slide_id").cast("string")).join(state, "slide_id").join(
         stored.withColumn("slide_id", F.col("slide_id").cast("string")), "slide_id", "left"
-    ).select(F.col("slide_id").cast("bigint").alias("slide_id"), results["status"], "error", state["status"].alias("pyramid"), F.coalesce("tiles", F.lit(0)).alias("tiles"))
+    ).select(
+        F.col("slide_id").cast("bigint").alias("slide_id"), results["status"], "stage", "error", state["status"].alias("pyramid"),
+        F.coalesce("tiles", F.lit(0)).alias("tiles"),
+    )
+
+
+def _strips(b: Bridge) -> DataFrame:
+    """The same images as strips of 3 tile rows; slides divisible by 4 miss the second strip."""
+    step = 3 * T
+    part = F.explode(F.sequence(F.lit(0), F.lit(H - 1), F.lit(step))).alias("y_offset")
+    cut = _images(b).select("slide_id", "width", part, "rgb").withColumn("height", F.least(F.lit(step), F.lit(H) - F.col("y_offset")))
+    row = 3 * W
+    bytes_of = F.expr(f"substring(rgb, y_offset * {row} + 1, height * {row})")
+    return cut.select("slide_id", "width", "height", "y_offset", bytes_of.alias("rgb")).filter(f"NOT (slide_id % 4 = 0 AND y_offset = {step})")
+
+
+@query("build_job_strips", oracle("""
+    SELECT slide_id, CASE WHEN slide_id % 4 = 0 THEN 'error' ELSE 'done' END AS status,
+           CASE WHEN slide_id % 4 = 0 THEN 'input' END AS stage, CASE WHEN slide_id % 4 = 0 THEN 'strips leave a gap or overlap' END AS error,
+           CASE WHEN slide_id % 4 = 0 THEN 'not_exists' ELSE 'complete' END AS pyramid, CASE WHEN slide_id % 4 = 0 THEN 0 ELSE 44 END AS tiles
+    FROM (SELECT DISTINCT slide_id FROM b_pixels)""", "b_pixels"))
+def _(b: Bridge) -> DataFrame:
+    return _built(b, _strips(b), _png)
 
 
 # --- analyses -------------------------------------------------------------

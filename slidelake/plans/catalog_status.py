@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slidelake.operators import status as B
+from slidelake.operators.pyramid import pyramid_status
 from slidelake.plans.bridge import DERIVED, Bridge, oracle
+from slidelake.plans.pipelines import build_job
 from slidelake.plans.registry import query
 from slidelake.session import scratch_path
+from slidelake.sources.files import pyramid_listing
 from slidelake.streaming import sinks, state
 from slidelake.streaming import viewports as SV
 
@@ -131,18 +134,33 @@ def _(b: Bridge) -> DataFrame:
 
 
 @query("t03_ingest_stream", """
-    SELECT DISTINCT concat(s_name, '.pyramid') AS pyramid FROM supplier""")
+    SELECT DISTINCT concat(s_name, '.pyramid') AS pyramid, 'done' AS status, 'complete' AS state FROM supplier""")
 def _(b: Bridge) -> DataFrame:
     from slidelake.plans.catalog_planning import _write_files
 
-    root = scratch_path(b.spark, "arrivals")
+    root, built = scratch_path(b.spark, "arrivals"), scratch_path(b.spark, "ingested")
     files = b.table("supplier").selectExpr(
         "explode(array(concat(s_name, '.svs'), concat(s_name, '.txt'), concat(s_name, '.tiff'))) AS path", "encode(s_name, 'utf-8') AS content"
     )
     _write_files(files, root)
-    arrivals = state.listing_stream(b.spark, root, per_trigger=max(10, files.count() // 4))
-    sinks.run_bounded(state.ingest_stream(arrivals, root + "-catalog", root + "-checkpoint"))
-    return b.spark.read.parquet(root + "-catalog").select("pyramid")
+
+    def build(plan: DataFrame) -> DataFrame:
+        """Pyramids of 20 x 12 px images, in the colour of the pyramid's name."""
+        images = plan.select(
+            "slide_id", F.lit(20).alias("width"), F.lit(12).alias("height"),
+            F.unhex(F.repeat(F.substring(F.md5("pyramid"), 1, 6), 240)).alias("rgb"),
+        )
+        slides = plan.select("slide_id", "path", F.create_map(F.lit("aperio.MPP"), F.lit("0.5")).alias("props"))
+        return build_job(images, slides, built, tile_size=8).join(plan.select("slide_id", "pyramid"), "slide_id")
+
+    arrivals = state.listing_stream(b.spark, root, per_trigger=max(10, files.count() // 3))
+    sinks.run_bounded(state.ingest_stream(arrivals, root + "-catalog", root + "-checkpoint", build))
+    done = b.spark.read.parquet(root + "-catalog").select(F.col("slide_id").cast("string").alias("slide_id"), "pyramid", "status")
+    documents = b.spark.read.schema("value string").text(built, wholetext=True, recursiveFileLookup=True, pathGlobFilter="metadata.json").select(
+        F.element_at(F.split("_metadata.file_path", "/"), -2).alias("slide_id"), F.col("value").alias("document")
+    )
+    found = pyramid_status(done.select("slide_id"), pyramid_listing(b.spark, built), documents)
+    return done.join(found.select("slide_id", F.col("status").alias("state")), "slide_id").select("pyramid", "status", "state")
 
 
 def _request_stream(b: Bridge) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ from slidelake.session import cut_lineage
 from slidelake.sources.files import write_files
 from slidelake.sources.packs import write_packs
 from slidelake.sources.slides import metadata_documents
+from slidelake.sources.tilestore import write_tile_store
 
 
 def plan_pyramids(discovered: DataFrame, status: DataFrame, native: bool = False, force: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -41,54 +43,149 @@ def build_pyramids(images: DataFrame, slides: DataFrame, tile_size: int = S.TILE
     """Levels and all tiles of decoded images at their final resolution."""
     levels = plan_levels(slides)
     finest = levels.filter(F.col("downsample") == 1).select("slide_id", "level")
-    base = cut_tiles(images.join(finest, "slide_id"), tile_size)
-    return levels, build_pyramid_tiles(base, slides, levels)
+    base = write_tile_store(cut_tiles(images.join(finest, "slide_id"), tile_size))
+    return levels, build_pyramid_tiles(base, slides, levels, written=True)
+
+
+def image_problems(images: DataFrame, tile_size: int) -> DataFrame:
+    """``(slide_id, width, height, problem)`` of images given whole or as strips; ``problem`` is null for a good one.
+
+    The strips of a slide, by ``y_offset``, must follow one another without gap
+    or overlap, have one width, begin at multiples of the tile size and hold the
+    bytes of their size.  Only sizes are read, so a slide's strips never meet.
+    """
+    strips = images if "y_offset" in images.columns else images.withColumn("y_offset", F.lit(0))
+    fits = (F.col("width") > 0) & (F.col("height") > 0) & (F.length("rgb") == F.col("width").cast("bigint") * F.col("height") * 3)
+    facts = strips.select(
+        "slide_id", "width", F.col("height").cast("bigint").alias("height"), F.col("y_offset").cast("bigint").alias("y_offset"),
+        F.coalesce(fits, F.lit(False)).alias("fits"),
+    )
+    top, end = F.col("y_offset"), F.col("y_offset") + F.col("height")
+    told = facts.groupBy("slide_id").agg(
+        F.max("width").alias("width"), F.max(end).alias("total"), F.sum("height").alias("covered"), F.min("width").alias("narrowest"),
+        F.min("fits").alias("fits"), F.max(top % tile_size).alias("shift"), F.min(top).alias("first"),
+        F.count(F.lit(1)).alias("strips"), F.count_distinct(top).alias("offsets"),
+        F.bit_xor(F.xxhash64(top)).alias("tops"), F.bit_xor(F.xxhash64(end)).alias("ends"),
+    )
+    # Every strip but the last ends where another begins: both sets of places then hash alike.
+    chained = F.col("tops").bitwiseXOR(F.xxhash64(F.lit(0).cast("bigint"))) == F.col("ends").bitwiseXOR(F.xxhash64("total"))
+    whole = (F.col("first") == 0) & (F.col("covered") == F.col("total")) & (F.col("strips") == F.col("offsets")) & chained
+    problem = (
+        F.when(~F.col("fits"), "image bytes do not fit its size")
+        .when(F.col("narrowest") != F.col("width"), "strips differ in width")
+        .when(F.col("shift") != 0, "strip offsets must be multiples of the tile size")
+        .when(~whole, "strips leave a gap or overlap")
+    )
+    return told.select("slide_id", "width", F.col("total").cast("int").alias("height"), problem.alias("problem"))
+
+
+def _encoded(images: DataFrame, keys: list[str], encode: Callable[[int, int, bytes], bytes] | None) -> DataFrame:
+    """``keys, data, error``: the file bytes of each image; what ``encode`` raises stays with its row."""
+    if encode is None:
+        return images.select(*keys, F.col("rgb").alias("data"), F.lit(None).cast("string").alias("error"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            data, errors = [], []
+            for w, h, rgb in zip(frame["width"], frame["height"], frame["rgb"]):
+                try:
+                    data.append(bytes(encode(int(w), int(h), bytes(rgb))))
+                    errors.append(None)
+                except Exception as error:  # whatever user code raises fails its slide alone
+                    data.append(None)
+                    errors.append(f"{type(error).__name__}: {error}")
+            yield frame[keys].assign(data=data, error=errors)
+
+    schema = ", ".join(f"`{k}` {images.schema[k].dataType.simpleString()}" for k in keys)
+    return images.select(*keys, "width", "height", "rgb").mapInPandas(run, f"{schema}, data binary, error string")
+
+
+def dead_letters(results: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Failed slides of a run with the number of attempts so far: ``(slide_id, file, stage, error, attempts)``.
+
+    ``before`` is this table of the run before; slides done since then leave it,
+    and slides that this run did not touch keep their row.
+    """
+    failed = results.filter(F.col("status") == "error").select("slide_id", "file", "stage", "error")
+    if before is None:
+        return failed.withColumn("attempts", F.lit(1))
+    counted = failed.join(before.select("slide_id", F.col("attempts").alias("_before")), "slide_id", "left").withColumn(
+        "attempts", F.coalesce("_before", F.lit(0)) + 1
+    ).drop("_before")
+    return counted.unionByName(before.select(*counted.columns).join(results.select("slide_id"), "slide_id", "left_anti"))
 
 
 def build_job(
     images: DataFrame, slides: DataFrame, root: str, status: DataFrame | None = None, native: bool = False,
     tile_size: int = S.TILE_SIZE, encode: Callable[[int, int, bytes], bytes] | None = None, made_at: str = "1970-01-01",
+    retries: DataFrame | None = None, max_attempts: int = 3,
 ) -> DataFrame:
-    """Build and store the pyramids of decoded images; one row ``(slide_id, file, status, error)`` per slide.
-
-    ``images(slide_id, width, height, rgb)`` holds what could be decoded,
-    ``slides(slide_id, path, props)`` what was found, ``status`` what is there
-    already (see ``plan_batch``).  A slide without an image, or with one whose
-    bytes do not fit its size, fails alone.  Packs, thumbnail and, last, the
-    metadata go below ``root/<slide_id>/``, where ``pyramid_status`` looks for
-    them.  ``encode`` turns raw RGB into file bytes; tiles and thumbnails stay
-    raw without it.
+    """Build and store the pyramids of decoded images; one row ``(slide_id, file, status, stage, error)`` per slide.
+
+    ``images(slide_id, width, height, rgb[, y_offset])`` holds what could be
+    decoded, whole or, for slides of any size, in strips whose offsets are
+    multiples of the tile size; ``slides(slide_id, path, props)`` what was found,
+    ``status`` what is there already (see ``plan_batch``).  A slide without an
+    image, with one whose bytes do not fit, or one that ``encode`` cannot write
+    fails alone, with the stage (``input``, ``tiles``, ``thumbnail``) and the
+    message.  Slides that ``retries`` (see ``dead_letters``) counts
+    ``max_attempts`` times are left alone.
+
+    Tiles are written once after cutting, once per level and once encoded; the
+    stages meet by tile key, where the pixels lie.  Packs, thumbnail and, last,
+    the metadata go below ``root/<slide_id>/``, where ``pyramid_status`` looks
+    for them.  ``encode`` turns raw RGB into file bytes; tiles and thumbnails
+    stay raw without it.
     """
     spark = slides.sparkSession
-    good = (F.col("width") > 0) & (F.col("height") > 0) & (F.length("rgb") == F.col("width").cast("bigint") * F.col("height") * 3)
-    checked = images.select("slide_id", "width", "height", F.coalesce(good, F.lit(False)).alias("readable"))
+    sid = slides.schema["slide_id"].dataType.simpleString()
+    checked = image_problems(images, tile_size)
     if status is None:
-        status = spark.createDataFrame([], f"slide_id {slides.schema['slide_id'].dataType.simpleString()}, status string, native_mpp_mode boolean")
-    planned = plan_batch(slides.join(checked, "slide_id", "left"), status, native=native)
+        status = spark.createDataFrame([], f"slide_id {sid}, status string, native_mpp_mode boolean")
+    given_up = spark.createDataFrame([], f"slide_id {sid}, attempts int") if retries is None else retries.select("slide_id", "attempts")
+    found = slides.join(checked, "slide_id", "left").join(given_up, "slide_id", "left").withColumn(
+        "problem", F.when(F.col("attempts") >= max_attempts, F.concat(F.lit("given up after "), F.col("attempts"), F.lit(" attempts")))
+        .when(F.col("width").isNull(), "no image").otherwise(F.col("problem"))
+    ).drop("attempts")
+    planned = plan_batch(found, status, native=native)
     plan = cut_lineage(plan_resize(resolve_mpp(planned.drop("status")), native=native).withColumn("tile_size", F.lit(tile_size)))
-    todo = plan.filter((F.col("action") == "build") & F.coalesce("readable", F.lit(False)))
+    todo = plan.filter((F.col("action") == "build") & F.col("problem").isNull())
     sized = todo.select("slide_id", F.col("out_width").alias("width"), F.col("out_height").alias("height"), "tile_size")
     levels = cut_lineage(plan_levels(sized))
     finest = levels.filter(F.col("downsample") == 1).select("slide_id", "level")
-    whole = images.join(todo.select("slide_id"), "slide_id", "left_semi").withColumn("level", F.lit(0))
-    base = resample_to(cut_tiles(whole, tile_size), todo, F.col("resize_factor"), out_tile_size=tile_size)
-    tiles = cut_lineage(build_pyramid_tiles(base.drop("level").join(finest, "slide_id"), sized, levels))
-    as_file = F.udf(lambda w, h, rgb: encode(w, h, bytes(rgb)), "binary") if encode else lambda w, h, rgb: F.col(rgb)
-    write_packs(tiles.select("slide_id", "level", "col", "row", as_file("width", "height", "rgb").alias("data")), levels, root)
+    strips = images.join(todo.select("slide_id"), "slide_id", "left_semi").withColumn("level", F.lit(0))
+    cut = write_tile_store(cut_tiles(strips, tile_size))
+    resampled = resample_to(cut, todo, F.col("resize_factor"), out_tile_size=tile_size)
+    base = write_tile_store(resampled.join(finest, "slide_id"))
+    tiles = build_pyramid_tiles(base, sized, levels, written=True)
+    files = write_tile_store(_encoded(tiles, ["slide_id", "level", "col", "row"], encode))
+    thumbs = cut_lineage(_encoded(thumbnails(tiles, sized, levels), ["slide_id"], encode))
+    where = F.concat(F.lit("level "), F.col("level"), F.lit(", column "), F.col("col"), F.lit(", row "), F.col("row"), F.lit(": "), F.col("error"))
+    broken = files.filter(F.col("error").isNotNull()).groupBy("slide_id").agg(
+        F.min_by(where, F.struct("level", "row", "col")).alias("failure")
+    ).withColumn("failed_in", F.lit("tiles")).unionByName(
+        thumbs.filter(F.col("error").isNotNull()).select("slide_id", F.col("error").alias("failure"), F.lit("thumbnail").alias("failed_in"))
+    )
+    broken = cut_lineage(broken.groupBy("slide_id").agg(F.max_by(F.struct("failed_in", "failure"), "failed_in").alias("f")).select("slide_id", "f.*"))
+    fine = lambda df: df.join(broken.select("slide_id"), "slide_id", "left_anti")
+    # Only tiles of these levels are packed.
+    write_packs(files.filter(F.col("error").isNull()).select("slide_id", "level", "col", "row", "data"), fine(levels), root)
     below = lambda name: F.concat(F.col("slide_id").cast("string"), F.lit("/" + name)).alias("path")
-    small = thumbnails(tiles, sized, levels)
-    write_files(small.select(below("thumbnail.jpg"), as_file("width", "height", "rgb").alias("content")), root)
-    facts = todo.select(
+    write_files(fine(thumbs).select(below("thumbnail.jpg"), F.col("data").alias("content")), root)
+    facts = fine(todo).select(
         "slide_id", F.lit("1.0").alias("version"), F.col("path").alias("source_file"), "source_mpp", F.col("actual_mpp").alias("target_mpp"),
         F.col("magnification").alias("target_magnification"), "tile_size", F.col("out_width").alias("width"), F.col("out_height").alias("height"),
         F.array(*[F.lit(c) for c in S.BACKGROUND]).alias("background_color"), F.lit(made_at).cast("timestamp").alias("preprocessed_at"),
         F.lit(native).alias("native_mpp_mode"),
     )
-    documents = metadata_documents(facts, levels)
+    documents = metadata_documents(facts, fine(levels))
     write_files(documents.select(below("metadata.json"), F.encode("document", "UTF-8").alias("content")), root)
-    state = F.when(F.col("action") == "skip", "skipped").when(F.coalesce("readable", F.lit(False)), "done").otherwise("error")
-    problem = F.when(F.col("readable").isNull(), "no image").otherwise("image bytes do not fit its size")
-    return plan.select("slide_id", F.col("path").alias("file"), state.alias("status"), F.when(state == "error", problem).alias("error"))
+    failure = F.when(F.col("action") != "skip", F.coalesce("problem", "failure"))
+    state = F.when(F.col("action") == "skip", "skipped").when(failure.isNull(), "done").otherwise("error")
+    stage = F.when(state == "error", F.when(F.col("problem").isNotNull(), "input").otherwise(F.col("failed_in")))
+    return plan.join(broken, "slide_id", "left").select(
+        "slide_id", F.col("path").alias("file"), state.alias("status"), stage.alias("stage"), failure.alias("error")
+    )
 
 
 def serve_viewports(viewports: DataFrame, slides: DataFrame, levels: DataFrame, cached: DataFrame, generation: int = 0) -> DataFrame:
