@@ -52,7 +52,7 @@ def test_stages_equal_brute_force(spark, corpus):
 
     third = stages[2](spark, second, folder)
     raw = [(r[1] or "").encode() for r in left]
-    masks = repeated_bytes(raw, 400)
+    masks = repeated_bytes(raw, corpus_pipeline.STRING_BYTES)
     texts = {r[0]: None if r[1] is None else bytes(b for b, g in zip(t, m) if not g).decode() for r, t, m in zip(left, raw, masks)}
     assert third.columns == names and {r.doc_id: r.text for r in third.collect()} == texts
     assert any(any(m) for m in masks)
@@ -65,6 +65,13 @@ def test_stages_equal_brute_force(spark, corpus):
     assert {r.doc_id for r in last} == clean and sum(r.taken for r in last) > 0
 
 
+def test_passages_of_51_words_are_stripped(spark, documents, prose):
+    passage = " ".join(f"word{k:02d}" for k in range(51))
+    rows = [(i, f"{prose(i, 60)} {passage} {prose(100 + i, 60)}", "en", "a") for i in range(4)] + [(9, prose(9, 120), "en", "a")]
+    got = {r.doc_id: r.text for r in corpus_pipeline.strip_repeated_strings(spark, documents(rows), "").collect()}
+    assert got[9] == rows[-1][1] and all("word25" not in got[i] and got[i].startswith(prose(i, 50)) and got[i].endswith(prose(100 + i, 60)[60:]) for i in range(4))
+
+
 def test_run_and_registration(spark, corpus):
     folder, _, _ = corpus
     assert corpus_pipeline.run(spark, folder).count() > 50
