@@ -24,9 +24,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return setsketch.drop_copies(docs, percent=80)
 
 
+#: Strings of so many bytes count as repeated; a passage of 51 words of five letters has some 300.
+STRING_BYTES = 256
+
+
 def strip_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the strings of 400 bytes that occur more than once."""
-    return runindex.strip_repeats(docs)
+    """All documents, without the strings of ``STRING_BYTES`` bytes that occur more than once."""
+    return runindex.strip_repeats(docs, length=STRING_BYTES)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
