@@ -158,14 +158,23 @@ def instance_table(label_pixels: DataFrame) -> DataFrame:
 
 
 def instance_types(label_pixels: DataFrame, type_pixels: DataFrame) -> DataFrame:
-    """Most frequent pixel class of each instance and its share.
+    """Most frequent pixel class of each instance and its share, from pixel tables.
+
+    Per instance only the class counts meet.  Label images in tiles are better
+    served by :mod:`slidelake.operators.labelruns`, which moves no pixels.
+    """
+    return pick_types(
+        label_pixels.join(type_pixels, ["slide_id", "x", "y"])
+        .groupBy("slide_id", "label", "type").agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def pick_types(classes: DataFrame) -> DataFrame:
+    """Class and share of each instance from its counts ``(slide_id, label, type, n)``.
 
     Class 0 yields to the second most frequent class when there is one; ties go
-    to the smaller class.  Per instance only the class counts meet.
+    to the smaller class.
     """
-    classes = label_pixels.join(type_pixels, ["slide_id", "x", "y"]).groupBy(
-        "slide_id", "label", "type"
-    ).agg(F.count(F.lit(1)).alias("n"))
     best = F.struct((-F.col("n")).alias("minus_n"), F.col("type").alias("type"))
     tops = classes.groupBy("slide_id", "label").agg(
         F.sum("n").alias("area"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from slidelake.operators import analysis as G
 from slidelake.operators import cells as C
+from slidelake.operators import labelruns as R
 from slidelake.operators import pixels as X
 from slidelake.operators.components import label_components
 from slidelake.operators.levels import with_level_mpp
@@ -25,6 +26,7 @@ from slidelake.session import local_path, scratch_path
 from slidelake.sources.files import pyramid_listing
 from slidelake.sources.images import read_images
 from slidelake.sources.packs import read_tile_index
+from slidelake.sources.tilestore import write_tile_store
 
 TILE = ["slide_id", "level", "col", "row"]
 W, H, T = PIXEL_WIDTH, PIXEL_HEIGHT, PIXEL_TILE
@@ -605,32 +607,33 @@ def _labels_sql(select: str) -> str:
     return oracle("SELECT 0", "b_pixels").rsplit("\nSELECT 0", 1)[0] + f",\n{_LABELS}\n{select}"
 
 
-def _labels(b: Bridge) -> DataFrame:
+def _masks(b: Bridge) -> DataFrame:
     hexed = "array_join(transform(values, v -> CASE WHEN v >= 128 THEN '01' ELSE '00' END), '')"
-    masks = b.pixel_tiles.selectExpr("slide_id", "col", "row", "width", "height", f"unhex({hexed}) AS mask")
-    return label_components(masks, T)
+    return b.pixel_tiles.selectExpr("slide_id", "col", "row", "width", "height", f"unhex({hexed}) AS mask")
 
 
 @query("c07_label_components", _labels_sql("SELECT slide_id, x, y, label FROM spread"))
 def _(b: Bridge) -> DataFrame:
-    return _labels(b)
+    return label_components(_masks(b), T)
 
 
 @query("c08_remove_small", _labels_sql("""
     SELECT slide_id, x, y, label FROM (SELECT *, count(*) OVER (PARTITION BY slide_id, label) AS n FROM spread) WHERE n >= 10"""))
 def _(b: Bridge) -> DataFrame:
-    return C.remove_small(_labels(b), 10)
+    return R.run_pixels(R.remove_small_runs(R.label_runs(_masks(b), T), T, 10))
 
 
 @query("c09_instance_table", _labels_sql("""
     SELECT slide_id, label, min(y) AS row_min, max(y) + 1 AS row_max, min(x) AS col_min, max(x) + 1 AS col_max, count(*) AS area,
            round(avg(x), 6) AS cx, round(avg(y), 6) AS cy FROM spread GROUP BY ALL"""))
 def _(b: Bridge) -> DataFrame:
-    return C.instance_table(_labels(b)).withColumns({c: F.round(c, 6) for c in ("cx", "cy")})
+    return R.run_instances(R.label_runs(_masks(b), T), T).withColumns({c: F.round(c, 6) for c in ("cx", "cy")})
 
 
-def _classes(b: Bridge) -> DataFrame:
-    return b.pixels.selectExpr("slide_id", "x", "y", "v % 4 AS type")
+def _class_runs(b: Bridge) -> DataFrame:
+    hexed = "array_join(transform(values, v -> lpad(hex(v % 4), 2, '0')), '')"
+    tiles = b.pixel_tiles.selectExpr("slide_id", "col", "row", "width", "height", f"unhex({hexed}) AS classes")
+    return R.tile_runs(tiles, T, "classes", "u1", None)
 
 
 @query("c10_instance_types", _labels_sql("""
@@ -640,7 +643,9 @@ def _classes(b: Bridge) -> DataFrame:
                 SELECT slide_id, label, v % 4 AS type, count(*) AS n FROM spread JOIN mask USING (slide_id, x, y) GROUP BY ALL))
         WHERE place <= 2) WHERE final = 1"""))
 def _(b: Bridge) -> DataFrame:
-    return C.instance_types(_labels(b), _classes(b)).withColumn("type_prob", F.round("type_prob", 6))
+    # Both images are stored in one layout, so that their tiles meet where they lie.
+    labels, classes = [write_tile_store(runs, keys=R.PLACE) for runs in (R.label_runs(_masks(b), T), _class_runs(b))]
+    return R.run_types(labels, classes).withColumns({"type": F.col("type").cast("int"), "type_prob": F.round("type_prob", 6)})
 
 
 @query("c11_threshold_mask", oracle("SELECT slide_id, x, y, CAST(v / 255 >= 0.5 AS INTEGER) AS mask FROM b_pixels", "b_pixels"))

@@ -20,8 +20,10 @@ from slidelake.session import scratch_path
 TILE = ["slide_id", "level", "col", "row"]
 
 
-def write_tile_store(tiles: DataFrame, path: str | None = None, buckets: int | None = None) -> DataFrame:
-    """Write tiles bucketed by their key and return the stored table.
+def write_tile_store(
+    tiles: DataFrame, path: str | None = None, buckets: int | None = None, keys: Sequence[str] = TILE
+) -> DataFrame:
+    """Write tiles bucketed by their ``keys`` and return the stored table.
 
     The files lie below ``path``, by default in the shared folder.  A bucket is
     one task of every later join; its size is the store's divided by ``buckets``
@@ -31,8 +33,8 @@ def write_tile_store(tiles: DataFrame, path: str | None = None, buckets: int | N
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"tiles_{uuid.uuid4().hex[:16]}"
     (
-        tiles.repartition(n, *TILE).write.format("parquet").option("path", path or scratch_path(spark, "tiles"))
-        .bucketBy(n, *TILE).sortBy(*TILE).saveAsTable(name)
+        tiles.repartition(n, *keys).write.format("parquet").option("path", path or scratch_path(spark, "tiles"))
+        .bucketBy(n, *keys).sortBy(*keys).saveAsTable(name)
     )
     return spark.table(name)
 
