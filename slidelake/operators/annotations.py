@@ -7,11 +7,14 @@ slide px.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slidelake import schema as S
 from slidelake.operators.ordering import explode_range, number_rows
+from slidelake.operators.quadtree import NODE, PARTS, node_side, spread_crowded
 from slidelake.operators.skew import salted_join
 
 BOX = ["min_x", "min_y", "max_x", "max_y"]
@@ -69,14 +72,16 @@ def _cells(df: DataFrame, x0: str, y0: str, x1: str, y1: str) -> DataFrame:
     )
 
 
-def query_viewports(annotations: DataFrame, viewports: DataFrame) -> DataFrame:
+def query_viewports(annotations: DataFrame, viewports: DataFrame, cell_rows: int = 1 << 16) -> DataFrame:
     """Annotations whose box meets each viewport; touching counts.
 
     Both sides are laid on grids of several cell sizes and each pair meets on
     the coarser scale of the two, where neither side covers more than a few
     cells.  A side is repeated only on scales the other side really uses; that
-    list is broadcast and cannot exceed the number of scales.  A pair is kept only in the cell holding the low corner of its
-    overlap, which makes it unique without a distinct.
+    list is broadcast and cannot exceed the number of scales.  Cells with over
+    ``cell_rows`` rows of a side are divided by a quadtree.  A pair is kept only
+    in the cell holding the low corner of its overlap, which makes it unique
+    without a distinct.
     """
     boxes = annotations if set(BOX) <= set(annotations.columns) else with_bounds(annotations)
     boxes = boxes.withColumn("_own", _own_scale(*[F.col(c) for c in BOX]))
@@ -91,24 +96,25 @@ def query_viewports(annotations: DataFrame, viewports: DataFrame) -> DataFrame:
     used = lambda df: F.broadcast(df.select(F.col("_own").alias("_scale")).distinct())
     from_own = lambda df, other: explode_range(df, F.col("_own"), F.lit(_SCALES), "_scale").join(
         used(other), "_scale", "left_semi"
-    )
+    ).select(*df.columns, "_scale")
     above_own = lambda df, other: from_own(df, other).filter(F.col("_scale") > F.col("_own"))
     view_box = ("_vx0", "_vy0", "_vx1", "_vy1")
-    keys = ["slide_id", "_scale", "_cx", "_cy"]
-
-    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
-        pairs = _cells(left, *BOX).drop("_own").join(_cells(right, *view_box).drop("_own"), keys)
-        side = _cell(F.col("_scale"))
-        return pairs.filter(
-            (F.col("min_x") <= F.col("_vx1")) & (F.col("max_x") >= F.col("_vx0"))
-            & (F.col("min_y") <= F.col("_vy1")) & (F.col("max_y") >= F.col("_vy0"))
-            & (F.floor(F.greatest("min_x", "_vx0") / side) == F.col("_cx"))
-            & (F.floor(F.greatest("min_y", "_vy0") / side) == F.col("_cy"))
-        ).drop("_scale", "_cx", "_cy", *view_box)
-
-    return meet(at_own(boxes), from_own(views, boxes)).unionByName(
-        meet(above_own(boxes, views), at_own(views))
+
+    def laid(coarse_view: DataFrame, coarse_box: DataFrame, box: Sequence[str]) -> DataFrame:
+        # Kind 0: the box has the coarser scale of the two, or the same; kind 1: the viewport has.
+        kinds = [df.withColumn("_kind", F.lit(i)) for i, df in enumerate((coarse_box, coarse_view))]
+        return _cells(kinds[0].unionByName(kinds[1]), *box).drop("_own")
+
+    left, right = spread_crowded(
+        laid(above_own(boxes, views), at_own(boxes), BOX), laid(at_own(views), from_own(views, boxes), view_box),
+        BOX, view_box, cell_rows,
     )
+    return left.join(right, [*NODE, *PARTS]).filter(
+        (F.col("min_x") <= F.col("_vx1")) & (F.col("max_x") >= F.col("_vx0"))
+        & (F.col("min_y") <= F.col("_vy1")) & (F.col("max_y") >= F.col("_vy0"))
+        & (F.floor(F.greatest("min_x", "_vx0") / node_side()) == F.col("_cx"))
+        & (F.floor(F.greatest("min_y", "_vy0") / node_side()) == F.col("_cy"))
+    ).drop(*[c for c in (*NODE, *PARTS) if c != "slide_id"], *view_box)
 
 
 def annotations_by_tile(annotations: DataFrame, levels: DataFrame) -> DataFrame:

@@ -42,10 +42,12 @@ _WINDOWS = """
            CAST(CASE event_type WHEN 'view' THEN 2 WHEN 'click' THEN 60 WHEN 'error' THEN 700 ELSE 20 END AS DOUBLE) AS height FROM events"""
 
 
-@query("a03_query_viewports", oracle(f"""
+_MEETING = oracle(f"""
     SELECT v.viewport_id, a.annotation_id FROM ({_SPREAD}) a JOIN ({_WINDOWS}) v USING (slide_id)
-    WHERE a.min_x <= v.x + v.width AND a.max_x >= v.x AND a.min_y <= v.y + v.height AND a.max_y >= v.y""", "b_boxes"))
-def _(b: Bridge) -> DataFrame:
+    WHERE a.min_x <= v.x + v.width AND a.max_x >= v.x AND a.min_y <= v.y + v.height AND a.max_y >= v.y""", "b_boxes")
+
+
+def _meeting(b: Bridge, **options) -> DataFrame:
     boxes = A.with_bounds(b.annotations).withColumn("slide_id", F.col("slide_id") % 20)
     windows = b.table("events").selectExpr(*[
         "event_id AS viewport_id", "event_id % 20 AS slide_id", "CAST((event_id * 37) % 9000 AS DOUBLE) AS x",
@@ -53,11 +55,22 @@ def _(b: Bridge) -> DataFrame:
         "CAST(CASE event_type WHEN 'view' THEN 2 WHEN 'click' THEN 40 WHEN 'error' THEN 1200 ELSE 300 END AS DOUBLE) AS width",
         "CAST(CASE event_type WHEN 'view' THEN 2 WHEN 'click' THEN 60 WHEN 'error' THEN 700 ELSE 20 END AS DOUBLE) AS height",
     ])
-    return A.query_viewports(boxes.select("slide_id", "annotation_id", *A.BOX), windows).select(
+    return A.query_viewports(boxes.select("slide_id", "annotation_id", *A.BOX), windows, **options).select(
         "viewport_id", "annotation_id"
     )
 
 
+@query("a03_query_viewports", _MEETING)
+def _(b: Bridge) -> DataFrame:
+    return _meeting(b)
+
+
+@query("a03_query_crowded_cells", _MEETING)
+def _(b: Bridge) -> DataFrame:
+    # A bound that these tables exceed, so that their cells are divided.
+    return _meeting(b, cell_rows=24)
+
+
 @query("a04_annotations_by_tile", oracle("""
     SELECT a.annotation_id, g.slide_id, g.level, g.col, g."row" FROM b_boxes a JOIN b_levels l USING (slide_id)
     JOIN b_grid g ON g.slide_id = l.slide_id AND g.level = l.level

@@ -6,6 +6,7 @@ from compare import rows
 from pyspark.sql import functions as F
 
 from slidelake.operators import annotations as A
+from slidelake.operators.quadtree import NODE, PARTS, spread_crowded
 from slidelake.operators.raster import rasterize_tiles
 from slidelake.sources import geojson
 
@@ -46,10 +47,36 @@ def test_range_query_against_all_pairs(spark):
         side = rng.choice([0, 64, 512, 1024, 8000, 300_000])
         views.append((rng.uniform(-3000, 9000), rng.randrange(-5, 40) * 64.0, side, side * rng.random()))
     df = spark.createDataFrame(boxes, "slide_id bigint, annotation_id string, min_x double, min_y double, max_x double, max_y double")
-    got = [(r.viewport_id, r.annotation_id) for r in A.query_viewports(df, windows(spark, *views)).collect()]
     expected = {(v, b[1]) for v, (x, y, w, h) in enumerate(views) for b in boxes
                 if b[2] <= x + w and b[4] >= x and b[3] <= y + h and b[5] >= y}
-    assert len(got) == len(set(got)) and set(got) == expected
+    for cell_rows in (1 << 16, 40, 7):
+        got = [(r.viewport_id, r.annotation_id) for r in A.query_viewports(df, windows(spark, *views), cell_rows).collect()]
+        assert len(got) == len(set(got)) and set(got) == expected, cell_rows
+
+
+def test_crowded_cells_are_divided(spark):
+    """Many small boxes under large viewports, a heap at one place, rows that repeat as a whole."""
+    rng = random.Random(8)
+    boxes = [(1, str(i), x, y, x + 3, y + 3) for i in range(3000) for x, y in [(rng.gauss(5000, 900), rng.gauss(4000, 900))]]
+    boxes += [(1, "heap", 10.0, 10.0, 11.0, 11.0)] * 500 + [(None, "lost", 0.0, 0.0, 9000.0, 9000.0)] * 300
+    views = [(rng.uniform(2000, 7000), rng.uniform(2000, 6000), 2500.0, 1800.0) for _ in range(20)] + [(9.0, 9.0, 4.0, 4.0)] * 150
+    df = spark.createDataFrame(boxes, "slide_id bigint, annotation_id string, min_x double, min_y double, max_x double, max_y double")
+    got = A.query_viewports(df, windows(spark, *views), cell_rows=100).groupBy("viewport_id").count()
+    expected = [sum(b[0] == 1 and b[2] <= x + w and b[4] >= x and b[3] <= y + h and b[5] >= y for b in boxes) for x, y, w, h in views]
+    assert rows(got, "viewport_id", "count") == [(v, n) for v, n in enumerate(expected) if n]
+
+
+def test_no_node_of_the_quadtree_is_crowded(spark):
+    rng = random.Random(2)
+    place = lambda n, side: [(1, 0, 5, 0, 0, x, y, x + side, y + side) for x, y in [(rng.uniform(0, 2000), rng.uniform(0, 2000)) for _ in range(n)]]
+    schema = "slide_id int, _kind int, _scale int, _cx bigint, _cy bigint, x0 double, y0 double, x1 double, y1 double"
+    few, many = spark.createDataFrame(place(30, 40.0), schema), spark.createDataFrame(place(4000, 2.0) + [(1, 0, 5, 0, 0, 7.0, 7.0, 7.0, 7.0)] * 900, schema)
+    box = ("x0", "y0", "x1", "y1")
+    left, right = spread_crowded(many, few, box, box, cell_rows=200)
+    sizes = left.join(right.select(*NODE, *PARTS).distinct(), [*NODE, *PARTS], "left_semi").groupBy(*NODE, *PARTS).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 300 and left.agg(F.max("_depth")).first()[0] >= 2
+    same, also = spread_crowded(many, few, box, box)
+    assert same.count() == 4900 and also.count() == 30
 
 
 def test_batch_skips_empty_rows_and_continues_numbers(spark):
