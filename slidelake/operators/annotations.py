@@ -77,8 +77,8 @@ def query_viewports(annotations: DataFrame, viewports: DataFrame, cell_rows: int
 
     Both sides are laid on grids of several cell sizes and each pair meets on
     the coarser scale of the two, where neither side covers more than a few
-    cells.  A side is repeated only on scales the other side really uses; that
-    list is broadcast and cannot exceed the number of scales.  Cells with over
+    cells.  A side is repeated only on scales the other side really uses; the
+    two lists of at most 17 numbers are read first.  Cells with over
     ``cell_rows`` rows of a side are divided by a quadtree.  A pair is kept only
     in the cell holding the low corner of its overlap, which makes it unique
     without a distinct.
@@ -92,12 +92,15 @@ def query_viewports(annotations: DataFrame, viewports: DataFrame, cell_rows: int
         (F.col("y") + F.col("height")).cast("double").alias("_vy1"),
     ).filter((F.col("_vx1") >= F.col("_vx0")) & (F.col("_vy1") >= F.col("_vy0")))
     views = views.withColumn("_own", _own_scale(*[F.col(c) for c in ("_vx0", "_vy0", "_vx1", "_vy1")]))
+    owns = boxes.select(F.lit(0).alias("side"), "_own").unionAll(views.select(F.lit(1), "_own")).distinct().collect()
+    box_scales, view_scales = (sorted(r._own for r in owns if r.side == side and r._own is not None) for side in (0, 1))
     at_own = lambda df: df.withColumn("_scale", F.col("_own"))
-    used = lambda df: F.broadcast(df.select(F.col("_own").alias("_scale")).distinct())
-    from_own = lambda df, other: explode_range(df, F.col("_own"), F.lit(_SCALES), "_scale").join(
-        used(other), "_scale", "left_semi"
-    ).select(*df.columns, "_scale")
-    above_own = lambda df, other: from_own(df, other).filter(F.col("_scale") > F.col("_own"))
+
+    def lifted(df: DataFrame, scales: list[int], own_too: bool) -> DataFrame:
+        listed = F.array(*[F.lit(s) for s in scales]).cast("array<int>")
+        wanted = F.filter(listed, lambda s: s >= F.col("_own") if own_too else s > F.col("_own"))
+        return df.withColumn("_scale", F.explode(wanted))
+
     view_box = ("_vx0", "_vy0", "_vx1", "_vy1")
 
     def laid(coarse_view: DataFrame, coarse_box: DataFrame, box: Sequence[str]) -> DataFrame:
@@ -106,7 +109,8 @@ def query_viewports(annotations: DataFrame, viewports: DataFrame, cell_rows: int
         return _cells(kinds[0].unionByName(kinds[1]), *box).drop("_own")
 
     left, right = spread_crowded(
-        laid(above_own(boxes, views), at_own(boxes), BOX), laid(at_own(views), from_own(views, boxes), view_box),
+        laid(lifted(boxes, view_scales, False), at_own(boxes), BOX),
+        laid(at_own(views), lifted(views, box_scales, True), view_box),
         BOX, view_box, cell_rows,
     )
     return left.join(right, [*NODE, *PARTS]).filter(
