@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from slidelake import schema as S
 from slidelake.operators.ordering import running_sums
 from slidelake.operators.pyramid import pyramid_name
+from slidelake.operators.selection import exact_medians
+from slidelake.session import cut_lineage
 
 # Fixed shares of the progress bar: start and length of each stage.
 STAGE_PROGRESS = {
@@ -54,7 +56,7 @@ def batch_overview(events: DataFrame, native: bool = False) -> DataFrame:
 
 def bench_summary(timings: DataFrame) -> DataFrame:
     """Median time per configuration, the fastest flagged."""
-    medians = timings.groupBy("config").agg(F.median("seconds").alias("median_seconds"))
+    medians = cut_lineage(exact_medians(timings, ["config"], "seconds", "median_seconds"))
     best = medians.agg(F.min_by("config", F.struct("median_seconds", "config")))
     return medians.withColumn("is_best", F.col("config") == best.scalar())
 
