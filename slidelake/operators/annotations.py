@@ -245,6 +245,34 @@ def fold_changes(entities: DataFrame) -> DataFrame:
     )
 
 
+def _effective(changes: DataFrame) -> DataFrame:
+    return changes.filter((F.col("op") != "add") | (F.size("coordinates") > 0))
+
+
+def fold_log(changes: DataFrame) -> DataFrame:
+    """Fold an edit log; additions without coordinates are left out."""
+    return fold_changes(change_entities(_effective(changes)))
+
+
+def merge_folds(folds: DataFrame) -> DataFrame:
+    """One state row per entity from the folds of several parts of a log, in any order and with repeats.
+
+    What a removal has ended for good keeps its numbers, without coordinates and edits.
+    """
+    first = lambda c: F.min_by(c, F.col(f"{c}.seq")).alias(c)
+    last = lambda c: F.max_by(c, F.col(f"{c}.seq")).alias(c)
+    merged = folds.groupBy("slide_id", "entity", "entity_key").agg(
+        first("created"), last("moved"), last("styled"), F.max("removed_seq").alias("removed_seq")
+    )
+    ended = F.coalesce(F.col("removed_seq") > F.col("created.seq"), F.lit(False))
+    nothing = F.lit(None).cast(folds.schema["created"].dataType["coordinates"].dataType)
+    return merged.select(
+        "slide_id", "entity", "entity_key",
+        F.when(ended, F.col("created").withField("coordinates", nothing)).otherwise(F.col("created")).alias("created"),
+        F.when(~ended, F.col("moved")).alias("moved"), F.when(~ended, F.col("styled")).alias("styled"), "removed_seq",
+    )
+
+
 def resolve_state(state: DataFrame) -> DataFrame:
     """Live annotations from folded state rows.
 
@@ -283,8 +311,7 @@ def apply_changes(base: DataFrame, changes: DataFrame) -> DataFrame:
         "slide_id", F.lit(-1).cast("bigint").alias("seq"), F.lit("add").alias("op"), "annotation_id",
         "group", "type", "coordinates", "label", "color",
     )
-    log = changes.filter((F.col("op") != "add") | (F.size("coordinates") > 0))
-    return resolve_state(fold_changes(change_entities(first.unionByName(log))))
+    return resolve_state(fold_changes(change_entities(first.unionByName(_effective(changes)))))
 
 
 def replace_all(loaded: DataFrame, position: str = "pos") -> DataFrame:

@@ -163,44 +163,89 @@ def _(b: Bridge) -> DataFrame:
     return done.join(found.select("slide_id", F.col("status").alias("state")), "slide_id").select("pyramid", "status", "state")
 
 
-def _request_stream(b: Bridge) -> DataFrame:
-    return _stream(b, "b_requests").withColumnRenamed("row_", "row")
+STEPS = 5
+
+
+def _steps(b: Bridge, name: str) -> DataFrame:
+    """A derived table in the steps it is delivered in: some rows come late, some twice."""
+    rows = b.derived(name)
+    last = rows.agg(F.max("seq")).first()[0] or 0
+    due = F.floor(STEPS * F.col("seq") / F.lit(last + 1)).cast("int")
+    first = rows.withColumn("step", F.when(F.col("seq") % 97 == 0, STEPS - 1).otherwise(due))
+    again = first.filter(f"seq % 50 = 1 AND step < {STEPS - 1}").withColumn("step", F.col("step") + 1)
+    return first.unionByName(again)
+
+
+_STEPS = f"""SELECT * REPLACE (CASE WHEN seq % 97 = 0 THEN {STEPS - 1} ELSE step END AS step) FROM (
+            SELECT *, {STEPS} * seq // (SELECT max(seq) + 1 FROM b_requests) AS step FROM b_requests)"""
+
+
+def _deliver(b: Bridge, name: str, start) -> None:
+    """Bring a table's steps to a folder and follow it; each step is one micro-batch of a stream started anew."""
+    staged, arrived = scratch_path(b.spark, "steps"), scratch_path(b.spark, "arrived")
+    _steps(b, name).write.partitionBy("step").parquet(staged)
+    rows = b.derived(name)
+    for step in range(STEPS):
+        b.spark.read.schema(rows.schema).parquet(f"{staged}/step={step}").write.mode("append").parquet(arrived)
+        sinks.run_bounded(start(b.spark.readStream.schema(rows.schema).parquet(arrived)))
+
+
+def _follow_requests(b: Bridge, operator) -> DataFrame:
+    """What an operator on request streams puts out, all steps together."""
+    path = scratch_path(b.spark, "stream")
+    schemas = []
+
+    def start(stream: DataFrame):
+        result = operator(stream.withColumnRenamed("row_", "row").withColumn("ts", F.col("ts").cast("timestamp")))
+        schemas.append(result.schema)
+        return sinks.to_table(result, path + "/out", path + "/checkpoint")
+
+    _deliver(b, "b_requests", start)
+    return b.spark.read.schema(schemas[-1]).parquet(path + "/out")
 
 
 @query("t04_dedupe_in_flight", oracle("""
     SELECT viewer_id, generation, slide_id, level, col, row_ AS "row", count(*) AS n FROM (
         SELECT DISTINCT viewer_id, generation, slide_id, level, col, row_ FROM b_requests) GROUP BY ALL""", "b_requests"))
 def _(b: Bridge) -> DataFrame:
-    # One micro-batch holds all rows, so nothing expires: one row per key.
-    done = sinks.append_result(b.spark, SV.dedupe_in_flight(_request_stream(b), "40 days"))
+    # The watermark stays before all rows, so nothing expires: one row per key.
+    done = _follow_requests(b, lambda s: SV.dedupe_in_flight(s, "40 days"))
     return done.groupBy("viewer_id", "generation", "slide_id", "level", "col", "row").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("t04_drop_stale_generations", oracle("""
-    SELECT viewer_id, seq, generation FROM (SELECT *, max(generation) OVER (PARTITION BY viewer_id) AS newest FROM b_requests)
+@query("t04_drop_stale_generations", oracle(f"""
+    SELECT viewer_id, seq, generation FROM (
+        SELECT *, max(generation) OVER (PARTITION BY viewer_id ORDER BY step) AS newest FROM (
+            SELECT * FROM ({_STEPS}) UNION ALL
+            SELECT * REPLACE (step + 1 AS step) FROM ({_STEPS}) WHERE seq % 50 = 1 AND step < {STEPS - 1}))
     WHERE generation = newest""", "b_requests"))
 def _(b: Bridge) -> DataFrame:
-    return sinks.append_result(b.spark, SV.drop_stale_generations(_request_stream(b))).select(
-        "viewer_id", "seq", "generation"
-    )
+    done = _follow_requests(b, lambda s: SV.drop_stale_generations(s, "40 days", "40 days"))
+    return done.select("viewer_id", "seq", "generation")
 
 
-@query("t04_dedupe_stream", oracle("""
+@query("t04_dedupe_stream", oracle(f"""
     SELECT viewer_id, generation, slide_id, level, col, row_ AS "row", count(*) AS n FROM (
-        SELECT DISTINCT viewer_id, generation, slide_id, level, col, row_ FROM (
-            SELECT *, max(generation) OVER (PARTITION BY viewer_id) AS newest FROM b_requests)
-        WHERE generation = newest) GROUP BY ALL""", "b_requests"))
+        SELECT *, max(generation) OVER (PARTITION BY viewer_id ORDER BY step) AS newest FROM (
+            SELECT viewer_id, generation, slide_id, level, col, row_, min(step) AS step FROM ({_STEPS}) GROUP BY ALL))
+    WHERE generation = newest GROUP BY ALL""", "b_requests"))
 def _(b: Bridge) -> DataFrame:
-    done = sinks.append_result(b.spark, SV.dedupe_stream(_request_stream(b), "40 days"))
+    done = _follow_requests(b, lambda s: SV.dedupe_stream(s, "40 days", "40 days"))
     return done.groupBy("viewer_id", "generation", "slide_id", "level", "col", "row").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _edit_state(b: Bridge) -> DataFrame:
-    changes = _stream(b, "b_changes").select(
+def _edits(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "slide_id", "seq", "op", "annotation_id", F.col("grp").alias("group"), F.lit("point").alias("type"),
         F.expr("array(named_struct('x', px, 'y', px + 1))").alias("coordinates"), "label", "color",
     )
-    return sinks.update_result(b.spark, state.annotation_state_stream(changes), state.ENTITY)
+
+
+def _edit_state(b: Bridge) -> DataFrame:
+    path = scratch_path(b.spark, "edits")
+    table = state.annotation_table(_edits(b.derived("b_changes")), path + "/table", every=2)
+    _deliver(b, "b_changes", lambda s: state.follow_annotations(_edits(s), table, path + "/checkpoint"))
+    return table.read()
 
 
 _LIVE = """
@@ -221,7 +266,10 @@ def _(b: Bridge) -> DataFrame:
 
 
 def _status_state(b: Bridge) -> DataFrame:
-    return sinks.update_result(b.spark, state.batch_status_stream(_stream(b, "b_status")), ["file"])
+    path = scratch_path(b.spark, "status")
+    table = state.status_table(b.derived("b_status"), path + "/table", every=2)
+    _deliver(b, "b_status", lambda s: state.follow_status(s, table, path + "/checkpoint"))
+    return table.read().drop("seq")
 
 
 @query("t06_batch_status", oracle(_LATEST, "b_status"))

@@ -66,6 +66,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def rocksdb_state(spark: SparkSession) -> None:
+    """State with timers needs the RocksDB store; streams started before keep the one in their checkpoint."""
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    if not spark.conf.get(setting, "").endswith("RocksDBStateStoreProvider"):
+        spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def local_path(uri: str) -> str:
     """Path of a mounted file system without the ``file:`` scheme."""
     if uri.startswith("file:"):

@@ -3,27 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from slidelake.session import scratch_path
 
 
-def to_batches(result: DataFrame, path: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
-    """Write every micro-batch to its own folder; a replayed batch overwrites itself."""
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    return (
-        result.writeStream.outputMode(mode)
-        .foreachBatch(save)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
 def to_table(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append finished rows to a parquet folder with Spark's exactly-once file sink."""
     return (
@@ -42,22 +26,8 @@ def run_bounded(query: StreamingQuery, timeout: int = 600) -> None:
         query.stop()
 
 
-def latest_per_key(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Newest version of each key among the micro-batches written by :func:`to_batches`."""
-    rows = spark.read.option("basePath", path).parquet(path)
-    others = [c for c in rows.columns if c not in (*keys, "batch_id")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch_id").alias("_v")).select(*keys, "_v.*")
-
-
 def append_result(spark: SparkSession, result: DataFrame) -> DataFrame:
     """Run an append-mode stream over what is available and read its output back."""
     path = scratch_path(spark, "stream")
     run_bounded(to_table(result, path + "/out", path + "/checkpoint"))
     return spark.read.schema(result.schema).parquet(path + "/out")
-
-
-def update_result(spark: SparkSession, result: DataFrame, keys: list[str]) -> DataFrame:
-    """Run an update-mode stream over what is available and read the newest rows back."""
-    path = scratch_path(spark, "stream")
-    run_bounded(to_batches(result, path + "/out", path + "/checkpoint"))
-    return latest_per_key(spark, path + "/out", keys)

@@ -9,21 +9,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from slidelake.functions import slide_id
-from slidelake.operators.annotations import change_entities, fold_changes, resolve_state
+from slidelake.operators.annotations import fold_log, merge_folds, resolve_state
 from slidelake.operators.pyramid import plan_batch, pyramid_name
 from slidelake.sources.slides import slide_files
+from slidelake.streaming.folded import FoldedTable, to_folded
 
-ENTITY = ["slide_id", "entity", "entity_key"]
+def annotation_table(changes: DataFrame, path: str, **compaction) -> FoldedTable:
+    """The state table that :func:`follow_annotations` keeps for an edit stream of this shape."""
+    return FoldedTable(changes.sparkSession, path, fold_log(changes).schema, merge_folds, **compaction)
 
 
-def annotation_state_stream(changes: DataFrame) -> DataFrame:
-    """Fold an edit stream to one state row per annotation, group and slide (update mode).
+def follow_annotations(changes: DataFrame, table: FoldedTable, checkpoint: str) -> StreamingQuery:
+    """Fold an edit stream to one state row per annotation, group and slide.
 
     The fold is the one the batch operator uses; :func:`live_annotations` turns
-    the newest state rows into annotations.
+    the rows of ``table.read()`` into annotations.  The stream itself holds no state.
     """
-    log = changes.filter((F.col("op") != "add") | (F.size("coordinates") > 0))
-    return fold_changes(change_entities(log))
+    return to_folded(changes, table, fold_log, checkpoint)
 
 
 def live_annotations(state: DataFrame) -> DataFrame:
@@ -36,14 +38,24 @@ def live_group_counts(state: DataFrame) -> DataFrame:
     return resolve_state(state).groupBy("slide_id", "group").agg(F.count(F.lit(1)).alias("n"))
 
 
-def batch_status_stream(events: DataFrame) -> DataFrame:
-    """Latest status per file of a status stream (update mode)."""
-    latest = F.struct("status", "progress", "error")
-    return events.groupBy("file").agg(F.max_by(latest, "seq").alias("s")).select("file", "s.*")
+def newest_status(events: DataFrame) -> DataFrame:
+    """Newest ``(seq, status, progress, error)`` per file; also merges its own results."""
+    latest = F.max(F.struct("seq", "status", "progress", "error"))
+    return events.groupBy("file").agg(latest.alias("s")).select("file", "s.*")
+
+
+def status_table(events: DataFrame, path: str, **compaction) -> FoldedTable:
+    """The table that :func:`follow_status` keeps for a status stream of this shape."""
+    return FoldedTable(events.sparkSession, path, newest_status(events).schema, newest_status, **compaction)
+
+
+def follow_status(events: DataFrame, table: FoldedTable, checkpoint: str) -> StreamingQuery:
+    """Latest status per file of a status stream, whatever order its rows come in."""
+    return to_folded(events, table, newest_status, checkpoint)
 
 
 def status_counts(state: DataFrame) -> DataFrame:
-    """Files per status from the newest rows of :func:`batch_status_stream`."""
+    """Files per status from the rows that :func:`follow_status` keeps."""
     return state.groupBy("status").agg(F.count(F.lit(1)).alias("files"))
 
 

@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from slidelake.operators.viewport import visible_tiles
+from slidelake.session import rocksdb_state
 
 
 def tile_demand(
@@ -52,33 +53,63 @@ def dedupe_in_flight(requests: DataFrame, lateness: str = "5 minutes") -> DataFr
     )
 
 
-def drop_stale_generations(requests: DataFrame) -> DataFrame:
-    """Drop requests of an older generation than the viewer's newest one so far.
+class NewestGeneration(StatefulProcessor):
+    """Newest generation of each viewer, forgotten once the viewer has been silent for a while.
 
-    The state is one number per viewer, kept for good, since a viewer may come
-    back at any time; a micro-batch's rows of a viewer are compared with the
-    maximum including that batch.  Only rows of the newest generation seen so
-    far are held while a batch is read.
+    Only rows of the newest generation seen so far are held while a batch is read.
     """
-    columns = ["viewer_id", "seq", "ts", "generation", "slide_id", "level", "col", "row"]
-    schema = ", ".join(f"`{c}` {requests.schema[c].dataType.simpleString()}" for c in columns)
 
-    def keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        newest = state.get[0] if state.exists else None
+    def __init__(self, columns: list[str], idle_ms: int) -> None:
+        self.columns, self.idle_ms = columns, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.viewer = handle.getValueState("viewer", "newest bigint, due bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        newest, due = self.viewer.get() if self.viewer.exists() else (None, None)
+        if due is not None and due < timerValues.getCurrentWatermarkInMs():
+            newest = None  # rows come before timers, but this viewer's time is up already
         held: list[pd.DataFrame] = []
-        for p in parts:
+        silent = due
+        for p in rows:
             top = int(p.generation.max())
             if newest is None or top > newest:
                 newest, held = top, []
-            held.append(p[p.generation == newest][columns])
-        state.update((newest,))
+            held.append(p.loc[p.generation == newest, self.columns])
+            silent = max(silent or 0, int(p["at_ms"].max()) + self.idle_ms)
+        if silent != due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(silent)
+        self.viewer.update((newest, silent))
         yield from held
 
-    return requests.select(*columns).groupBy("viewer_id").applyInPandasWithState(
-        keep, schema, "newest bigint", "append", GroupStateTimeout.NoTimeout
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.viewer.clear()
+        return iter(())
+
+
+def drop_stale_generations(requests: DataFrame, lateness: str | None = "5 minutes", idle: str = "1 day") -> DataFrame:
+    """Drop requests of an older generation than the viewer's newest one so far.
+
+    A micro-batch's rows of a viewer are compared with the maximum including that
+    batch.  The state is one number and one timer per viewer; it ends when the watermark
+    passes the viewer's last request by ``idle``, and a viewer who comes back later starts
+    anew.  Requests later than ``lateness``, and those without ``ts`` or ``generation``,
+    drop out.  ``lateness`` is None where the stream has a watermark on ``ts`` already.
+    """
+    rocksdb_state(requests.sparkSession)
+    columns = ["viewer_id", "seq", "ts", "generation", "slide_id", "level", "col", "row"]
+    schema = ", ".join(f"`{c}` {requests.schema[c].dataType.simpleString()}" for c in columns)
+    timed = requests if lateness is None else requests.withWatermark("ts", lateness)
+    known = timed.filter("generation IS NOT NULL AND ts IS NOT NULL").select(*columns, F.unix_millis("ts").alias("at_ms"))
+    idle_ms = int(pd.Timedelta(idle) / pd.Timedelta("1 ms"))
+    return known.groupBy("viewer_id").transformWithStateInPandas(
+        NewestGeneration(columns, idle_ms), schema, "append", "eventTime"
     )
 
 
-def dedupe_stream(requests: DataFrame, lateness: str = "5 minutes") -> DataFrame:
+def dedupe_stream(requests: DataFrame, lateness: str = "5 minutes", idle: str = "1 day") -> DataFrame:
     """First request per tile of each viewer's newest generation, as requests arrive."""
-    return drop_stale_generations(dedupe_in_flight(requests, lateness))
+    return drop_stale_generations(dedupe_in_flight(requests, lateness), None, idle)

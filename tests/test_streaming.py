@@ -6,6 +6,7 @@ from compare import rows
 from pyspark.sql import functions as F
 
 from slidelake.operators import annotations as A
+from slidelake.operators.annotations import merge_folds
 from slidelake.streaming import sinks, state
 from slidelake.streaming import viewports as SV
 
@@ -67,6 +68,24 @@ def test_in_flight_duplicates_and_old_generations(spark, folder):
     assert both == [(1, 0), (1, 1), (1, 3), (2, 1), (2, 2)]
 
 
+def test_silent_viewers_are_forgotten(spark, folder):
+    def at(seq, minute, generation, viewer="v"):
+        return (viewer, seq, START + timedelta(minutes=minute), generation, 1, 0, 0, 0)
+
+    batches = [
+        [at(1, 0, 5), at(2, 0, 4), at(3, 0, 9, "w")],
+        [at(4, 30, 4), at(5, 30, 9, "w"), ("v", 6, START + timedelta(minutes=30), None, 1, 0, 0, 0)],  # v: timer moves on
+        [at(7, 70, 9, "w")],
+        [at(8, 2, 9, "w")],  # later than the watermark
+        [at(9, 95, 9, "w")],  # the watermark passes v's last request by an hour
+        [at(10, 96, 9, "w"), at(11, 96, 1)],  # v starts anew
+        [at(12, 97, 3, "w"), at(13, 97, 1), at(14, 97, 0)],
+    ]
+    stream = feed(spark, folder, REQUEST, *batches)
+    got = rows(sinks.append_result(spark, SV.drop_stale_generations(stream, "1 minute", "1 hour")), "seq")
+    assert got == [(1,), (3,), (5,), (7,), (9,), (10,), (11,), (13,)]
+
+
 EDIT = ("slide_id bigint, seq bigint, op string, annotation_id string, group string, type string, "
         "coordinates array<struct<x:double,y:double>>, label string, color string")
 
@@ -79,7 +98,10 @@ def test_edit_stream_equals_the_batch_fold(spark, folder):
     batches = [[edit(1, "add", "a", "g", 1.0), edit(2, "add", "b", "h", 2.0)],
                [edit(3, "set_coordinates", "a", x=9.0), edit(4, "delete", "b"), edit(5, "set_style", "b", label="gone"), edit(6, "set_style", "zzz", label="q")],
                [edit(7, "add", "c", "h", 3.0), edit(8, "delete_group", group="h"), edit(9, "add", "d", "h", 4.0), edit(10, "set_style", "a", label="new")]]
-    folded = sinks.update_result(spark, state.annotation_state_stream(feed(spark, folder, EDIT, *batches)), state.ENTITY)
+    stream = feed(spark, folder, EDIT, *batches)
+    table = state.annotation_table(stream, f"{folder}/state", every=2)
+    sinks.run_bounded(state.follow_annotations(stream, table, f"{folder}/checkpoint"))
+    folded = table.read()
     live = state.live_annotations(folded).withColumn("x", F.get("coordinates", 0)["x"])
     same = ("annotation_id", "group", "x", "label")
     assert [r[:3] for r in rows(live.na.fill(""), *same)] == [("a", "g", 9.0), ("d", "h", 4.0)]
@@ -89,10 +111,74 @@ def test_edit_stream_equals_the_batch_fold(spark, folder):
     assert rows(state.live_group_counts(folded), "group", "n") == [("g", 1), ("h", 1)]
 
 
+def test_ended_annotations_keep_numbers_only(spark):
+    log = [edit(1, "add", "a", "g", 1.0), edit(2, "set_style", "a", label="x"), edit(3, "delete", "a"), edit(4, "add", "b", "g", 2.0),
+           edit(5, "delete", "b"), edit(6, "add", "b", "g", 3.0), edit(7, "clear"), edit(8, "add", "c", "g", 4.0), edit(9, "set_coordinates", "c", x=5.0)]
+    df = spark.createDataFrame(log, EDIT)
+    whole = state.live_annotations(A.fold_log(df)).select("annotation_id", "coordinates")
+    parts = [A.fold_log(df.filter(F.col("seq") % 3 == i)) for i in (2, 0, 1)]
+    merged = merge_folds(parts[0].unionByName(parts[1]))
+    merged = merge_folds(merged.unionByName(parts[2]).unionByName(parts[0]))  # out of order, one part twice
+    assert rows(state.live_annotations(merged).select("annotation_id", "coordinates"), "annotation_id", "coordinates") == rows(whole, "annotation_id", "coordinates")
+    ended = merged.filter("entity_key IN ('a', 'b')")
+    assert rows(ended, "entity_key", "removed_seq") == [("a", 3), ("b", 5)]
+    assert ended.filter("created.coordinates IS NOT NULL OR moved IS NOT NULL OR styled IS NOT NULL").count() == 0
+
+
+STATUS = "file string, seq bigint, status string, progress double, error string"
+
+
+def test_compaction_late_rows_and_replays(spark, folder):
+    def batch(*data):
+        return state.newest_status(spark.createDataFrame(data, STATUS))
+
+    empty = spark.createDataFrame([], STATUS)
+    table = state.status_table(empty, f"{folder}/state", every=3, most=4)
+    assert table.read().count() == 0
+    table.compact()
+    assert table.folders() == []
+    steps = [batch(("x", 2, "processing", 0.1, None)), batch(("y", 3, "done", 1.0, None)), batch(("x", 9, "done", 1.0, None)),
+             batch(("x", 5, "error", 0.5, "late")), batch(("y", 10, "error", 0.0, "bad"))]
+    for number, rows_ in enumerate(steps[:3]):
+        table.save(rows_, number)
+        assert table.compact_if_due() == (number == 2)
+    names = lambda: [f[len(table.path) + 1:] for f in table.folders()]
+    assert names() == ["snapshots/2"]
+    want = [("x", 9, "done"), ("y", 3, "done")]
+    assert rows(table.read(), "file", "seq", "status") == want
+    table.save(steps[2], 2)  # replayed after its snapshot
+    table.save(steps[3], 3)
+    table.save(steps[3], 3)  # replayed before one
+    assert names() == ["snapshots/2", "batches/3"]
+    assert rows(table.read(), "file", "seq", "status") == want
+    # A job that died while writing leaves no mark and does not count.
+    os.makedirs(f"{folder}/state/batches/4")
+    os.makedirs(f"{folder}/state/snapshots/3")
+    assert names() == ["snapshots/2", "batches/3"]
+    table.save(steps[4], 4)
+    table.compact()
+    assert names() == ["snapshots/4"] and rows(table.read(), "file", "seq") == [("x", 9), ("y", 10)]
+    assert sorted(os.listdir(f"{folder}/state/batches")) == ["3", "4"]  # what the snapshot before had replaced is gone
+    assert sorted(os.listdir(f"{folder}/state/snapshots")) == ["2", "3", "4"]
+
+
+def test_a_restarted_stream_compacts_as_it_goes(spark, folder):
+    table = None
+    for i in range(6):
+        data = [(f"f{n}", 10 * i + n, "done" if (i + n) % 2 else "processing", i / 10, None) for n in range(i + 1)]
+        spark.createDataFrame(data, STATUS).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(STATUS).parquet(f"{folder}/in")
+        table = state.status_table(stream, f"{folder}/state", every=2, share=0.0)
+        sinks.run_bounded(state.follow_status(stream, table, f"{folder}/checkpoint"))
+    assert [f[len(table.path) + 1:] for f in table.folders()] == ["snapshots/5"]
+    assert rows(table.read(), "file", "seq") == [(f"f{n}", 50 + n) for n in range(6)]
+
+
 def test_status_stream(spark, folder):
-    schema = "file string, seq bigint, status string, progress double, error string"
-    stream = feed(spark, folder, schema, [("x", 1, "processing", 0.1, None), ("y", 2, "done", 1.0, None)], [("x", 3, "error", 0.4, "bad")])
-    newest = sinks.update_result(spark, state.batch_status_stream(stream), ["file"])
+    stream = feed(spark, folder, STATUS, [("x", 1, "processing", 0.1, None), ("y", 2, "done", 1.0, None)], [("x", 3, "error", 0.4, "bad")])
+    table = state.status_table(stream, f"{folder}/state")
+    sinks.run_bounded(state.follow_status(stream, table, f"{folder}/checkpoint"))
+    newest = table.read()
     assert rows(newest.na.fill(""), "file", "status", "error") == [("x", "error", "bad"), ("y", "done", "")]
     assert rows(state.status_counts(newest), "status", "files") == [("done", 1), ("error", 1)]
 
