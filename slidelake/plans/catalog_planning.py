@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slidelake import functions as fn
 from slidelake.operators import pyramid as P
+from slidelake.operators.ordering import number_rows
 from slidelake.operators.viewport import preload_order
 from slidelake.plans.bridge import Bridge, oracle
 from slidelake.plans.registry import query
@@ -373,6 +374,23 @@ def _(b: Bridge) -> DataFrame:
     )
 
 
+@query("s10_split_documents", oracle("""
+    SELECT slide_id % 3 AS slide, CAST(row_number() OVER (PARTITION BY slide_id % 3 ORDER BY slide_id, seq) - 1 AS INTEGER) AS pos,
+           annotation_id, type, min_x, max_y, coalesce(label, '') AS label FROM b_boxes""", "b_boxes"))
+def _(b: Bridge) -> DataFrame:
+    """Documents of up to 1000 features for every third slide together, read in ranges of 16 KB."""
+    from slidelake.operators.annotations import normalize_annotations, with_bounds
+
+    root = scratch_path(b.spark, "features")
+    merged = number_rows(b.annotations.withColumn("third", F.expr("slide_id % 3")), ["third"], ["slide_id", "seq"], "pos")
+    texts = geojson.annotation_documents(merged.drop("slide_id", "seq").withColumnRenamed("third", "slide_id"), max_features=1000)
+    _write_files(texts.selectExpr("concat('slide_id=', slide_id, '/', part, '.geojson') AS path", "encode(document, 'utf-8') AS content"), root)
+    annotations, _ = geojson.read_annotations(b.spark, root, split_bytes=1 << 14, chunk_bytes=1 << 14)
+    return normalize_annotations(with_bounds(annotations)).select(
+        F.col("slide_id").cast("bigint").alias("slide"), "pos", "annotation_id", "type", "min_x", "max_y", "label"
+    )
+
+
 @query("s10_geojson_rejects", """
     SELECT concat(o_orderkey, '') AS slide_id, pos, reason FROM (
         SELECT o_orderkey, CASE o_orderkey % 4 WHEN 2 THEN 1 END AS pos,

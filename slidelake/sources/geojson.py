@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from slidelake import schema as S
 from slidelake.operators.ordering import number_rows
 from slidelake.operators.skew import salted_join
+from slidelake.session import cut_lineage
+from slidelake.sources.jsonscan import array_elements
 
 _PAIR = "array<double>"
 
@@ -37,6 +39,14 @@ def parse_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     features = listed.filter(F.col("reason").isNull()).select(
         "path", "slide_id", first.alias("first"), F.posexplode(texts).alias("pos", "feature")
     ).withColumn("pos", F.col("first") + F.col("pos")).drop("first")
+    annotations, bad = parse_features(features)
+    return annotations, listed.filter(F.col("reason").isNotNull()).select(
+        "path", "slide_id", F.lit(None).cast("int").alias("pos"), "reason"
+    ).unionByName(bad)
+
+
+def parse_features(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(path, slide_id, pos, feature)`` to ``(annotations, rejects)``, one feature's text a row."""
     field = lambda name: F.get_json_object("feature", name)
     geometry_type = F.coalesce(field("$.geometry.type"), F.lit(""))
     coordinates = field("$.geometry.coordinates")
@@ -83,22 +93,34 @@ def parse_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         _points(corners).alias("coordinates"),
         F.map_filter("properties", lambda k, _: k != "annotation_type").alias("properties"),
     )
-    rejects = listed.filter(F.col("reason").isNotNull()).select(
-        "path", "slide_id", F.lit(None).cast("int").alias("pos"), "reason"
-    ).unionByName(shaped.filter(F.col("reason").isNotNull()).select("path", "slide_id", "pos", "reason"))
-    return annotations, rejects
+    return annotations, shaped.filter(F.col("reason").isNotNull()).select("path", "slide_id", "pos", "reason")
 
 
-def read_annotations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Read annotation documents; the slide is named by the folder (``slide_id=...``) or file stem."""
-    texts = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("document")
-    )
+def read_annotations(spark: SparkSession, path: str, split_bytes: int = 64 << 20, chunk_bytes: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
+    """Read annotation documents; the slide is named by the folder (``slide_id=...``) or file stem.
+
+    Files above ``split_bytes`` are cut at feature borders and read by several
+    tasks; positions and ids are those of the whole document.  There, brackets decide whether the
+    document is malformed, and text that is no JSON inside them rejects its feature alone.
+    """
+    size, name = F.col("_metadata.file_size"), F.col("_metadata.file_path").alias("path")
+    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).filter(size <= split_bytes)
+    annotations, rejects = parse_documents(whole.select(name, F.col("value").alias("document")).withColumn("slide_id", _slide()))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.col("length") > split_bytes)
+    big = cut_lineage(listed.select(F.col("path").alias("file"), "length", name))
+    if big.isEmpty():
+        return annotations, rejects
+    elements, broken = array_elements(big.select(F.col("file").alias("path"), "length"), "features", "first_position", chunk_bytes)
+    named = lambda df: df.withColumnRenamed("path", "file").join(big.select("file", "path"), "file").withColumn("slide_id", _slide())
+    more, bad = parse_features(named(elements).select("path", "slide_id", F.col("pos").cast("int").alias("pos"), F.col("element").alias("feature")))
+    refused = named(broken).select("path", "slide_id", F.lit(None).cast("int").alias("pos"), "reason")
+    return annotations.unionByName(more), rejects.unionByName(bad).unionByName(refused)
+
+
+def _slide() -> Column:
     folder = F.regexp_extract("path", r"slide_id=([^/]+)/", 1)
     stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1)
-    return parse_documents(
-        texts.withColumn("slide_id", F.when(F.col("path").contains("/slide_id="), folder).otherwise(stem))
-    )
+    return F.when(F.col("path").contains("/slide_id="), folder).otherwise(stem)
 
 
 def features(annotations: DataFrame) -> DataFrame:
