@@ -37,8 +37,9 @@ def first_of_equal(
     """Marks the windows that equal an earlier one.
 
     Window i covers the ``width`` words from ``at[i]``; ``order`` ranks windows,
-    most significant key first.  Windows are sorted by hash; neighbours count as
-    equal only if all their words are, compared by a second 64-bit hash each.
+    most significant key first.  Windows are sorted by hash, and the words of
+    neighbours are compared by a second 64-bit hash each.  Where different windows
+    share the first hash, both hashes of the window sort them.
     """
     n = len(at)
     late = np.zeros(n, bool)
@@ -54,10 +55,13 @@ def first_of_equal(
     equal = np.ones(len(same), bool)
     for k in range(width):
         equal &= check[left + k] == check[right + k]
+    new = sorted_hash[1:] != sorted_hash[:-1]
     if not equal.all():
-        raise RuntimeError("two windows share a hash; change the seed")
+        second = hash_runs(check, width)[at]
+        rank = np.lexsort((*reversed(order), second, hashes[at]))
+        new |= second[rank[1:]] != second[rank[:-1]]
     # A row standing at the place of its first copy is that copy (a repeated row).
-    group = np.concatenate(([True], sorted_hash[1:] != sorted_hash[:-1]))
+    group = np.concatenate(([True], new))
     head = np.maximum.accumulate(np.where(group, np.arange(n), 0))
     differs = np.zeros(n, bool)
     for key in order:

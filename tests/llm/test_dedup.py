@@ -153,3 +153,17 @@ def test_empty_tables(spark, documents, operator):
 def test_packing_loses_nothing(spark, documents, odd_rows):
     packed = pack(documents(odd_rows).repartition(3), batch_bytes=2000)
     assert packed.agg({"rows": "sum"}).first()[0] == len(odd_rows)
+
+
+def test_windows_that_share_a_hash_are_told_apart():
+    draw = random.Random(8)
+    raw = np.frombuffer(" ".join(draw.choice(["a", "b", "cc"]) for _ in range(600)).encode(), np.uint8)
+    w = superkmers.Windows(raw, np.array([0, len(raw)]), 5, 2)
+    order = (np.zeros(len(w.at), np.int64), w.place)
+    true, tied = (superkmers.first_of_equal(raw, w.starts, w.ends, w.at, order, 5, h) for h in (w.hashes, w.hashes % np.uint64(3)))
+    seen, late = set(), []
+    text = raw.tobytes().decode().split()
+    for p in w.place:
+        late.append(tuple(text[p : p + 5]) in seen)
+        seen.add(tuple(text[p : p + 5]))
+    assert 0 < sum(late) < len(late) and list(true) == late and list(tied) == late
