@@ -37,37 +37,32 @@ def first_of_equal(
     """Marks the windows that equal an earlier one.
 
     Window i covers the ``width`` words from ``at[i]``; ``order`` ranks windows,
-    most significant key first.  Windows are sorted by hash, and the words of
-    neighbours are compared by a second 64-bit hash each.  Where different windows
-    share the first hash, both hashes of the window sort them.
+    most significant key first.  Windows are sorted by hash; only those that share it
+    are hashed a second time, with other constants, and sorted by both hashes and their rank.
     """
-    n = len(at)
-    late = np.zeros(n, bool)
-    if n < 2:
+    late = np.zeros(len(at), bool)
+    own = hashes[at]
+    rank = np.argsort(own)
+    same = own[rank[1:]] == own[rank[:-1]]
+    if not same.any():
         return late
-    rank = np.lexsort((*reversed(order), hashes[at]))
-    sorted_hash = hashes[at[rank]]
-    same = np.flatnonzero(sorted_hash[1:] == sorted_hash[:-1])
-    if not len(same):
-        return late
-    check = hash_spans(buf, starts, ends, 1)
-    left, right = at[rank[same]], at[rank[same + 1]]
-    equal = np.ones(len(same), bool)
-    for k in range(width):
-        equal &= check[left + k] == check[right + k]
-    new = sorted_hash[1:] != sorted_hash[:-1]
-    if not equal.all():
-        second = hash_runs(check, width)[at]
-        rank = np.lexsort((*reversed(order), second, hashes[at]))
-        new |= second[rank[1:]] != second[rank[:-1]]
+    met = rank[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+    covered = np.zeros(len(starts), bool)
+    covered[at[met]] = True
+    covered = spread(covered, width, len(starts))
+    check = np.zeros(len(starts), np.uint64)
+    check[covered] = hash_spans(buf, starts[covered], ends[covered], 1)
+    own, second = own[met], hash_runs(check, width, 1)[at[met]]
+    rank = np.lexsort((*(key[met] for key in reversed(order)), second, own))
+    own, second = own[rank], second[rank]
+    new = np.concatenate(([True], (own[1:] != own[:-1]) | (second[1:] != second[:-1])))
+    head = np.maximum.accumulate(np.where(new, np.arange(len(met)), 0))
     # A row standing at the place of its first copy is that copy (a repeated row).
-    group = np.concatenate(([True], new))
-    head = np.maximum.accumulate(np.where(group, np.arange(n), 0))
-    differs = np.zeros(n, bool)
+    differs = np.zeros(len(met), bool)
     for key in order:
-        values = key[rank]
+        values = key[met[rank]]
         differs |= values != values[head]
-    late[rank] = differs
+    late[met[rank]] = differs
     return late
 
 
