@@ -320,54 +320,75 @@ def _pop_std(channel: str, n: Column) -> Column:
 def color_stats(regions: DataFrame) -> DataFrame:
     """Mean, deviation, extremes and median per channel, gray statistics and size.
 
-    Every image row becomes a histogram of at most 256 values per channel; the
-    histograms add up across blocks, so the median is exact and a region of any
+    The pixels are read once: every block becomes a histogram of at most 256
+    values per channel and of the sums of the three, beside its size.  The
+    histograms add up across blocks, so all figures are exact and a region of any
     size is never sorted.
     """
-    names = ["request_id", "channel", "value", "n"]
+    kinds = np.array([*CHANNELS, "gray", "size"], object)
     rid = regions.schema["request_id"].dataType.simpleString()
 
     def histogram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parts = []
-            for request, rgb in zip(pdf.request_id, pdf.rgb):
+            owner, channel, value, count = [], [], [], []
+            for place, (width, height, rgb) in enumerate(zip(pdf.width, pdf.height, pdf.rgb)):
                 px = np.frombuffer(rgb, np.uint8).reshape(-1, 3)
-                for i, channel in enumerate(CHANNELS):
-                    values, counts = np.unique(px[:, i], return_counts=True)
-                    parts.append(pd.DataFrame(
-                        {"request_id": request, "channel": channel, "value": values.astype(np.int32), "n": counts}
-                    ))
-            yield pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)
+                told = [*(np.bincount(px[:, i]) for i in range(3)), np.bincount(px.sum(axis=1, dtype=np.int64))]
+                values = [np.flatnonzero(t) for t in told]
+                told = [t[v] for t, v in zip(told, values)]
+                if not pd.isna(width) and not pd.isna(height):
+                    values.append(np.array([width], np.int64))
+                    told.append(np.array([height], np.int64))
+                sizes = [len(v) for v in values]
+                owner.append(np.full(sum(sizes), place))
+                channel.append(np.repeat(np.arange(len(sizes)), sizes))
+                value += values
+                count += told
+            if owner:
+                yield pd.DataFrame({
+                    "request_id": pdf.request_id.to_numpy()[np.concatenate(owner)], "channel": kinds[np.concatenate(channel)],
+                    "value": np.concatenate(value), "n": np.concatenate(count),
+                })
 
     counts = (
-        regions.select("request_id", "rgb")
-        .mapInPandas(histogram, f"request_id {rid}, channel string, value int, n bigint")
+        regions.select("request_id", "width", "height", "rgb")
+        .mapInPandas(histogram, f"request_id {rid}, channel string, value bigint, n bigint")
         .groupBy("request_id", "channel", "value").agg(F.sum("n").alias("n"))
     )
     per_channel = Window.partitionBy("request_id", "channel")
-    upto = F.sum("n").over(per_channel.orderBy("value"))
-    total = F.sum("n").over(per_channel)
-    ranked = counts.withColumn("upto", upto).withColumn("total", total)
+    ranked = counts.withColumn("upto", F.sum("n").over(per_channel.orderBy("value"))).withColumn("total", F.sum("n").over(per_channel))
     low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
-    wide = ranked.groupBy("request_id").pivot("channel", list(CHANNELS)).agg(
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        ((F.min(F.when(F.col("upto") > low, F.col("value"))) + F.min(F.when(F.col("upto") > high, F.col("value")))) / 2)
-        .alias("median"),
-    )
-    n = F.col("n")
-    moments = _merged_sums(regions).select(
+    value, count, n = F.col("value"), F.col("n"), F.col("pixels")
+
+    def of(channel: str, what: Column, *also: Column) -> Column:
+        where = F.col("channel") == channel
+        for condition in also:
+            where = where & condition
+        return F.when(where, what)
+
+    figures, extremes = [], []
+    for short, channel in (*zip("rgb", CHANNELS), ("gray", "gray")):
+        figures += [F.sum(of(channel, value * count)).alias(f"s_{short}"), F.sum(of(channel, value * value * count)).alias(f"q_{short}")]
+    for channel in CHANNELS:
+        middle = [F.min(of(channel, value, F.col("upto") > place)) for place in (low, high)]
+        extremes += [
+            F.min(of(channel, value)).cast("int").alias(f"{channel}_min"), F.max(of(channel, value)).cast("int").alias(f"{channel}_max"),
+            ((middle[0] + middle[1]) / 2).alias(f"{channel}_median"),
+        ]
+    merged = ranked.groupBy("request_id").agg(
+        *figures, *extremes, F.sum(of("gray", count)).alias("pixels"),
+        F.max(of("size", value)).cast("int").alias("width"), F.sum(of("size", count)).cast("int").alias("height"),
+    ).filter(n > 0)
+    return merged.select(
         "request_id",
         *[(F.col(f"s_{c}") / n).alias(f"{name}_mean") for c, name in zip("rgb", CHANNELS)],
         *[_pop_std(c, n).alias(f"{name}_std") for c, name in zip("rgb", CHANNELS)],
         (F.col("s_gray") / n / 3).alias("gray_mean"),
         (_pop_std("gray", n) / 3).alias("gray_std"),
-        n.alias("pixels"),
-    )
-    size = regions.groupBy("request_id").agg(
-        F.max("width").alias("width"), F.sum("height").cast("int").alias("height")
+        "pixels",
+        *[f"{c}_{figure}" for c in CHANNELS for figure in ("min", "max", "median")],
+        "width", "height",
     )
-    return moments.join(wide, "request_id").join(size, "request_id")
 
 
 # --- outputs --------------------------------------------------------------
