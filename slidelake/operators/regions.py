@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from slidelake.operators.grouping import map_sorted_groups
 from slidelake.operators.ordering import explode_range
-from slidelake.operators.skew import salted_join
+from slidelake.operators.skew import salted_join, shuffled
 
 TILE = ["slide_id", "level", "col", "row"]
 
@@ -34,13 +34,13 @@ def tiles_in_roi(tiles: DataFrame, rois: DataFrame, levels: DataFrame) -> DataFr
     )
     rows = explode_range(ranged, F.col("_r0"), F.col("_r1"), "row")
     cells = explode_range(rows, F.col("_c0"), F.col("_c1"), "col").drop("_c0", "_c1", "_r0", "_r1")
-    return cells.join(tiles, TILE)
+    return cells.join(shuffled(tiles), TILE)
 
 
 def get_tiles(requests: DataFrame, tiles: DataFrame) -> DataFrame:
     """Point lookup; tiles outside the grid or of length 0 come back as null."""
     stored = tiles.filter(F.col("length") > 0) if "length" in tiles.columns else tiles
-    return requests.join(stored, TILE, "left")
+    return requests.join(shuffled(stored), TILE, "left")
 
 
 def _floor_div(value: Column, by: Column) -> Column:

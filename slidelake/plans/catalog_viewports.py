@@ -11,6 +11,7 @@ from slidelake.functions import to_level, to_slide, to_wsi
 from slidelake.operators import levels as L
 from slidelake.operators import regions as R
 from slidelake.operators import viewport as V
+from slidelake.operators.skew import shuffled
 from slidelake.plans.bridge import PIXEL_TILE, Bridge, oracle
 from slidelake.plans.pipelines import serve_viewports
 from slidelake.plans.registry import query
@@ -89,7 +90,7 @@ def _(b: Bridge) -> DataFrame:
     FROM b_leveled JOIN (SELECT slide_id, source_mpp, target_mpp FROM b_slides) USING (slide_id)""", "b_leveled", "b_slides"))
 def _(b: Bridge) -> DataFrame:
     leveled = L.level_for_scale(b.viewports, b.levels).join(
-        b.slides.select("slide_id", "source_mpp", "target_mpp"), "slide_id"
+        shuffled(b.slides.select("slide_id", "source_mpp", "target_mpp")), "slide_id"
     )
     ds, x = F.col("level_info.downsample"), F.col("x")
     return leveled.select(
