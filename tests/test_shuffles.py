@@ -11,6 +11,7 @@ GROWING = """
     v01_level_for_scale v03_level_info v04_visible_tiles_scheduler v05_tile_position v06_tile_bounds v07_transforms
     v08_tiles_in_roi v09_get_tiles v10_assemble_regions v13_extend_viewport v14_rank_prefetch v15_budget_prefetch
 """
+FOLDERS = "p05_pyramid_status p06_plan_batch"
 STORED = "p13_missing_tiles p14_validate_index v18_preload_worklist v18_preload_counts"
 
 
@@ -33,6 +34,11 @@ def test_tiles_are_shuffled(spark, name):
     no_copies(spark, name)
 
 
+@pytest.mark.parametrize("name", FOLDERS.split())
+def test_folder_listings_are_shuffled(spark, name):
+    no_copies(spark, name)
+
+
 def test_salts_only_where_joins_are_not_split(spark):
     left = spark.range(100).selectExpr("id % 3 AS k", "id AS v")
     right = spark.range(3).selectExpr("id AS k").groupBy("k").count()
