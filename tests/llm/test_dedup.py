@@ -167,3 +167,18 @@ def test_windows_that_share_a_hash_are_told_apart():
         late.append(tuple(text[p : p + 5]) in seen)
         seen.add(tuple(text[p : p + 5]))
     assert 0 < sum(late) < len(late) and list(true) == late and list(tied) == late
+
+
+def test_cutting_windows_holds_little_beside_the_batch():
+    """A reused worker must not need some 100 MB more for every megabyte that it cuts at once."""
+    import tracemalloc
+
+    draw = np.random.default_rng(3)
+    buf = draw.integers(97, 123, 3 << 20).astype(np.uint8)
+    edges = np.arange(0, len(buf) + 1, 4096)
+    tracemalloc.start()
+    found = runindex.cut(buf, edges[:-1], edges[1:], 256, 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert int(found["windows"].sum()) == (len(edges) - 1) * (4096 - 255)
+    assert peak < 64 << 20
