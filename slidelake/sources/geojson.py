@@ -19,6 +19,16 @@ def _points(rings: Column) -> Column:
     return F.transform(rings, lambda c: F.struct(F.get(c, 0).alias("x"), F.get(c, 1).alias("y")))
 
 
+def _once(df: DataFrame, name: str, **fields: Column) -> DataFrame:
+    """Add a struct of fields by exploding a one-element array.
+
+    Plain columns would be copied into every expression and filter above them, and
+    a feature's text would be parsed some dozens of times.
+    """
+    made = F.struct(*[column.alias(field) for field, column in fields.items()])
+    return df.select("*", F.explode(F.array(made)).alias(name))
+
+
 def parse_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(path, slide_id, document)`` to ``(annotations, rejects)``.
 
@@ -48,29 +58,34 @@ def parse_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 def parse_features(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(path, slide_id, pos, feature)`` to ``(annotations, rejects)``, one feature's text a row."""
     field = lambda name: F.get_json_object("feature", name)
-    geometry_type = F.coalesce(field("$.geometry.type"), F.lit(""))
-    coordinates = field("$.geometry.coordinates")
-    properties = F.from_json(field("$.properties"), "map<string,string>")
-    kind = F.col("properties")["annotation_type"]
-    ring = F.get(F.from_json(coordinates, f"array<array<{_PAIR}>>"), 0)
-    opened = F.when(
-        (F.size("ring") > 1) & (F.get("ring", 0) == F.element_at("ring", -1)),
-        F.slice("ring", F.lit(1), F.size("ring") - 1),
-    ).otherwise(F.col("ring"))
-    parsed = (
-        features.withColumn("geometry_type", geometry_type)
-        .withColumn("properties", F.coalesce(properties, F.create_map().cast("map<string,string>")))
-        .withColumn("point", F.coalesce(F.from_json(coordinates, _PAIR), F.when(coordinates.isNull(), F.array(F.lit(0.0), F.lit(0.0)))))
-        .withColumn("ring", F.coalesce(ring, F.when(coordinates.isNull(), F.array().cast(f"array<{_PAIR}>"))))
-        .withColumn("ring", opened)
+    read = _once(
+        features, "read", kind=field("$.type"), id=field("$.id"), shape=field("$.geometry"),
+        shape_type=F.coalesce(field("$.geometry.type"), F.lit("")), coordinates=field("$.geometry.coordinates"),
+        properties=field("$.properties"),
+    )
+    coordinates = F.col("read.coordinates")
+    absent = coordinates.isNull()
+    is_point, is_polygon = F.col("read.shape_type") == "Point", F.col("read.shape_type") == "Polygon"
+    # Only what the geometry asks for is parsed.
+    parsed = _once(
+        read, "parsed",
+        properties=F.coalesce(F.from_json("read.properties", "map<string,string>"), F.create_map().cast("map<string,string>")),
+        point=F.when(is_point, F.when(absent, F.array(F.lit(0.0), F.lit(0.0))).otherwise(F.from_json(coordinates, _PAIR))),
+        ring=F.when(is_polygon, F.when(absent, F.array().cast(f"array<{_PAIR}>")).otherwise(
+            F.get(F.from_json(coordinates, f"array<array<{_PAIR}>>"), 0)
+        )),
     )
-    is_point, is_polygon = F.col("geometry_type") == "Point", F.col("geometry_type") == "Polygon"
-    pairs = F.when(is_point, F.array("point")).when(is_polygon, F.col("ring")).otherwise(
+    ring = F.col("parsed.ring")
+    opened = F.when(
+        (F.size(ring) > 1) & (F.get(ring, 0) == F.element_at(ring, -1)), F.slice(ring, F.lit(1), F.size(ring) - 1)
+    ).otherwise(ring)
+    kind = F.col("parsed.properties")["annotation_type"]
+    pairs = F.when(is_point, F.array("parsed.point")).when(is_polygon, opened).otherwise(
         F.array().cast(f"array<{_PAIR}>")
     )
-    shaped = parsed.withColumn("pairs", pairs).withColumn(
+    shaped = _once(parsed, "shaped", pairs=pairs).withColumn("pairs", F.col("shaped.pairs")).withColumn(
         "reason",
-        F.when(field("$.type").isNull() & field("$.geometry").isNull() & field("$.properties").isNull()
+        F.when(F.col("read.kind").isNull() & F.col("read.shape").isNull() & F.col("read.properties").isNull()
                & F.json_object_keys("feature").isNull(), F.lit("feature is no object"))
         .when(
             F.col("pairs").isNull() | F.exists("pairs", lambda p: F.coalesce(F.size(p), F.lit(0)) < 2)
@@ -87,11 +102,11 @@ def parse_features(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     made_id = F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     annotations = good.select(
         "slide_id", "pos",
-        F.coalesce(field("$.id"), made_id).alias("annotation_id"),
+        F.coalesce("read.id", made_id).alias("annotation_id"),
         F.when(is_point, "point").when(is_rectangle, "rectangle")
         .when(is_polygon & (kind == "freehand"), "freehand").otherwise("polygon").alias("type"),
         _points(corners).alias("coordinates"),
-        F.map_filter("properties", lambda k, _: k != "annotation_type").alias("properties"),
+        F.map_filter("parsed.properties", lambda k, _: k != "annotation_type").alias("properties"),
     )
     return annotations, shaped.filter(F.col("reason").isNotNull()).select("path", "slide_id", "pos", "reason")
 

@@ -201,6 +201,15 @@ def test_reading_documents(spark):
         ("0", 6, "bad coordinates"), ("0", 7, "feature is no object"), ("1", -1, "malformed JSON"), ("2", -1, "missing features")]
 
 
+def test_a_feature_is_parsed_once(spark):
+    """Expressions and filters above the parsed fields refer to them and hold no copies of the parsing."""
+    feature = spark.createDataFrame([("p", "1", 0, "{}")], "path string, slide_id string, pos int, feature string")
+    good, rejects = geojson.parse_features(feature)
+    for df in (good, rejects):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("get_json_object(") <= 8 and plan.count("from_json(") + plan.count("jsontostructs(") <= 4, plan
+
+
 def test_written_documents(spark, folder):
     import json
 
