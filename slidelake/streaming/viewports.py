@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from slidelake.operators.viewport import visible_tiles
 from slidelake.session import rocksdb_state
@@ -53,61 +55,79 @@ def dedupe_in_flight(requests: DataFrame, lateness: str = "5 minutes") -> DataFr
     )
 
 
-class NewestGeneration(StatefulProcessor):
-    """Newest generation of each viewer, forgotten once the viewer has been silent for a while.
+def newest_generation(columns: list[str], idle_ms: int):
+    """Rows of the newest generation of each viewer of a bucket; a viewer is forgotten after a silence.
 
-    Only rows of the newest generation seen so far are held while a batch is read.
+    The state lists the bucket's viewers with their newest generation and the time their silence ends.
+    Only rows of the newest generations seen so far are held while a batch is read.
     """
 
-    def __init__(self, columns: list[str], idle_ms: int) -> None:
-        self.columns, self.idle_ms = columns, idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.viewer = handle.getValueState("viewer", "newest bigint, due bigint")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        newest, due = self.viewer.get() if self.viewer.exists() else (None, None)
-        if due is not None and due < timerValues.getCurrentWatermarkInMs():
-            newest = None  # rows come before timers, but this viewer's time is up already
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs()
+        nobody = key[0] < 0  # the rows without a viewer have a bucket of their own
+        name = lambda p: pd.Series(0, p.index) if nobody else p["viewer_id"]
+        newest, due = {}, {}
+        for viewer, top, end in zip(*state.get) if state.exists else ():
+            if end >= now:  # rows come before time-outs, but a viewer's time may be up already
+                newest[0 if nobody else viewer], due[0 if nobody else viewer] = top, end
         held: list[pd.DataFrame] = []
-        silent = due
-        for p in rows:
-            top = int(p.generation.max())
-            if newest is None or top > newest:
-                newest, held = top, []
-            held.append(p.loc[p.generation == newest, self.columns])
-            silent = max(silent or 0, int(p["at_ms"].max()) + self.idle_ms)
-        if silent != due:
-            if due is not None:
-                self.handle.deleteTimer(due)
-            self.handle.registerTimer(silent)
-        self.viewer.update((newest, silent))
-        yield from held
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.viewer.clear()
-        return iter(())
-
-
-def drop_stale_generations(requests: DataFrame, lateness: str | None = "5 minutes", idle: str = "1 day") -> DataFrame:
+        for p in frames:
+            if state.hasTimedOut or not len(p):
+                continue
+            seen = p.groupby(name(p)).agg({"generation": "max", "at_ms": "max"})
+            for viewer, top, last in zip(seen.index.tolist(), seen["generation"].tolist(), seen["at_ms"].tolist()):
+                newest[viewer] = max(newest.get(viewer, top), top)
+                due[viewer] = max(due.get(viewer, 0), last + idle_ms)
+            held.append(p[p["generation"] >= name(p).map(newest)])
+        live = [viewer for viewer in newest if due[viewer] >= now]
+        if live:
+            state.update(([None if nobody else viewer for viewer in live], [newest[v] for v in live], [due[v] for v in live]))
+            state.setTimeoutTimestamp(min(due[v] for v in live))
+        elif state.exists:
+            state.remove()
+        for p in held:
+            yield p.loc[p["generation"] == name(p).map(newest), columns]
+
+    return run
+
+
+def drop_stale_generations(
+    requests: DataFrame, lateness: str | None = "5 minutes", idle: str = "1 day", buckets: int = 1024
+) -> DataFrame:
     """Drop requests of an older generation than the viewer's newest one so far.
 
     A micro-batch's rows of a viewer are compared with the maximum including that
-    batch.  The state is one number and one timer per viewer; it ends when the watermark
+    batch.  The state is one number and one time a viewer; it ends when the watermark
     passes the viewer's last request by ``idle``, and a viewer who comes back later starts
     anew.  Requests later than ``lateness``, and those without ``ts`` or ``generation``,
     drop out.  ``lateness`` is None where the stream has a watermark on ``ts`` already.
+
+    Viewers share ``buckets`` states, so that a micro-batch costs so many calls of Python and not one for
+    each viewer.  A bucket's list is written anew when one of its viewers is seen: many millions of
+    viewers want more buckets, and a stream keeps the number it was started with.
     """
     rocksdb_state(requests.sparkSession)
     columns = ["viewer_id", "seq", "ts", "generation", "slide_id", "level", "col", "row"]
-    schema = ", ".join(f"`{c}` {requests.schema[c].dataType.simpleString()}" for c in columns)
+    types = {c: requests.schema[c].dataType for c in columns}
     timed = requests if lateness is None else requests.withWatermark("ts", lateness)
-    known = timed.filter("generation IS NOT NULL AND ts IS NOT NULL").select(*columns, F.unix_millis("ts").alias("at_ms"))
+    # Pandas has no missing integers, so these travel as 0 with a bit that says so.
+    gaps = [c for c in columns if isinstance(types[c], T.IntegralType) and c not in ("viewer_id", "generation")]
+    bits = [F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(gaps)]
+    bucket = F.when(F.col("viewer_id").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("viewer_id"), F.lit(buckets)).cast("int"))
+    known = timed.filter("generation IS NOT NULL AND ts IS NOT NULL").select(
+        *[F.coalesce(c, F.lit(0).cast(types[c])).alias(c) if c in gaps else c for c in columns],
+        reduce(lambda a, b: a + b, bits, F.lit(0)).alias("missing"), F.unix_millis("ts").alias("at_ms"), bucket.alias("bucket"),
+    )
     idle_ms = int(pd.Timedelta(idle) / pd.Timedelta("1 ms"))
-    return known.groupBy("viewer_id").transformWithStateInPandas(
-        NewestGeneration(columns, idle_ms), schema, "append", "eventTime"
+    kept = known.groupBy("bucket").applyInPandasWithState(
+        newest_generation([*columns, "missing"], idle_ms),
+        ", ".join(f"`{c}` {types[c].simpleString()}" for c in columns) + ", missing int",
+        f"viewers array<{types['viewer_id'].simpleString()}>, newest array<bigint>, due array<bigint>",
+        "append", GroupStateTimeout.EventTimeTimeout,
     )
+    return kept.select(*[
+        F.when(F.col("missing").bitwiseAND(F.lit(1 << gaps.index(c))) == 0, F.col(c)).alias(c) if c in gaps else c for c in columns
+    ])
 
 
 def dedupe_stream(requests: DataFrame, lateness: str = "5 minutes", idle: str = "1 day") -> DataFrame:

@@ -86,6 +86,21 @@ def test_silent_viewers_are_forgotten(spark, folder):
     assert got == [(1,), (3,), (5,), (7,), (9,), (10,), (11,), (13,)]
 
 
+def test_many_viewers_share_states_and_keep_missing_values(spark, folder):
+    """A call of Python serves a bucket of viewers; 2^53 + 1 and missing numbers come through unchanged."""
+    big = 2**53 + 1
+    step = lambda n: [(None if v == 0 else f"v{v}", 1000 * n + v, START + timedelta(seconds=n), v % 3 if n == 1 else 1,
+                       None if v % 7 == 0 else big, 0, None if v % 5 == 0 else v, 0) for v in range(600)]
+    stream = feed(spark, folder, REQUEST, step(1), step(2))
+    query = sinks.to_table(SV.drop_stale_generations(stream, buckets=8), f"{folder}/out", f"{folder}/checkpoint")
+    sinks.run_bounded(query)
+    assert 0 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 9
+    got = spark.read.parquet(f"{folder}/out")
+    want = [r for r in step(1)] + [r for r in step(2) if r[1] % 1000 % 3 < 2]
+    pick = lambda r: (r[1], r[0] or "", r[3], -1 if r[4] is None else r[4], -1 if r[6] is None else r[6])
+    assert sorted(pick(tuple(r)) for r in got.select(*[c.split()[0] for c in REQUEST.split(", ")]).collect()) == sorted(map(pick, want))
+
+
 EDIT = ("slide_id bigint, seq bigint, op string, annotation_id string, group string, type string, "
         "coordinates array<struct<x:double,y:double>>, label string, color string")
 
