@@ -213,23 +213,40 @@ def _bands(classes: DataFrame, percent: int) -> DataFrame:
     return classes.select("rep", F.posexplode(keys).alias("band", "key"))
 
 
-def _across(bands: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def _spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of the pairs that hold together what all pairs hold together, heaviest first; fewer than there are nodes."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    kept = []
+    order = np.argsort(-weight, kind="stable")
+    for i, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist()):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[x] = y
+            kept.append(i)
+    return np.array(kept, np.int64)
+
+
+def _across(shared: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, likely: bool) -> DataFrame:
     """Plausible pairs of one bucket that are not in one component yet and were not compared with the bucket's first member.
 
-    A pair that shares several bands is looked at in the first of them alone.
+    A pair that shares several bands is looked at in the first of them alone.  With ``likely``, only pairs that seem
+    similar enough, and of these as few from a block as hold its components together.
     """
-    labelled = bands.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn(
+    labelled = shared.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn(
         "label", F.coalesce("root", "rep")
     )
-    open_ = labelled.groupBy("key").agg(
-        F.min("label").alias("_low"), F.max("label").alias("_high"), F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")
-    ).filter((F.col("_low") < F.col("_high")) & (F.col("members") > 2)).select("key", "hub", "members")
+    open_ = labelled.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low < _high").select("key")
     least = least_equal(percent)
     parts = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     met = (
-        labelled.select("rep", "band", "key", "label")
+        labelled.filter("members > 2 AND rep <> hub")
         .join(open_, "key")
-        .filter("rep <> hub")
         .withColumn("_parts", parts)
         .withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("_parts")).cast("int"))
         # A member meets its own and every other block once: (low, high) names the pair of blocks.
@@ -263,12 +280,20 @@ def _across(bands: DataFrame, classes: DataFrame, roots: DataFrame, percent: int
             before = (regs[left, : BAND * band] == regs[right, : BAND * band]).reshape(-1, band, BAND)
             new = ~before.all(axis=2).any(axis=1)
             left, right = left[new], right[new]
-        kept = np.zeros(len(left), bool)
+        kept, equal = np.zeros(len(left), bool), np.zeros(len(left), np.int64)
         for at in range(0, len(left), 1 << 14):  # likelihoods of many pairs at once
             x, y = left[at : at + (1 << 14)], right[at : at + (1 << 14)]
-            kept[at : at + (1 << 14)] = plausible(n[x], n[y], *_counts(regs[x], regs[y]), percent)
+            above, below = _counts(regs[x], regs[y])
+            equal[at : at + (1 << 14)] = REGISTERS - above - below
+            kept[at : at + (1 << 14)] = plausible(n[x], n[y], above, below, percent)
+        left, right, equal = left[kept], right[kept], equal[kept]
+        if likely:
+            near = equal >= REGISTERS * _equal_share(percent)
+            left, right, equal = left[near], right[near], equal[near]
+            forest = _spanning(label[left], label[right], equal)
+            left, right = left[forest], right[forest]
         release_memory()
-        return pd.DataFrame({"a": rep[left[kept]], "b": rep[right[kept]]})
+        return pd.DataFrame({"a": rep[left], "b": rep[right]})
 
     # Comparing is work on few bytes, so it is spread by count and not by size.
     spread = met.repartition(4 * shuffle_width(met), "key", "low", "high")
@@ -299,14 +324,19 @@ def near_duplicates(docs: DataFrame | None = None, packed: DataFrame | None = No
     )
     bands = _bands(classes, percent)
     hubs = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    pairs = bands.join(hubs, "key").filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    # Most keys have one member; only shared ones go on.
+    shared = cut_lineage(bands.join(hubs, "key"))
+    pairs = shared.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     links = cut_lineage(_confirm(cut_lineage(_filter_pairs(pairs, classes, percent)), packed, percent))
     roots = merge_labels(links)
-    more = cut_lineage(_across(bands, classes, roots, percent))
-    if not more.isEmpty():
-        found = cut_lineage(_confirm(more, packed, percent))
-        if not found.isEmpty():
-            roots = merge_labels(links.unionByName(found))
+    # What the likely pairs link need not meet again in all pairs of a crowded bucket.
+    for likely in (True, False):
+        more = cut_lineage(_across(shared, classes, roots, percent, likely))
+        if not more.isEmpty():
+            found = cut_lineage(_confirm(more, packed, percent))
+            if not found.isEmpty():
+                links = links.unionByName(found)
+                roots = merge_labels(links)
     placed = classes.select("digest", "rep", "least_id", "front", "n_same").join(
         roots.select(F.col("node").alias("rep"), "root"), "rep", "left"
     ).withColumn("root", F.coalesce("root", "rep"))

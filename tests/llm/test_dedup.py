@@ -4,9 +4,12 @@ import random
 import numpy as np
 import pytest
 from brute import components, repeated_bytes, repeated_words
+from pyspark.sql import functions as F
 
 from slidelake.llm import runindex, setsketch, superkmers
 from slidelake.llm.batches import pack
+from slidelake.operators.skew import shuffled
+from slidelake.sources.tilestore import payload_moves
 
 
 def edited(text, seed, share):
@@ -182,3 +185,24 @@ def test_cutting_windows_holds_little_beside_the_batch():
     tracemalloc.stop()
     assert int(found["windows"].sum()) == (len(edges) - 1) * (4096 - 255)
     assert peak < 64 << 20
+
+
+def test_packed_texts_stay_where_they_are(spark, documents, prose):
+    packed = pack(documents([(i, prose(i, 50), "en", "a") for i in range(20)]))
+    told = packed.groupBy("batch").agg(F.collect_list("rows").alias("told"))
+    for how in ("inner", "left"):
+        joined = packed.select("batch", "payload").join(shuffled(told), "batch", how)
+        assert payload_moves(joined, "payload") == []
+        assert joined.agg(F.sum(F.get("told", F.lit(0)))).first()[0] == 20
+
+
+def test_a_crowded_block_sends_no_more_pairs_than_members():
+    a, b = (x.ravel() for x in np.triu_indices(300, 1))
+    weight = (a * 7919 + b * 104729) % 1000
+    kept = setsketch._spanning(a, b, weight)
+    assert len(kept) == 299
+    near = {0}
+    for _ in range(300):
+        near |= {y for x, y in [*zip(a[kept].tolist(), b[kept].tolist()), *zip(b[kept].tolist(), a[kept].tolist())] if x in near}
+    assert near == set(range(300))
+    assert weight[kept].min() > np.median(weight)
