@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Pixels that go back to Spark at once; small images share a batch.
+FLUSH_BYTES = 32 << 20
+
 
 def read_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Decode image files to raw RGB rows; gray is repeated, a fourth band dropped.
@@ -21,10 +24,17 @@ def read_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     def to_rgb(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            out, held = [], 0
             for im in pdf.itertuples(index=False):
                 px = np.frombuffer(im.data, np.uint8).reshape(im.height, im.width, im.bands)
                 rgb = np.repeat(px, 3, axis=2) if im.bands == 1 else px[:, :, 2::-1]
-                yield pd.DataFrame([(im.path, im.width, im.height, rgb.tobytes())], columns=names)
+                out.append((im.path, im.width, im.height, rgb.tobytes()))
+                held += rgb.size
+                if held > FLUSH_BYTES:
+                    yield pd.DataFrame(out, columns=names)
+                    out, held = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=names)
 
     decoded = spark.read.format("image").option("dropInvalid", "false").load(path)
     bad = F.col("image.height") <= 0
