@@ -182,13 +182,16 @@ def label_components(mask_tiles: DataFrame, tile_size: int) -> DataFrame:
 
     def pixels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            found = []
             for t in pdf.itertuples(index=False):
                 labels = np.frombuffer(t.labels, np.int64).reshape(t.height, t.width)
                 ys, xs = np.nonzero(labels >= 0)
-                yield pd.DataFrame({
-                    "slide_id": t.slide_id, "x": xs + t.col * tile_size, "y": ys + t.row * tile_size,
-                    "label": labels[ys, xs],
-                })
+                found.append((xs + t.col * tile_size, ys + t.row * tile_size, labels[ys, xs]))
+            x, y, label = map(np.concatenate, zip(*found)) if found else [np.zeros(0, np.int64)] * 3
+            slide = pdf["slide_id"].repeat([len(c) for c, *_ in found])
+            for a in range(0, len(x), 1 << 20):  # a row per pixel, some at a time
+                at = slice(a, a + (1 << 20))
+                yield pd.DataFrame({"slide_id": slide.iloc[at].to_numpy(), "x": x[at], "y": y[at], "label": label[at]})
 
     return label_tiles(mask_tiles, tile_size).mapInPandas(
         pixels, f"slide_id {sid}, x bigint, y bigint, label bigint"

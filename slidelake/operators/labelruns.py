@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from slidelake.operators.cells import pick_types
 from slidelake.operators.components import label_tiles
 from slidelake.operators.skew import salted_join
+from slidelake.session import cut_lineage
 
 PLACE = ["slide_id", "col", "row"]
 RUNS = ["starts", "lengths", "vals"]
@@ -93,23 +94,26 @@ def _tile_sums(runs: DataFrame) -> DataFrame:
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for t in pdf.itertuples(index=False):
-                if not len(t.starts):
-                    continue
-                starts, n, vals = np.asarray(t.starts), np.asarray(t.lengths, np.int64), np.asarray(t.vals)
-                y, x = starts >> 32, starts & _LOW
-                order = np.argsort(vals, kind="stable")
-                label, first = np.unique(vals[order], return_index=True)
-                add = lambda v: np.add.reduceat(v[order], first)
-                low = lambda v: np.minimum.reduceat(v[order], first)
-                high = lambda v: np.maximum.reduceat(v[order], first)
-                box = low(y), high(y) + 1, low(x), high(x + n)
-                # Edges as far as this tile reaches, so ragged tiles count too.
-                top, left = t.row * t.size, t.col * t.size
-                edge = (box[0] == top) | (box[1] == top + t.height) | (box[2] == left) | (box[3] == left + t.width)
-                yield pd.DataFrame(dict(zip(names, (
-                    t.slide_id, t.col, t.row, label, add(n), *box, add(n * x + n * (n - 1) // 2), add(n * y), edge,
-                ))))
+            tile = np.repeat(np.arange(len(pdf)), pdf["starts"].map(len).to_numpy(np.int64))
+            if not len(tile):
+                continue
+            starts, n, vals = (np.concatenate(pdf[c].to_numpy()).astype(np.int64) for c in RUNS)
+            y, x = starts >> 32, starts & _LOW
+            order = np.lexsort((vals, tile))
+            tile, label = tile[order], vals[order]
+            first = np.flatnonzero(np.concatenate(([True], (tile[1:] != tile[:-1]) | (label[1:] != label[:-1]))))
+            add = lambda v: np.add.reduceat(v[order], first)
+            low = lambda v: np.minimum.reduceat(v[order], first)
+            high = lambda v: np.maximum.reduceat(v[order], first)
+            box = low(y), high(y) + 1, low(x), high(x + n)
+            own = pdf.iloc[tile[first]]
+            col, row, width, height, size = (own[c].to_numpy(np.int64) for c in ("col", "row", "width", "height", "size"))
+            # Edges as far as this tile reaches, so ragged tiles count too.
+            top, left = row * size, col * size
+            edge = (box[0] == top) | (box[1] == top + height) | (box[2] == left) | (box[3] == left + width)
+            yield pd.DataFrame(dict(zip(names, (
+                own["slide_id"].to_numpy(), col, row, label[first], add(n), *box, add(n * x + n * (n - 1) // 2), add(n * y), edge,
+            ))))
 
     return runs.mapInPandas(
         sums,
@@ -142,7 +146,9 @@ def remove_small_runs(runs: DataFrame, tile_size: int, min_size: int = 10) -> Da
     """
     if min_size <= 0:
         return runs
-    counted = _tile_sums(_sized(runs, tile_size)).filter("at_edge").select(*PLACE, "label", "n")
+    # Runs are counted and then thinned out: written once, so that they are made once.
+    runs = cut_lineage(runs.select(*PLACE, "width", "height", *RUNS))
+    counted = cut_lineage(_tile_sums(_sized(runs, tile_size)).filter("at_edge").select(*PLACE, "label", "n"))
     small = counted.groupBy("slide_id", "label").agg(F.sum("n").alias("total")).filter(F.col("total") < min_size)
     drops = (
         salted_join(counted.filter(F.col("n") < min_size), small.drop("total"), ["slide_id", "label"])
@@ -193,10 +199,14 @@ def overlap_counts(runs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for t in pdf.itertuples(index=False):
-                if len(t.starts) and len(t.other_starts):
-                    label, kind, n = _overlaps(*[np.asarray(c, np.int64) for c in t[3:]])
-                    yield pd.DataFrame({"slide_id": t.slide_id, "label": label, "type": kind, "n": n})
+            found = [
+                (t.slide_id, *_overlaps(*[np.asarray(c, np.int64) for c in t[3:]]))
+                for t in pdf.itertuples(index=False) if len(t.starts) and len(t.other_starts)
+            ]
+            if found:
+                slide, *sums = zip(*found)
+                label, kind, n = map(np.concatenate, sums)
+                yield pd.DataFrame({"slide_id": np.repeat(slide, [len(c) for c in sums[0]]), "label": label, "type": kind, "n": n})
 
     parts = met.mapInPandas(count, f"{_sid(runs)}, label bigint, type bigint, n bigint")
     return parts.groupBy("slide_id", "label", "type").agg(F.sum("n").alias("n"))

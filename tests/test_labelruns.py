@@ -82,3 +82,8 @@ def test_tiles_without_payload_and_without_partner(spark):
     assert rows(R.run_pixels(runs), "slide_id", "x", "label") == [("a", 0, 5), ("a", 1, 5), ("b", 1, 7)]
     assert rows(R.overlap_counts(runs, classes), "slide_id", "label", "type", "n") == [("a", 5, 3, 1), ("a", 5, 4, 1)]
     assert R.run_types(runs.limit(0), classes).count() == 0 and R.remove_small_runs(runs.limit(0), 2).count() == 0
+
+
+def test_runs_are_made_once_before_small_ones_go(images, runs):
+    thinned = R.remove_small_runs(runs, 8, 5)
+    assert thinned._jdf.queryExecution().sparkPlan().toString().count("MapInPandas") == 1
