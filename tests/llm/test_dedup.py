@@ -145,6 +145,20 @@ def test_matching_statistics_equal_brute_force():
     assert index.runs < len(text)
 
 
+def test_suffixes_are_sorted_as_numbers(monkeypatch):
+    """Sorting places by their keys took most of the index's time; equal suffixes still follow text order."""
+    draw = np.random.default_rng(6)
+    for letters, sizes in ((1, [40, 40, 7]), (2, [300, 1, 300]), (60, [500, 20]), (256, [700])):
+        parts = [draw.integers(0, letters, k).astype(np.uint8) for k in sizes]
+        parts.append(parts[0][3:])
+        lengths = np.array([len(p) for p in parts])
+        with monkeypatch.context() as patch:
+            patch.delattr(np, "argsort")
+            got = runindex.RunIndex(np.concatenate(parts), lengths)._sort()
+        suffixes = [(p[i:].tobytes(), at + i) for p, at in zip(parts, np.cumsum(lengths) - lengths) for i in range(len(p))]
+        assert got.tolist() == [at for _, at in sorted(suffixes)]
+
+
 @pytest.mark.parametrize("operator", [
     lambda d: setsketch.near_duplicates(d), lambda d: superkmers.remove_repeats(d), lambda d: runindex.remove_repeats(d),
     lambda d: runindex.strip_repeats(d), lambda d: setsketch.drop_copies(d),
