@@ -232,29 +232,53 @@ def _spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def _across(shared: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, likely: bool) -> DataFrame:
-    """Plausible pairs of one bucket that are not in one component yet and were not compared with the bucket's first member.
+def _blocks(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(rep, band, key, label, mine, low, high)``: pairs of blocks in which the members of open buckets meet.
 
-    A pair that shares several bands is looked at in the first of them alone.  With ``likely``, only pairs that seem
-    similar enough, and of these as few from a block as hold its components together.
+    A bucket is open if it spans several components.  A crowded one is cut into blocks, those of its largest
+    component apart from the others: its members need not meet each other, so only members outside it are copied.
     """
-    labelled = shared.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn(
-        "label", F.coalesce("root", "rep")
-    )
+    labelled = _labelled(shared.filter("members > 2 AND rep <> hub"), roots)
     open_ = labelled.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low < _high").select("key")
-    least = least_equal(percent)
-    parts = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    met = (
-        labelled.filter("members > 2 AND rep <> hub")
-        .join(open_, "key")
-        .withColumn("_parts", parts)
-        .withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("_parts")).cast("int"))
+    sizes = labelled.filter(F.col("members") > BLOCK).groupBy("key", "label").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.groupBy("key").agg(F.max_by("label", F.struct("_n", "label")).alias("_main"), F.max("_n").alias("_inside"))
+    parts = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    inside = F.coalesce(F.col("label") == F.col("_main"), F.lit(False))
+    place = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    return (
+        labelled.join(open_, "key")
+        .join(sizes, "key", "left")
+        .withColumn("_outer", F.greatest(parts(F.col("members") - F.coalesce("_inside", F.lit(0))), F.lit(1)))
+        .withColumn("_inner", parts(F.coalesce("_inside", F.lit(0))))
+        .withColumn("mine", F.when(inside, F.col("_outer") + place(F.col("_inner"))).otherwise(place(F.col("_outer"))))
         # A member meets its own and every other block once: (low, high) names the pair of blocks.
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("_outer") - 1).otherwise(F.col("_outer") + F.col("_inner") - 1))))
         .select("rep", "band", "key", "label", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
-        .join(classes.select("rep", "n", "regs"), "rep")
     )
 
+
+def _blocks_left(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """As ``_blocks``, of the members that the likely round left with plausible pairs."""
+    return _labelled(found.filter("rep IS NOT NULL").drop("a", "b"), roots)
+
+
+def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("label", F.coalesce("root", "rep"))
+
+
+_FOUND = "a bigint, b bigint, rep bigint, band int, key bigint, mine int, low int, high int"
+
+
+def _across(met: DataFrame, classes: DataFrame, percent: int, likely: bool) -> DataFrame:
+    """Plausible pairs of one bucket that are not in one component yet and were not compared with the bucket's first member.
+
+    A pair that shares several bands is looked at in the first of them alone.  With ``likely``, only pairs that seem
+    similar enough, and of these as few from a block as hold its components together; rows with ``rep`` then
+    name the members of all other plausible pairs of a block, so that nothing else has to meet again.
+    """
+    least = least_equal(percent)
+    met = met.select("rep", "band", "key", "label", "mine", "low", "high").join(classes.select("rep", "n", "regs"), "rep")
+
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("rep")
         rep, label, mine, n, regs = (f[c].to_numpy() for c in ("rep", "label", "mine", "n", "regs"))
@@ -287,17 +311,22 @@ def _across(shared: DataFrame, classes: DataFrame, roots: DataFrame, percent: in
             equal[at : at + (1 << 14)] = REGISTERS - above - below
             kept[at : at + (1 << 14)] = plausible(n[x], n[y], above, below, percent)
         left, right, equal = left[kept], right[kept], equal[kept]
+        out = []
         if likely:
-            near = equal >= REGISTERS * _equal_share(percent)
-            left, right, equal = left[near], right[near], equal[near]
-            forest = _spanning(label[left], label[right], equal)
+            near = np.flatnonzero(equal >= REGISTERS * _equal_share(percent))
+            forest = near[_spanning(label[left[near]], label[right[near]], equal[near])]
+            later = np.setdiff1d(np.arange(len(left)), forest)
+            at = np.unique(np.concatenate((left[later], right[later])))
+            out.append(f.iloc[at][["rep", "band", "key", "mine", "low", "high"]])
             left, right = left[forest], right[forest]
+        out.append(pd.DataFrame({"a": rep[left], "b": rep[right]}))
         release_memory()
-        return pd.DataFrame({"a": rep[left], "b": rep[right]})
+        return pd.concat([x.astype("Int64") for x in out]).reindex(columns=names).astype("Int64")
 
+    names = [c.split()[0] for c in _FOUND.split(", ")]
     # Comparing is work on few bytes, so it is spread by count and not by size.
     spread = met.repartition(4 * shuffle_width(met), "key", "low", "high")
-    return spread.groupBy("key", "low", "high").applyInPandas(run, "a bigint, b bigint").distinct()
+    return spread.groupBy("key", "low", "high").applyInPandas(run, _FOUND)
 
 
 def near_duplicates(docs: DataFrame | None = None, packed: DataFrame | None = None, percent: int = PERCENT) -> DataFrame:
@@ -329,14 +358,17 @@ def near_duplicates(docs: DataFrame | None = None, packed: DataFrame | None = No
     pairs = shared.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     links = cut_lineage(_confirm(cut_lineage(_filter_pairs(pairs, classes, percent)), packed, percent))
     roots = merge_labels(links)
-    # What the likely pairs link need not meet again in all pairs of a crowded bucket.
+    # What the likely pairs link need not meet again, nor do members without another plausible pair.
+    met = _blocks(shared, roots)
     for likely in (True, False):
-        more = cut_lineage(_across(shared, classes, roots, percent, likely))
+        found = cut_lineage(_across(met, classes, percent, likely))
+        more = cut_lineage(found.filter("a IS NOT NULL").select("a", "b").distinct())
         if not more.isEmpty():
-            found = cut_lineage(_confirm(more, packed, percent))
-            if not found.isEmpty():
-                links = links.unionByName(found)
+            new = cut_lineage(_confirm(more, packed, percent))
+            if not new.isEmpty():
+                links = links.unionByName(new)
                 roots = merge_labels(links)
+        met = _blocks_left(found, roots)
     placed = classes.select("digest", "rep", "least_id", "front", "n_same").join(
         roots.select(F.col("node").alias("rep"), "root"), "rep", "left"
     ).withColumn("root", F.coalesce("root", "rep"))

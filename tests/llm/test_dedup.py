@@ -71,6 +71,28 @@ def test_pairs_across_the_first_member_are_found(spark, documents, prose):
     assert got == dict(enumerate(roots))
 
 
+def test_linked_members_of_a_crowded_bucket_are_not_copied(spark, monkeypatch):
+    """Only what lies outside a bucket's largest component meets every block; it was each member before."""
+    monkeypatch.setattr(setsketch, "BLOCK", 10)
+    rows = [(r, 0, 5, 0, 400) for r in range(400)] + [(1000 + r, 1, 6, 1000, 40) for r in range(40)]
+    shared = spark.createDataFrame(rows, "rep bigint, band int, key bigint, hub bigint, members bigint")
+    # Of the first bucket all but six are linked; of the second all are.
+    roots = spark.createDataFrame([(r, 0) for r in range(394)] + [(1000 + r, 1000) for r in range(40)], "node bigint, root bigint")
+    met = setsketch._blocks(shared, roots).toPandas()
+    assert set(met["key"]) == {5} and len(met) <= 394 + 6 * 41
+    for outer in range(394, 400):
+        blocks = met[met["rep"] == outer][["low", "high"]].merge(met, on=["low", "high"])
+        assert set(blocks["rep"]) == set(range(1, 400))
+
+
+def test_components_do_not_depend_on_the_size_of_blocks(spark, documents, prose, monkeypatch):
+    base = prose(9, 300)
+    rows = [(i, edited(base, i, 0.004 + 0.002 * (i % 12)), "en", "a") for i in range(60)]
+    roots, _ = components([r[1] for r in rows])
+    monkeypatch.setattr(setsketch, "BLOCK", 7)
+    assert {r.doc_id: r.component_id for r in setsketch.near_duplicates(documents(rows)).collect()} == dict(enumerate(roots))
+
+
 def test_sketches_merge_and_estimate():
     draw = np.random.default_rng(3)
     a, b = (draw.integers(0, 2**64, 900, np.uint64) for _ in range(2))
