@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from slidelake.sources import packs, projects
 from slidelake.sources import slides as sources
+from slidelake.sources.files import pyramid_documents, pyramid_listing
 from slidelake.sources.images import read_images
 
 
@@ -67,6 +68,38 @@ def test_metadata_documents(spark, folder):
     assert rows(levels2, "slide_id", "level", "mpp") == rows(levels, "slide_id", "level", "mpp")
 
 
+def test_metadata_folders_of_any_name(spark, folder):
+    names = ["a b", "50%", "x/y", "1+1", "ü", "k=v", "plain"]
+    row = spark.createDataFrame([(n, json.dumps(META)) for n in names], "slide_id string, document string")
+    slides, levels, _ = sources.slides_from_documents(row.withColumn("path", F.col("slide_id")))
+    sources.write_slides(slides, levels, f"{folder}/store")
+    tops = os.listdir(f"{folder}/store")
+    assert len(tops) > 1 and all(t.startswith("group=") for t in tops)  # no folder holds all slides
+    found, found_levels, rejects = sources.read_slides(spark, f"file:{folder}/store")
+    assert rows(found, "slide_id") == sorted((n,) for n in names) and found_levels.count() == 2 * len(names) and rejects.count() == 0
+    sources.write_slides(slides.filter("slide_id = 'plain'"), levels, f"{folder}/store")
+    assert rows(sources.read_slides(spark, f"{folder}/store")[0], "slide_id") == [("plain",)]
+
+
+def test_metadata_of_flat_folders_and_files(spark, folder):
+    for place in ("slide_id=s/part-0.txt", "own.json", "_part=1/slide_id=t/a.txt", "slide_id=u/_SUCCESS", "slide_id=v/.a.crc", "plain/metadata.json"):
+        touch(f"{folder}/store/{place}", json.dumps(META).encode())
+    touch(f"{folder}/store/slide_id=w/empty.txt")
+    assert rows(sources.read_slides(spark, f"{folder}/store")[0], "slide_id") == [("s",), ("store",)]
+    assert rows(sources.read_slides(spark, f"{folder}/store/own.json")[0], "slide_id") == [("store",)]
+
+
+def test_listing_of_empty_files_and_folders(spark, folder):
+    touch(f"{folder}/a/tiles/level_0.pack")
+    touch(f"{folder}/a/metadata.json", b"{}")
+    touch(f"{folder}/_staging-1/x", b"1")
+    os.makedirs(f"{folder}/b")
+    listing = pyramid_listing(spark, folder)
+    assert rows(listing, "slide_id", "rel_path") == [("a", ""), ("a", "metadata.json"), ("a", "tiles"), ("a", "tiles/level_0.pack"), ("b", "")]
+    assert rows(pyramid_documents(listing, folder), "slide_id", "document") == [("a", "{}")]
+    assert pyramid_listing(spark, f"{folder}/none").count() == 0
+
+
 def test_pack_store_round_trip(spark, folder):
     tiles = spark.createDataFrame([("s", 0, 0, 0, b"aaaa"), ("s", 1, 0, 0, b"level one")], "slide_id string, level int, col int, row int, data binary")
     levels = spark.createDataFrame([("s", 0, 2, 1), ("s", 1, 1, 1), ("t", 0, 1, 1)], "slide_id string, level int, cols int, rows int")
