@@ -21,6 +21,7 @@ from slidelake.session import cut_lineage
 from slidelake.sources.tilestore import wanted_tiles, with_slide_columns
 
 TILE = ["slide_id", "level", "col", "row"]
+_FRAME_BYTES = 16 << 20
 
 
 def _sid(df: DataFrame) -> str:
@@ -42,18 +43,23 @@ def cut_tiles(images: DataFrame, tile_size: int = S.TILE_SIZE) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            out, held = [], 0  # a frame may hold many small images, or part of a big one
             for im in pdf.itertuples(index=False):
                 if im.y_offset % tile_size:
                     raise ValueError("strip offsets must be multiples of the tile size")
                 pixels = np.frombuffer(im.rgb, np.uint8).reshape(im.height, im.width, 3)
                 first_row = im.y_offset // tile_size
                 for y in range(0, im.height, tile_size):
-                    out = []
                     for x in range(0, im.width, tile_size):
                         part = pixels[y:y + tile_size, x:x + tile_size]
                         out.append((im.slide_id, im.level, x // tile_size, first_row + y // tile_size,
                                     part.shape[1], part.shape[0], part.tobytes()))
-                    yield pd.DataFrame(out, columns=names)
+                    held += 3 * im.width * min(tile_size, im.height - y)
+                    if held > _FRAME_BYTES:
+                        yield pd.DataFrame(out, columns=names)
+                        out, held = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=names)
 
     return strips.select("slide_id", "level", "width", "height", "y_offset", "rgb").mapInPandas(
         cut, _tile_schema(images)
@@ -179,6 +185,7 @@ def axis_weights(target: int, source: int, factor: float, kernel: str) -> tuple[
         last = min(source - 1, int(np.floor(center + 3 * stretch)))
         at = np.arange(first, last + 1)
         weights = _lanczos((at - center) / stretch)
+        weights[np.abs(weights) < 1e-12] = 0.0  # zeros of the kernel but for float noise: such taps feed nothing
     else:
         raise ValueError("kernel is 'lanczos3' or 'box'")
     return first, weights / weights.sum()

@@ -22,8 +22,8 @@ from slidelake.plans.bridge import PIXEL_HEIGHT, PIXEL_TILE, PIXEL_WIDTH, Bridge
 from slidelake.plans.catalog_viewports import pixel_sums, place_sums
 from slidelake.plans.pipelines import analyze_regions, build_job
 from slidelake.plans.registry import query
-from slidelake.session import local_path, scratch_path
-from slidelake.sources.files import pyramid_listing
+from slidelake.session import cut_lineage, local_path, scratch_path
+from slidelake.sources.files import pyramid_documents, pyramid_listing
 from slidelake.sources.images import read_images
 from slidelake.sources.packs import read_tile_index
 from slidelake.sources.tilestore import write_tile_store
@@ -218,10 +218,8 @@ def _built(b: Bridge, images: DataFrame, encode) -> DataFrame:
     slides = _sources(b)
     results = build_job(images, slides, root, tile_size=T, encode=encode)
     named = slides.select(F.col("slide_id").cast("string").alias("slide_id"))
-    documents = b.spark.read.schema("value string").text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="metadata.json").select(
-        F.element_at(F.split("_metadata.file_path", "/"), -2).alias("slide_id"), F.col("value").alias("document")
-    )
-    state = pyramid_status(named, pyramid_listing(b.spark, root), documents)
+    listing = cut_lineage(pyramid_listing(b.spark, root))
+    state = pyramid_status(named, listing, pyramid_documents(listing, root))
     stored = read_tile_index(b.spark, root)[0].filter("length > 0").groupBy("slide_id").agg(F.count(F.lit(1)).cast("int").alias("tiles"))
     return results.withColumn("slide_id", F.col("slide_id").cast("string")).join(state, "slide_id").join(
         stored.withColumn("slide_id", F.col("slide_id").cast("string")), "slide_id", "left"

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from slidelake.operators import status as B
 from slidelake.operators.pyramid import pyramid_status
+from slidelake.operators.skew import shuffled
 from slidelake.plans.bridge import DERIVED, Bridge, oracle
 from slidelake.plans.pipelines import build_job
 from slidelake.plans.registry import query
-from slidelake.session import scratch_path
-from slidelake.sources.files import pyramid_listing
+from slidelake.session import cut_lineage, scratch_path
+from slidelake.sources.files import pyramid_documents, pyramid_listing
 from slidelake.streaming import sinks, state
 from slidelake.streaming import viewports as SV
 
@@ -156,11 +157,9 @@ def _(b: Bridge) -> DataFrame:
     arrivals = state.listing_stream(b.spark, root, per_trigger=max(10, files.count() // 3))
     sinks.run_bounded(state.ingest_stream(arrivals, root + "-catalog", root + "-checkpoint", build))
     done = b.spark.read.parquet(root + "-catalog").select(F.col("slide_id").cast("string").alias("slide_id"), "pyramid", "status")
-    documents = b.spark.read.schema("value string").text(built, wholetext=True, recursiveFileLookup=True, pathGlobFilter="metadata.json").select(
-        F.element_at(F.split("_metadata.file_path", "/"), -2).alias("slide_id"), F.col("value").alias("document")
-    )
-    found = pyramid_status(done.select("slide_id"), pyramid_listing(b.spark, built), documents)
-    return done.join(found.select("slide_id", F.col("status").alias("state")), "slide_id").select("pyramid", "status", "state")
+    listing = cut_lineage(pyramid_listing(b.spark, built))
+    found = pyramid_status(done.select("slide_id"), listing, pyramid_documents(listing, built))
+    return done.join(shuffled(found.select("slide_id", F.col("status").alias("state"))), "slide_id").select("pyramid", "status", "state")
 
 
 STEPS = 5

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,11 +19,24 @@ def to_table(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def run_bounded(query: StreamingQuery, timeout: int = 600) -> None:
-    """Wait for an available-now query; a query that never ends is an error."""
+def run_bounded(query: StreamingQuery, timeout: float = 600) -> None:
+    """Wait for an available-now query, however much there is to do; one that gets no further for ``timeout`` seconds is an error."""
+    tracker = query._jsq.sparkSession().sparkContext().statusTracker()
+
+    def progress() -> tuple:
+        stages = [tracker.getStageInfo(i) for i in tracker.getActiveStageIds()]
+        tasks = sorted((s.get().stageId(), s.get().numCompletedTasks()) for s in stages if s.isDefined())
+        last = query.lastProgress
+        return last and last["batchId"], tasks
+
     try:
-        if not query.awaitTermination(timeout):
-            raise TimeoutError("stream did not finish in time")
+        seen, since = None, time.monotonic()
+        while not query.awaitTermination(min(timeout, 5)):
+            now = progress()
+            if now != seen:
+                seen, since = now, time.monotonic()
+            elif time.monotonic() - since >= timeout:
+                raise TimeoutError(f"stream got no further for {timeout} s: {query.status['message']}")
     finally:
         query.stop()
 

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from slidelake.functions import slide_id
 from slidelake.operators.annotations import fold_log, merge_folds, resolve_state
 from slidelake.operators.pyramid import plan_batch, pyramid_name
+from slidelake.session import cut_lineage
 from slidelake.sources.slides import slide_files
 from slidelake.streaming.folded import FoldedTable, to_folded
 
@@ -90,7 +91,11 @@ def ingest_stream(
         # Files of one stem share a pyramid; the first path stands for them.
         found = named.groupBy("slide_id", "pyramid").agg(F.min("path").alias("path"))
         status = _built(spark, catalog, batch_id)
+        # Written once: a build reads its plan many times, and the batch's files would be listed for each.
+        # The number of files is stated, since a build's work is not in the bytes of its plan.
+        width = int(spark.conf.get("spark.sql.shuffle.partitions"))
         plan = plan_batch(found, status, force, native).filter(F.col("action") == "build")
+        plan = cut_lineage(plan.repartition(width, "slide_id"))
         result = plan if build is None else build(plan)
         result.write.mode("overwrite").parquet(f"{catalog}/batch_id={batch_id}")
 

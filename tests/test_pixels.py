@@ -120,3 +120,17 @@ def test_thumbnail_picks_the_cheapest_adequate_level(spark):
     assert np.abs(got - expected).max() <= 0.5 + 1e-6
     # A slide smaller than the limit keeps its size.
     assert X.thumbnail_sizes(s, levels, 1024).select("level", "out_width", "out_height").first() == (3, 64, 48)
+
+
+def test_zeros_of_the_kernel_feed_nothing():
+    first, weights = X.axis_weights(5, 20, 1.0, "lanczos3")
+    assert first + np.flatnonzero(weights) == [5] and weights.max() == 1.0
+
+
+def test_frames_of_many_small_images_and_of_parts_of_big_ones(spark, monkeypatch):
+    small = [(i, 0, 3, 2, bytes(range(i, i + 18))) for i in range(50)]
+    images = spark.createDataFrame(small, "slide_id bigint, level int, width int, height int, rgb binary").coalesce(1)
+    whole = rows(X.cut_tiles(images, 2), "slide_id", "col", "row", "width", "rgb")
+    assert len(whole) == 100 and whole[1] == (0, 1, 0, 1, bytes([6, 7, 8, 15, 16, 17]))
+    monkeypatch.setattr(X, "_FRAME_BYTES", 20)
+    assert rows(X.cut_tiles(images, 2), "slide_id", "col", "row", "width", "rgb") == whole

@@ -2,6 +2,7 @@ import os
 import time
 from datetime import datetime, timedelta
 
+import pytest
 from compare import rows
 from pyspark.sql import functions as F
 
@@ -210,3 +211,35 @@ def test_arrivals_are_built_once(spark, folder):
     arrive("a.svs", "b.tif", "notes.txt")
     arrive("a.tiff", "c.NDPI")
     assert rows(spark.read.parquet(f"{folder}/catalog"), "batch_id", "pyramid") == [(0, "a.pyramid"), (0, "b.pyramid"), (1, "c.pyramid")]
+
+
+def test_long_streams_are_no_error_and_stuck_ones_are(spark, folder):
+    for i in range(4):
+        spark.range(1).coalesce(1).write.parquet(f"{folder}/in/{i}")
+    stream = spark.readStream.schema("id bigint").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+
+    def started(name, wait):
+        return stream.writeStream.foreachBatch(lambda batch, n: time.sleep(wait)).option(
+            "checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
+
+    query = started("long", 4)
+    sinks.run_bounded(query, timeout=10)
+    assert len(query.recentProgress) == 4
+    with pytest.raises(TimeoutError, match="no further"):
+        sinks.run_bounded(started("stuck", 25), timeout=8)
+
+
+def test_a_build_reads_its_plan_not_the_arrivals(spark, folder):
+    os.makedirs(f"{folder}/in")
+    for n in ("a.svs", "b.tif"):
+        with open(f"{folder}/in/{n}", "w") as out:
+            out.write("x")
+    read = []
+
+    def build(plan):
+        read.extend(plan.inputFiles())
+        return plan
+
+    sinks.run_bounded(state.ingest_stream(state.listing_stream(spark, f"{folder}/in"), f"{folder}/catalog", f"{folder}/checkpoint", build))
+    assert read and not [f for f in read if f"{folder}/in/" in f]
+    assert spark.read.parquet(f"{folder}/catalog").count() == 2
