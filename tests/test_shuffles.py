@@ -4,6 +4,7 @@ import pytest
 
 from slidelake.operators.skew import default_salts, salted_join
 from slidelake.plans import catalog
+from slidelake.sources.tilestore import payload_moves
 
 #: Queries whose joins all meet slides, levels, tiles or folders.
 GROWING = """
@@ -39,6 +40,10 @@ def test_folder_listings_are_shuffled(spark, name):
     no_copies(spark, name)
 
 
+def test_an_index_is_checked_where_it_lies(spark):
+    assert payload_moves(catalog.QUERIES["p14_validate_index"](spark, "/root/testdata/sf0.001"), "offset") == []
+
+
 def test_salts_only_where_joins_are_not_split(spark):
     left = spark.range(100).selectExpr("id % 3 AS k", "id AS v")
     right = spark.range(3).selectExpr("id AS k").groupBy("k").count()
